@@ -23,7 +23,8 @@ def _tables():
     irregular = inline_map({str(n): html.unescape(f"&#{n};") for n in range(FIRST_REGULAR)}, "string")
     # Names that also count without their semicolon, longest first so that the longest prefix wins.
     bare = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
-    return named, irregular, "^(" + "|".join(bare) + ")"
+    bare_values = inline_map({name: html5[name] for name in bare}, "string")
+    return named, irregular, bare_values, "^(" + "|".join(bare) + ")"
 
 
 def _number_sql(body: str) -> str:
@@ -36,7 +37,7 @@ def _number_sql(body: str) -> str:
 
 
 def _character_sql(number: str) -> str:
-    _, irregular, _ = _tables()
+    _, irregular, _, _ = _tables()
     return (
         f"CASE WHEN {number} < {FIRST_REGULAR} THEN {irregular(f'string({number})')} "
         f"WHEN {number} BETWEEN 55296 AND 57343 OR {number} > 1114111 THEN decode(unhex('0000FFFD'), 'UTF-32') "
@@ -47,11 +48,11 @@ def _character_sql(number: str) -> str:
 
 def _piece_sql(piece: str) -> str:
     """Text that followed an ampersand, with its leading reference decoded."""
-    named, _, bare = _tables()
+    named, _, bare_values, bare = _tables()
     prefix = f"regexp_extract(body, '{bare}', 1)"
     known = (
         f"CASE WHEN value IS NOT NULL THEN concat(value, substring({piece}, length(body) + 1)) "
-        f"WHEN prefix != '' THEN concat({named('prefix')}, substring({piece}, length(prefix) + 1)) "
+        f"WHEN prefix != '' THEN concat({bare_values('prefix')}, substring({piece}, length(prefix) + 1)) "
         f"ELSE concat('&', {piece}) END"
     )
     number = bind(_number_sql("body"), "number", _character_sql)

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opinionloom.functions.binding import bind
+from opinionloom.functions.binding import bind, quoted
 from opinionloom.functions.entities import decode_entities_sql
 
-# White space as Unicode text processing sees it, beyond the six characters of Java's ``\s``.
-OTHER_SPACE = r"\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-# The intersection lets the matcher reject ordinary letters with one comparison.
+# White space as Unicode text processing sees it.
+SPACE_POINTS = (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000,
+)
+SPACE_CHARACTERS = "".join(map(chr, SPACE_POINTS))
+# What Java's ``\\s`` leaves out. The intersection lets the matcher reject ordinary letters with one comparison.
+OTHER_SPACE = "".join(f"\\x{{{point:x}}}" for point in SPACE_POINTS if chr(point) not in " \t\n\x0b\f\r")
 OTHER_SPACE_RUN = rf"[\x1c-\x1f\x85-\x{{3000}}&&[{OTHER_SPACE}]]+"
-ANY_SPACE = rf"[\s{OTHER_SPACE}]"
 
 TAG = r"<[^>]+>"
 ENTITY = r"&[a-z]+;|&#\p{Nd}+;"
@@ -43,7 +47,8 @@ def _replace_if(text: str, markers: tuple[str, ...], pattern: str) -> str:
 
 
 def strip_space_sql(text: str) -> str:
-    return _replace(text, rf"^{ANY_SPACE}+|(?<!{ANY_SPACE}){ANY_SPACE}+$", "")
+    """Looks at both ends only, however long the text is."""
+    return f"btrim({text}, {quoted(SPACE_CHARACTERS)})"
 
 
 def flatten_spaces_sql(text: str) -> str:

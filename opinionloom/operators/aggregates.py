@@ -88,11 +88,9 @@ def topic_profile(df: DataFrame) -> DataFrame:
 def topic_hotspots(df: DataFrame) -> DataFrame:
     """AGG6: positive and negative rows per topic, most negative topic first."""
     known = df.filter(F.col("topic_label").isNotNull() & F.col("model_label").isNotNull())
-    counted = (
-        known.groupBy("topic_label")
-        .pivot("model_label", [labels.NEGATIVE, labels.POSITIVE])
-        .agg(_count())
-        .fillna(0, [labels.NEGATIVE, labels.POSITIVE])
+    # Conditional counts give the pivoted columns, absent labels as zero, in a single shuffle.
+    counted = known.groupBy("topic_label").agg(
+        *(F.count_if(F.col("model_label") == label).alias(label) for label in (labels.NEGATIVE, labels.POSITIVE))
     )
     total = F.col(labels.POSITIVE) + F.col(labels.NEGATIVE)
     return (

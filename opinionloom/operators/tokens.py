@@ -21,8 +21,8 @@ from opinionloom.schemas import require_columns
 
 MIN_TOKEN_CHARS = 3
 MIN_TOKENS = 3
-# A word with a digit or an underscore is not alphabetic.
-NON_ALPHABETIC_WORD = r"\w*[^a-z\s]\w*"
+# A word with a digit or an underscore is not alphabetic. Possessive, so that a long word is read once.
+NON_ALPHABETIC_WORD = r"(?<!\w)[a-z]*+[0-9_]\w*+"
 
 
 def stop_words(*lists: Iterable[str]) -> list[str]:
