@@ -22,7 +22,7 @@ FIXTURES = [
     ("4K and MP3 but 4.5 stars, a_b", "4K and MP3 but stars a_b"),
     ("a &amp;lt; b", "a b"),
     ("x &lt;b&gt; y", "x y"),
-    ("@@x.y @a.b a@b", "x y a b"),
+    ("@@x.y @a.b a@b", "a b a b"),
     ("1 2 3 a 4 5", "a"),
 ]
 

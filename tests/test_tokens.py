@@ -17,7 +17,7 @@ def test_stop_lemma_and_length_rules(spark):
 
 
 def test_lemma_in_the_stop_list_is_dropped(spark):
-    df = table(spark, "bought sturdy little camera stand")
+    df = table(spark, "bought sturdy rather camera stand")
     assert tokens.normalize_reviews(df).first()["tokens"] == ["sturdy", "camera", "stand"]
 
 
