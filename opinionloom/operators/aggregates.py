@@ -190,7 +190,8 @@ def topic_terms(df: DataFrame) -> DataFrame:
         .groupBy("topic_label", "term")
         .agg(F.sum("own").alias("own"), _count().alias("all"))
     )
-    has_own = counted.groupBy("topic_label").agg((F.sum("own") > 0).alias("has_own"))
+    # Both sums are read so that this branch needs the same columns as the other and shares its shuffle.
+    has_own = counted.groupBy("topic_label").agg(((F.sum("own") > 0) & (F.sum("all") > 0)).alias("has_own"))
     return (
         counted.join(has_own, "topic_label")
         .withColumn("count", F.when(F.col("has_own"), F.col("own")).otherwise(F.col("all")))

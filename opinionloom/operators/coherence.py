@@ -15,39 +15,63 @@ EPSILON = 1e-12
 ALL_WINDOWS = -1
 
 
+def _cover_sql(positions: str, window: int) -> str:
+    """How many windows hold at least one of the ascending ``positions``; windows start at 0 to ``last``.
+
+    A word at ``p`` is in the windows that start from ``p - window + 1`` to ``p``; each position adds the part of that
+    range its predecessors have not covered.
+    """
+    added = f"greatest(0, least(p, last) - greatest(p - {window - 1}, acc.upto + 1, 0) + 1)"
+    return (
+        f"aggregate({positions}, struct(bigint(0) AS n, int(-1) AS upto), "
+        f"(acc, p) -> struct(acc.n + bigint({added}) AS n, least(p, last) AS upto), acc -> acc.n)"
+    )
+
+
 def window_pair_counts(
-    df: DataFrame, codes: dict[str, int], tokens_col: str = "topic_tokens", window: int = WINDOW
+    df: DataFrame,
+    words: dict[str, tuple[int, list[int]]],
+    tokens_col: str = "topic_tokens",
+    window: int = WINDOW,
 ) -> DataFrame:
-    """In how many sliding windows two topic words occur together: ``(x, y, n)`` with ``x <= y``.
+    """In how many sliding windows two words of one topic occur together: ``(x, y, n)`` with ``x <= y``.
 
-    Neighbouring windows mostly hold the same topic words. A text is cut where a topic word enters or leaves the
-    window, and each stretch counts with its length, so the work follows the topic words in the text and not the
-    text length times the window length. Counts are summed per task before anything is shuffled.
+    ``words`` maps a term to its code and its topics. Windows are not spelled out: the windows with both words are
+    those with the first, plus those with the second, less those with either, and each of these numbers follows from
+    the word positions alone. A text yields one row per pair of topic words it holds, and pairs are summed per task
+    before they are shuffled.
     """
-    code = inline_map(codes, "int")
-    entered_or_left = f"flatten(transform(found, p -> array(p + 1, p - {window - 1})))"
-    starts = (
-        f"array_sort(array_distinct(concat(array(0), filter({entered_or_left}, s -> s BETWEEN 1 AND last))))"
+    entry = inline_map({t: {"code": c, "topics": ts} for t, (c, ts) in words.items()}, "struct<code:int,topics:array<int>>")
+    both = _cover_sql("sort_array(concat(e.pos, f.pos))", window)
+    joint = (
+        f"struct(least(e.code, f.code) AS x, greatest(e.code, f.code) AS y, e.n + f.n - {both} AS n)"
     )
-    stretch = (
-        "struct(bigint(coalesce(get(starts, i + 1), last + 1) - s) AS weight, "
-        f"array_sort(array_distinct(filter(slice(words, s + 1, {window}), w -> w IS NOT NULL))) AS seen)"
+    later = "filter(slice(entries, i + 2, size(entries)), f -> arrays_overlap(f.topics, e.topics))"
+    pairs = (
+        "flatten(transform(entries, (e, i) -> "
+        f"concat(array(struct(e.code AS x, e.code AS y, e.n AS n)), transform({later}, f -> {joint}))))"
     )
-    stretches = (
-        f"concat(array(struct(bigint(last + 1) AS weight, array({ALL_WINDOWS}) AS seen)), "
-        f"transform(starts, (s, i) -> {stretch}))"
+    everything = f"struct({ALL_WINDOWS} AS x, {ALL_WINDOWS} AS y, bigint(last + 1) AS n)"
+    entries = (
+        "transform(array_distinct(transform(found, i -> get(words, i))), e -> "
+        + bind(
+            "filter(found, i -> get(words, i).code = e.code)",
+            "pos",
+            f"struct(e.code AS code, e.topics AS topics, pos AS pos, {_cover_sql('pos', window)} AS n)",
+        )
+        + ")"
     )
+    rows = bind(entries, "entries", f"concat(array({everything}), {pairs})")
     found = "filter(sequence(0, size(words) - 1), i -> get(words, i) IS NOT NULL)"
     last = f"greatest(size(words) - {window}, 0)"
-    body = bind(last, "last", bind(found, "found", bind(starts, "starts", stretches)))
-    coded = f"transform({tokens_col}, t -> {code('t')})"
-    pairs = "flatten(transform(seen, (x, i) -> transform(slice(seen, i + 1, size(seen) - i), y -> struct(x AS x, y AS y))))"
+    coded = f"transform({tokens_col}, t -> {entry('t')})"
+    row_sql = bind(coded, "words", bind(last, "last", bind(found, "found", rows)))
     return (
         df.filter(F.size(tokens_col) > 0)
-        .select(F.expr(f"inline({bind(coded, 'words', body)})"))
-        .select("weight", F.expr(f"inline({pairs})"))
+        .select(F.expr(f"inline({row_sql})"))
         .groupBy("x", "y")
-        .agg(F.sum("weight").alias("n"))
+        .agg(F.sum("n").alias("n"))
+        .filter(F.col("n") > 0)
     )
 
 
@@ -59,9 +83,13 @@ def topic_coherence(
     if rows is None:
         raise ValueError("coherence is defined on the leading words of each topic")
     codes = {term: i for i, term in enumerate(sorted({row["term"] for row in rows}))}
+    numbers = {topic: i for i, topic in enumerate(sorted({row["topic"] for row in rows}))}
+    words = {
+        term: (code, sorted(numbers[row["topic"]] for row in rows if row["term"] == term)) for term, code in codes.items()
+    }
     spark = df.sparkSession
     members = spark.createDataFrame([(r["topic"], codes[r["term"]]) for r in rows], _member_schema(topic_words))
-    counted = window_pair_counts(df, codes, tokens_col, window)
+    counted = window_pair_counts(df, words, tokens_col, window)
     total = F.max(F.when(F.col("x") == ALL_WINDOWS, F.col("n"))).over(Window.partitionBy())
     p = counted.withColumn("p", F.col("n") / total).filter(F.col("x") != ALL_WINDOWS).select("x", "y", "p")
 
@@ -79,8 +107,8 @@ def topic_coherence(
     sums = cells.groupBy("topic", "j").agg(F.sum("v").alias("s"))
     lengths = F.sqrt(F.sum(F.col("v") * F.col("v"))) * F.sqrt(F.sum(F.col("s") * F.col("s")))
     cosine = F.coalesce(F.try_divide(F.sum(F.col("v") * F.col("s")), lengths), F.lit(0.0))
-    words = cells.join(sums, ["topic", "j"]).groupBy("topic", "i").agg(cosine.alias("cosine"))
-    return words.groupBy("topic").agg(F.avg("cosine").alias("coherence"))
+    cosines = cells.join(sums, ["topic", "j"]).groupBy("topic", "i").agg(cosine.alias("cosine"))
+    return cosines.groupBy("topic").agg(F.avg("cosine").alias("coherence"))
 
 
 def _member_schema(topic_words: DataFrame) -> str:

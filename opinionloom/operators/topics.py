@@ -27,6 +27,7 @@ MAX_TERMS = 10_000
 LABEL_WORDS = 5
 CHUNK_DOCS = 2_000
 MAX_CHUNKS = 50
+EVERY_DOCUMENT = ""
 
 
 def topic_input(df: DataFrame, stops: Iterable[str] = wordlists.TOPIC_STOP_WORDS) -> DataFrame:
@@ -47,11 +48,19 @@ def vocabulary(
     no_above: float = MAX_DOC_SHARE,
     keep_n: int = MAX_TERMS,
 ) -> DataFrame:
-    """LDA2, TOPK4: terms that are neither rare nor everywhere, most frequent first, numbered from 0."""
-    documents = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    """LDA2, TOPK4: terms that are neither rare nor everywhere, most frequent first, numbered from 0.
+
+    An empty marker term in every document makes the largest document frequency the corpus size, so the corpus is
+    counted and its terms are counted in the same pass.
+    """
+    marked = df.select(F.explode(F.array_union(F.array(F.lit(EVERY_DOCUMENT)), tokens_col)).alias("term"))
+    counted = marked.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    documents = counted.agg(F.max("doc_freq")).scalar()
     kept = (
-        document_frequency(df, tokens_col)
-        .filter((F.col("doc_freq") >= no_below) & (F.col("doc_freq") <= F.floor(documents * F.lit(no_above))))
+        counted.filter((F.col("doc_freq") >= no_below) & (F.col("doc_freq") <= F.floor(documents * F.lit(no_above))))
+        .orderBy(F.desc("doc_freq"), "term")
+        .limit(keep_n + 1)
+        .filter(F.col("term") != EVERY_DOCUMENT)
         .orderBy(F.desc("doc_freq"), "term")
         .limit(keep_n)
     )
@@ -120,20 +129,18 @@ def fit_topics(
 ) -> TopicModel:
     """LDA2 to LDA4: dictionary, word counts, online variational training.
 
-    The training input is written once and re-read in every pass, placed and sorted by id so that the same seed
-    samples the same documents.
+    The word counts are written once and re-read in every pass, placed and sorted by id so that the same seed samples
+    the same documents; an executor lost in the middle costs a re-read, not the text work.
     """
-    words = checkpointed(df.select(id_col, tokens_col))
-    terms = vocabulary(words, tokens_col, no_below, no_above, keep_n).orderBy("term_id").collect()
+    terms = vocabulary(df, tokens_col, no_below, no_above, keep_n).orderBy("term_id").collect()
     if not terms:
         raise ValueError("no term is left in the dictionary; lower no_below")
     vectorizer = CountVectorizerModel.from_vocabulary(
         [row["term"] for row in terms], inputCol=tokens_col, outputCol="features"
     )
-    n = max(words.rdd.getNumPartitions(), words.sparkSession.sparkContext.defaultParallelism)
-    features = (
-        vectorizer.transform(words).select(id_col, "features").repartition(n, id_col).sortWithinPartitions(id_col).cache()
-    )
+    counts = vectorizer.transform(df.select(id_col, tokens_col)).select(id_col, "features")
+    n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    features = checkpointed(counts.repartition(n, id_col).sortWithinPartitions(id_col)).cache()
     iterations, rate = training_schedule(features.count(), passes)
     lda = LDA(
         k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=rate,

@@ -24,9 +24,9 @@ from opinionloom.operators import (
     tokens,
     topics,
 )
+from opinionloom.session import checkpointed, spread
 from opinionloom.sinks.tables import report_text, sentiment_report
 from opinionloom.sources.tables import read_table, reviews
-from opinionloom.session import spread
 
 STOPS = tuple(tokens.stop_words())
 # Besides the seed table: a plain lemma, one that is too short to stay, and one that is a stop word.
@@ -167,18 +167,19 @@ def stop_union(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def classifier_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = cleaned(spark, folder).drop("model_label")
+    rows = checkpointed(cleaned(spark, folder).select("review_id", "rating", "review_clean"))
     model = classify.train_classifier(rows)
     return classify.classify_reviews(rows, model).select("review_id", "rating", "model_label", "model_confidence")
 
 
 def lda_topics(spark: SparkSession, folder: str) -> DataFrame:
-    model = topics.fit_topics(topic_documents(spark, folder), **TOPIC_FIT)
+    documents = checkpointed(topic_documents(spark, folder).select("review_id", "topic_tokens"))
+    model = topics.fit_topics(documents, **TOPIC_FIT)
     return topics.topic_keywords(spark, model, 10)
 
 
 def _assigned(spark: SparkSession, folder: str) -> DataFrame:
-    documents = topic_documents(spark, folder).drop("topic_label", "dominant_topic")
+    documents = checkpointed(topic_documents(spark, folder).select("review_id", "rating", "model_label", "topic_tokens"))
     return topics.assign_topics(documents, topics.fit_topics(documents, **TOPIC_FIT))
 
 
@@ -193,7 +194,7 @@ def lda_hotspots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topic_coherence(spark: SparkSession, folder: str) -> DataFrame:
-    documents = topic_documents(spark, folder)
+    documents = checkpointed(topic_documents(spark, folder).select("topic_label", "topic_tokens"))
     words = leading_terms(documents, COHERENCE_WORDS).select(F.col("topic_label").alias("topic"), "term")
     per_topic = coherence.topic_coherence(documents, words)
     return per_topic.select("topic", F.bround("coherence", 6).alias("coherence"))
