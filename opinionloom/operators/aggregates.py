@@ -167,33 +167,36 @@ def topic_examples(df: DataFrame, n: int = EXAMPLES_PER_TOPIC) -> DataFrame:
     return narrow.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 
 
+def _term_sources(known: DataFrame):
+    """Own tokens of a review, and the words of its normalized text as a substitute."""
+    own = F.expr("filter(coalesce(tokens, array()), t -> t IS NOT NULL AND t != '')")
+    if "review_normalized" not in known.columns:
+        return own, F.expr("cast(array() AS array<string>)")
+    return own, F.expr("filter(split(coalesce(review_normalized, ''), ' +'), t -> t != '')")
+
+
+def _counted_terms(df: DataFrame) -> DataFrame:
+    """Per topic and term: occurrences as own token, and as own token or substitute."""
+    known = df.filter(F.col("topic_label").isNotNull())
+    own, spare = _term_sources(known)
+    words = known.select("topic_label", F.size(own) > 0, F.explode(F.when(F.size(own) > 0, own).otherwise(spare)))
+    return (
+        words.toDF("topic_label", "is_own", "term")
+        .groupBy("topic_label", "term")
+        .agg(F.count_if("is_own").alias("own"), _count().alias("all"))
+    )
+
+
 def topic_terms(df: DataFrame) -> DataFrame:
     """AGG20, UDF6: how often each token occurs per topic.
 
-    A topic whose token lists are all empty falls back to the words of ``review_normalized``; which topics those are
-    is settled from counts, and the two sources are combined per term.
+    A topic whose token lists are all empty falls back to the words of ``review_normalized``.
     """
     known = df.filter(F.col("topic_label").isNotNull())
-    own = F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))
-    if "review_normalized" not in df.columns:
-        counted = known.select("topic_label", F.explode(own).alias("term")).groupBy("topic_label", "term")
-        return counted.agg(_count().alias("count"))
-    spare = F.filter(F.split(F.coalesce("review_normalized", F.lit("")), r"\s+"), lambda t: t != "")
-    both = F.concat(
-        F.transform(own, lambda t: F.struct(t.alias("term"), F.lit(1).alias("own"))),
-        F.when(F.size(own) == 0, F.transform(spare, lambda t: F.struct(t.alias("term"), F.lit(0).alias("own")))).otherwise(
-            F.array().cast("array<struct<term:string,own:int>>")
-        ),
-    )
-    counted = (
-        known.select("topic_label", F.inline(both))
-        .groupBy("topic_label", "term")
-        .agg(F.sum("own").alias("own"), _count().alias("all"))
-    )
-    # Both sums are read so that this branch needs the same columns as the other and shares its shuffle.
-    has_own = counted.groupBy("topic_label").agg(((F.sum("own") > 0) & (F.sum("all") > 0)).alias("has_own"))
+    has_own = known.groupBy("topic_label").agg(F.max(F.size(_term_sources(known)[0]) > 0).alias("has_own"))
     return (
-        counted.join(has_own, "topic_label")
+        _counted_terms(df)
+        .join(has_own, "topic_label")
         .withColumn("count", F.when(F.col("has_own"), F.col("own")).otherwise(F.col("all")))
         .filter(F.col("count") > 0)
         .select("topic_label", "term", "count")
@@ -201,9 +204,22 @@ def topic_terms(df: DataFrame) -> DataFrame:
 
 
 def topic_term_weights(df: DataFrame, n: int = CLOUD_TERMS) -> DataFrame:
-    """AGG21, TOPK3: the most frequent terms per topic, weighted relative to the topic's top term."""
-    return top_terms(topic_terms(df), n).withColumn(
-        "weight", F.col("count") / F.max("count").over(Window.partitionBy("topic_label"))
+    """AGG21, TOPK3: the most frequent terms per topic, weighted relative to the topic's top term.
+
+    Own tokens rank before substitutes, so the first ``n`` rows per topic settle both which terms lead and whether
+    the topic has own tokens at all. Each task forwards its own first ``n`` rows per topic.
+    """
+    topic = Window.partitionBy("topic_label")
+    substitute = F.when(F.col("own") > 0, 0).otherwise(F.col("all"))
+    order = topic.orderBy(F.desc("own"), substitute.desc(), "term")
+    leading = _counted_terms(df).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    counted = leading.withColumn("has_own", F.max("own").over(topic) > 0).withColumn(
+        "count", F.when(F.col("has_own"), F.col("own")).otherwise(F.col("all"))
+    )
+    return (
+        counted.filter(F.col("count") > 0)
+        .withColumn("weight", F.col("count") / F.max("count").over(topic))
+        .select("topic_label", "term", "count", "rank", "weight")
     )
 
 

@@ -103,6 +103,12 @@ def topic_documents(spark: SparkSession, folder: str) -> DataFrame:
     return topics.topic_input(processed(spark, folder))
 
 
+def settled_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Topic input written once, as between stages, for queries that read it more than once."""
+    documents = topic_documents(spark, folder)
+    return checkpointed(documents.select("review_id", "rating", "topic_label", "model_label", "topic_tokens"))
+
+
 def leading_terms(documents: DataFrame, n: int) -> DataFrame:
     """Stand-in for topic keywords: the most frequent terms per language."""
     words = documents.select("topic_label", F.explode("topic_tokens").alias("term"))
@@ -173,13 +179,13 @@ def classifier_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lda_topics(spark: SparkSession, folder: str) -> DataFrame:
-    documents = checkpointed(topic_documents(spark, folder).select("review_id", "topic_tokens"))
+    documents = settled_documents(spark, folder)
     model = topics.fit_topics(documents, **TOPIC_FIT)
     return topics.topic_keywords(spark, model, 10)
 
 
 def _assigned(spark: SparkSession, folder: str) -> DataFrame:
-    documents = checkpointed(topic_documents(spark, folder).select("review_id", "rating", "model_label", "topic_tokens"))
+    documents = settled_documents(spark, folder).drop("topic_label")
     return topics.assign_topics(documents, topics.fit_topics(documents, **TOPIC_FIT))
 
 
@@ -194,7 +200,7 @@ def lda_hotspots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topic_coherence(spark: SparkSession, folder: str) -> DataFrame:
-    documents = checkpointed(topic_documents(spark, folder).select("topic_label", "topic_tokens"))
+    documents = settled_documents(spark, folder)
     words = leading_terms(documents, COHERENCE_WORDS).select(F.col("topic_label").alias("topic"), "term")
     per_topic = coherence.topic_coherence(documents, words)
     return per_topic.select("topic", F.bround("coherence", 6).alias("coherence"))
@@ -223,8 +229,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalized_by_join": normalized_by_join,
     "stop_union": stop_union,
     "doc_frequency": _on(topic_documents, topics.document_frequency),
-    "vocabulary": _on(topic_documents, topics.vocabulary),
-    "bag_of_words": _on(topic_documents, lambda df: topics.bag_of_words(df, topics.vocabulary(df))),
+    "vocabulary": _on(settled_documents, topics.vocabulary),
+    "bag_of_words": _on(settled_documents, lambda df: topics.bag_of_words(df, topics.vocabulary(df))),
     "lexicon_scores": _on(
         cleaned,
         lambda df: lexicon.score_reviews(df, lexicon=SEED_LEXICON).select("review_id", "vader_score", "vader_label"),
