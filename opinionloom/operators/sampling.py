@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinionloom.functions.lookups import MAX_INLINE_ROWS, rows_within
+from opinionloom.functions.lookups import rows_within
 
 SAMPLE_ROWS = 50_000
 SEED = 42
 HEX_DIGITS = 8
+FIRST_SLACK = 10.0
+MAX_INLINE_STRATA = 50
 
 
 def draw_key(id_col: str, seed: int = SEED) -> Column:
@@ -29,9 +29,9 @@ def head(df: DataFrame, n: int, id_col: str = "review_id") -> DataFrame:
     return df.orderBy(id_col).limit(n)
 
 
-def sample_quota(cap: int, stratum_rows: Column, total_rows: Column) -> Column:
+def sample_quota(cap: int, stratum_rows: Column, total_rows: int) -> Column:
     """Rows to draw from a stratum: its share of ``cap``, at least one."""
-    return F.greatest(F.lit(1), F.floor(F.lit(cap) * stratum_rows / total_rows)).cast("long")
+    return F.greatest(F.lit(1), F.floor(F.lit(cap) * stratum_rows / F.lit(total_rows))).cast("long")
 
 
 def stratified_sample(
@@ -44,43 +44,43 @@ def stratified_sample(
     ranked. The number below each threshold is counted, and where it falls short of the quota the threshold is
     raised, so the result is exact for any distribution of ids.
     """
-    counts = df.filter(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows_within(counts, MAX_INLINE_ROWS)
-    if rows is None:
-        raise ValueError(f"{stratum} has more than {MAX_INLINE_ROWS} values; it is not a stratum")
-    sizes = {row[stratum]: row["_n"] for row in rows}
-    total = sum(sizes.values())
+    known = df.filter(F.col(stratum).isNotNull())
+    counts = known.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    total = known.count()
     if total <= cap:
         return df
-    quotas = {value: max(1, cap * n // total) for value, n in sizes.items()}
-    keyed = df.filter(F.col(stratum).isNotNull()).withColumn("_key", draw_key(id_col, seed))
-    slack = 10.0
+    keyed = known.withColumn("_key", draw_key(id_col, seed))
+    quotas = counts.withColumn("_quota", sample_quota(cap, F.col("_n"), total))
+    rows = rows_within(quotas, MAX_INLINE_STRATA)
+    # A handful of strata travel inside the plan; any other number is joined, as Spark sees fit for its size.
+    placed = keyed.join(quotas, stratum) if rows is None else _with_quotas(keyed, stratum, rows)
+    slack = FIRST_SLACK
     while True:
-        candidates = {
-            value: min(1.0, (quotas[value] + slack * math.sqrt(quotas[value]) + slack) / n) for value, n in sizes.items()
-        }
-        below = keyed.filter(F.substring("_key", 1, HEX_DIGITS) <= _per_stratum(df, stratum, candidates, _threshold))
-        found = {r[stratum]: r["_n"] for r in below.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).collect()}
-        if all(found.get(value, 0) >= quota for value, quota in quotas.items()):
+        below = placed.filter(F.substring("_key", 1, HEX_DIGITS) <= _threshold(slack))
+        found = below.groupBy(stratum).agg(F.count(F.lit(1)).alias("_found"))
+        short = quotas.join(found, stratum, "left").filter(F.coalesce("_found", F.lit(0)) < F.col("_quota"))
+        if short.isEmpty():
             break
         slack *= 8
     order = Window.partitionBy(stratum).orderBy("_key", id_col)
-    return (
-        below.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= _per_stratum(df, stratum, quotas, int))
-        .drop("_key", "_rank")
-    )
+    ranked = below.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.col("_quota"))
+    return ranked.select(*df.columns)
 
 
-def _threshold(fraction: float) -> str:
-    """Largest leading part of a key inside ``fraction`` of the key range."""
-    return format(min(16**HEX_DIGITS - 1, math.ceil(fraction * 16**HEX_DIGITS)), f"0{HEX_DIGITS}x")
+def _threshold(slack: float) -> Column:
+    """Largest leading part of a key that is tried: the quota's share of the key range and ``slack`` deviations."""
+    quota = F.col("_quota")
+    fraction = (quota + F.sqrt(quota) * slack + slack) / F.col("_n")
+    highest = F.lit(16**HEX_DIGITS - 1)
+    point = F.least(F.ceil(fraction * 16**HEX_DIGITS).cast("long"), highest)
+    return F.lpad(F.lower(F.hex(point)), HEX_DIGITS, "0")
 
 
-def _per_stratum(df: DataFrame, stratum: str, values: dict, form) -> Column:
+def _with_quotas(df: DataFrame, stratum: str, rows: list) -> DataFrame:
     kind = df.schema[stratum].dataType
-    chosen = None
-    for value, number in sorted(values.items()):
-        test, result = F.col(stratum) == F.lit(value).cast(kind), F.lit(form(number))
-        chosen = F.when(test, result) if chosen is None else chosen.when(test, result)
-    return chosen
+    for name in ("_n", "_quota"):
+        value = F.lit(None).cast("long")
+        for row in rows:
+            value = F.when(F.col(stratum) == F.lit(row[stratum]).cast(kind), F.lit(row[name]).cast("long")).otherwise(value)
+        df = df.withColumn(name, value)
+    return df

@@ -36,3 +36,9 @@ def test_small_table_is_kept(spark):
     assert sampling.stratified_sample(df, 5000).count() == 4011
     assert sampling.simple_sample(df, 5).count() == 5
     assert [r["review_id"] for r in sampling.head(df, 2).collect()] == [10_000, 20_000]
+
+
+def test_many_strata_are_joined(spark, monkeypatch):
+    expected = sorted(map(tuple, sampling.stratified_sample(strata(spark, 2), 200).collect()))
+    monkeypatch.setattr(sampling, "MAX_INLINE_STRATA", 2)
+    assert sorted(map(tuple, sampling.stratified_sample(strata(spark, 2), 200).collect())) == expected
