@@ -22,6 +22,11 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def column(name: str) -> str:
+    """SQL text of a column, whatever characters its name has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def pin(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later filters read instead of recomputing.
 

@@ -9,7 +9,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opinionloom.functions.binding import bind
+from opinionloom.functions.binding import bind, column
 from opinionloom.functions.lookups import inline_map
 
 REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
@@ -71,4 +71,4 @@ def decode_entities_sql(text: str) -> str:
 
 def decode_entities(text_col: str) -> Column:
     """STR1: ``&amp;``, ``&#39;``, ``&eacute`` ... decoded once."""
-    return F.expr(decode_entities_sql(text_col))
+    return F.expr(decode_entities_sql(column(text_col)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opinionloom.functions.binding import bind, quoted
+from opinionloom.functions.binding import bind, column, quoted
 from opinionloom.functions.entities import decode_entities_sql
 
 # White space as Unicode text processing sees it.
@@ -126,9 +126,9 @@ def clean_text_sql(text: str) -> str:
 
 def strip_space(text_col: str) -> Column:
     """PRJ4: remove white space of any kind from both ends."""
-    return F.expr(strip_space_sql(text_col))
+    return F.expr(strip_space_sql(column(text_col)))
 
 
 def clean_text(text_col: str) -> Column:
     """STR11: all cleaning steps in order; null and blank text give the empty string."""
-    return F.expr(clean_text_sql(text_col))
+    return F.expr(clean_text_sql(column(text_col)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinionloom.functions.binding import bind
+from opinionloom.functions.binding import bind, column
 from opinionloom.functions.lookups import MAX_INLINE_ROWS, inline_map, rows_within
 
 TOP_WORDS = 20
@@ -64,7 +64,7 @@ def window_pair_counts(
     rows = bind(entries, "entries", f"concat(array({everything}), {pairs})")
     found = "filter(sequence(0, size(words) - 1), i -> get(words, i) IS NOT NULL)"
     last = f"greatest(size(words) - {window}, 0)"
-    coded = f"transform({tokens_col}, t -> {entry('t')})"
+    coded = f"transform({column(tokens_col)}, t -> {entry('t')})"
     row_sql = bind(coded, "words", bind(last, "last", bind(found, "found", rows)))
     return (
         df.filter(F.size(tokens_col) > 0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionloom import wordlists
-from opinionloom.functions.binding import bind, quoted
+from opinionloom.functions.binding import bind, column, quoted
 from opinionloom.functions.labels import score_label
 from opinionloom.functions.lookups import inline_map, membership, salted_join, table_to_dict
 from opinionloom.schemas import require_columns
@@ -42,10 +42,10 @@ def _longs(value: int) -> str:
     return f"{value}L"
 
 
-def spoken_words_sql(text: str) -> str:
-    """Words of a cleaned text, outer underscores stripped where three characters or more are left."""
+def spoken_text_sql(text: str) -> str:
+    """A cleaned text, outer underscores of a word stripped where three characters or more are left of it."""
     bare = rf"regexp_replace({text}, r'(?<!\w)_*([A-Za-z0-9]\w+[A-Za-z0-9])_*(?!\w)', '$1')"
-    return f"split(CASE WHEN contains({text}, '_') THEN {bare} ELSE {text} END, ' ')"
+    return f"CASE WHEN contains({text}, '_') THEN {bare} ELSE {text} END"
 
 
 def caps_sql(word: str) -> str:
@@ -160,8 +160,8 @@ def units_in_row(text_col: str, terms: Mapping[str, int], lexicon: Lexicon) -> C
     )
     found = f"filter(sequence(0, size(words.lower) - 1), i -> {scored('get(words.lower, i)')})"
     total = bind(found, "found", f"CASE WHEN size(found) = 0 THEN 0L ELSE {bind(fact, 'fact', summed)} END")
-    text = f"coalesce({text_col}, '')"
-    words = bind(spoken_words_sql(text), "cased", "struct(cased AS cased, transform(cased, w -> lower(w)) AS lower)")
+    text = spoken_text_sql(f"coalesce({column(text_col)}, '')")
+    words = bind(text, "text", "struct(split(text, ' ') AS cased, split(lower(text), ' ') AS lower)")
     return F.expr(bind(words, "words", total))
 
 
@@ -178,7 +178,7 @@ def score_by_join(
     if not isinstance(terms, DataFrame):
         terms = spark.createDataFrame(list(terms.items()), "term string, valence_tenths int")
     terms = terms.toDF("term", "valence_tenths").dropDuplicates(["term"])
-    words = df.select(id_col, F.expr(spoken_words_sql(f"coalesce({text_col}, '')")).alias("_cased"))
+    words = df.select(id_col, F.split(F.expr(spoken_text_sql(f"coalesce({column(text_col)}, '')")), " ").alias("_cased"))
     n_caps = f"size(filter(_cased, w -> {caps_sql('w')}))"
     previous = ", ".join(f"get(_cased, i - {k}) AS _near{k}" for k in (1, 2, 3))
     # Facts about the whole text are settled before the words are spread out, once per review and not once per word.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionloom import wordlists
-from opinionloom.functions.binding import pin
+from opinionloom.functions.binding import column, pin
 from opinionloom.functions.lookups import (
     MAX_INLINE_ROWS,
     inline_map,
@@ -50,13 +50,13 @@ def drop_words_sql(tokens: str, stops: Iterable[str], min_chars: int = MIN_TOKEN
 
 
 def drop_words(tokens_col: str, stops: Iterable[str], min_chars: int = MIN_TOKEN_CHARS) -> Column:
-    return F.expr(drop_words_sql(tokens_col, stops, min_chars))
+    return F.expr(drop_words_sql(column(tokens_col), stops, min_chars))
 
 
 def token_column(text_col: str, stops: Iterable[str], lemmas: Mapping[str, str]) -> Column:
     """Token list of a cleaned text: both the word and its lemma must be outside the stop list."""
     stops = list(stops)
-    words = f"filter({alphabetic_words_sql(text_col)}, word -> NOT {membership(stops)('word')})"
+    words = f"filter({alphabetic_words_sql(column(text_col))}, word -> NOT {membership(stops)('word')})"
     if lemmas:
         words = f"transform({words}, word -> coalesce({inline_map(lemmas, 'string')('word')}, word))"
     return F.expr(drop_words_sql(words, stops))
@@ -106,7 +106,7 @@ def normalize_by_join(
     """NLP2 for word tables of any size: one row per word, joined, and collected again per review."""
     terms = stops.toDF("form").distinct()
     lemma_rows = lemmas.toDF("form", "_lemma").dropDuplicates(["form"])
-    words = df.select(id_col, F.posexplode(F.expr(alphabetic_words_sql(text_col))).alias("_pos", "form"))
+    words = df.select(id_col, F.posexplode(F.expr(alphabetic_words_sql(column(text_col)))).alias("_pos", "form"))
     kept = salted_join(words, terms, "form", [id_col, "_pos"], "left_anti")
     lemmatized = salted_join(kept, lemma_rows, "form", [id_col, "_pos"], "left").select(
         id_col, "_pos", F.coalesce("_lemma", "form").alias("form")
