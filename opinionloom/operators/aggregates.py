@@ -179,12 +179,12 @@ def _counted_terms(df: DataFrame) -> DataFrame:
     """Per topic and term: occurrences as own token, and as own token or substitute."""
     known = df.filter(F.col("topic_label").isNotNull())
     own, spare = _term_sources(known)
-    words = known.select("topic_label", F.size(own) > 0, F.explode(F.when(F.size(own) > 0, own).otherwise(spare)))
-    return (
-        words.toDF("topic_label", "is_own", "term")
-        .groupBy("topic_label", "term")
-        .agg(F.count_if("is_own").alias("own"), _count().alias("all"))
+    # The flag is settled per review, before the words are spread out.
+    reviews = known.select(
+        "topic_label", (F.size(own) > 0).alias("is_own"), F.when(F.size(own) > 0, own).otherwise(spare).alias("words")
     )
+    words = reviews.select("topic_label", "is_own", F.explode("words").alias("term"))
+    return words.groupBy("topic_label", "term").agg(F.count_if("is_own").alias("own"), _count().alias("all"))
 
 
 def topic_terms(df: DataFrame) -> DataFrame:
