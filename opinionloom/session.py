@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,29 @@ def build_session(app_name: str = "opinionloom", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder driver and executors share: ``spark.checkpoint.dir``, or in a local session the one already set.
+
+    A local session without either gets a temporary folder of its own; a cluster session is refused, because its
+    executors share no local disk.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="opinionloom-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and continue from the written copy."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written copy.
 
