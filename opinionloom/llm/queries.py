@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinionloom.llm import pii, secrets
+from opinionloom.llm import packing, pii, quality_rules, secrets, simhash, token_counts
 from opinionloom.llm import spans as S
 from opinionloom.llm.url_filter import judge_urls
 from opinionloom.sources.tables import read_table
 
+TOKENIZERS = "/opt/tokenizers"
+
 # Host, path and verdict of the url rules.
 URL_RULES = (
     ("com", "/", "allow"),
@@ -25,6 +27,27 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(read_table(spark, folder, "pages"), rules)
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, folder, "documents")).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+def op4_packing(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return packing.pack(read_table(spark, folder, "documents"), f"{tokenizers}/word_bpe_49k.json")
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge(read_table(spark, folder, "documents"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+def op7_token_counts(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, folder, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+
+
 def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select(
         "doc_id",
@@ -44,12 +67,63 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
     "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
 
+WORD = r"[^\x20\x09-\x0D]+"
+ORACLE_SQL["op6_quality_rules"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS line_no, doc_id, source, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT line_no, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place
+  FROM (SELECT line_no, regexp_extract_all(text, '{WORD}') AS w FROM docs)
+), windows AS (
+  SELECT line_no, place, count(*) OVER run AS size, string_agg(word, ' ') OVER run AS content
+  FROM words
+  WINDOW run AS (PARTITION BY line_no ORDER BY place ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+), again AS (
+  SELECT line_no, place FROM windows WHERE size = 8
+  QUALIFY count(*) OVER (PARTITION BY line_no, content) > 1
+), covered AS (
+  SELECT line_no, count(DISTINCT place + k) AS n_repeat_words FROM again, range(8) AS t(k) GROUP BY line_no
+), word_counts AS (
+  SELECT line_no, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY line_no
+), lines AS (
+  SELECT line_no, source, text, unnest(l) AS line, unnest(range(len(l))) AS place
+  FROM (SELECT line_no, source, text, string_split(text, chr(10)) AS l FROM docs)
+), own_lines AS (
+  SELECT *, md5(array_to_string(regexp_extract_all(lower(line), '{WORD}'), ' ')) AS normal,
+    len(regexp_extract_all(line, '{WORD}')) AS size,
+    row_number() OVER (PARTITION BY line_no, line ORDER BY place) AS nth
+  FROM lines WHERE regexp_matches(line, '{WORD}')
+), repeated AS (
+  SELECT line_no, count(*) FILTER (nth > 1) AS n_dup_lines FROM own_lines GROUP BY line_no
+), shared AS (
+  SELECT source, normal FROM (SELECT DISTINCT source, normal, text FROM own_lines)
+  GROUP BY source, normal HAVING count(*) > {quality_rules.MAX_DOCS}
+), lost AS (
+  SELECT line_no, sum(size) AS lost FROM own_lines JOIN shared USING (source, normal) GROUP BY line_no
+), counts AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM docs LEFT JOIN word_counts USING (line_no) LEFT JOIN repeated USING (line_no)
+    LEFT JOIN covered USING (line_no) LEFT JOIN lost USING (line_no)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words - lost >= {quality_rules.LEAST_LEFT} * n_words AS kept
+FROM judged
+"""
+
 ORACLE_SQL["op1_url_filters"] = """
 WITH rules(rule_host, rule_path, rule_verdict) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
