@@ -14,10 +14,10 @@ repeated result rows, and count as one document.
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +62,8 @@ def repeated_words(words: list[bytes], window: int = WINDOW_WORDS) -> int:
 
 
 def line_hash(words: list[bytes]) -> int:
-    """Hash of a normalised line, as a signed 64-bit integer."""
-    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).astype(np.int64))
+    """The first 63 bits of the MD5 of a normalised line."""
+    return int.from_bytes(hashlib.md5(b" ".join(words)).digest()[:8], "big") >> 1
 
 
 def measure(text: bytes) -> tuple[int, int, int, int, int, list[int], list[int], list[int]]:

@@ -78,7 +78,10 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {}
 
 WORD = r"[^\x20\x09-\x0D]+"
-ORACLE_SQL["op6_quality_rules"] = rf"""
+
+
+def quality_sql(max_docs: int = quality_rules.MAX_DOCS) -> str:
+    return rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS line_no, doc_id, source, coalesce(text, '') AS text FROM documents
 ), words AS (
@@ -105,9 +108,12 @@ WITH docs AS (
   FROM lines WHERE regexp_matches(line, '{WORD}')
 ), repeated AS (
   SELECT line_no, count(*) FILTER (nth > 1) AS n_dup_lines FROM own_lines GROUP BY line_no
+), kinds AS (
+  SELECT line_no, min(normal) AS kind FROM own_lines GROUP BY line_no
 ), shared AS (
-  SELECT source, normal FROM (SELECT DISTINCT source, normal, text FROM own_lines)
-  GROUP BY source, normal HAVING count(*) > {quality_rules.MAX_DOCS}
+  SELECT source, normal FROM (SELECT DISTINCT source, normal, kind, text FROM own_lines JOIN kinds USING (line_no))
+  GROUP BY source, normal
+  HAVING count(*) > {max_docs} AND count(DISTINCT kind) >= {quality_rules.LEAST_KINDS} * count(*)
 ), lost AS (
   SELECT line_no, sum(size) AS lost FROM own_lines JOIN shared USING (source, normal) GROUP BY line_no
 ), counts AS (
@@ -124,6 +130,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+
+ORACLE_SQL["op6_quality_rules"] = quality_sql()
+
 ORACLE_SQL["op1_url_filters"] = """
 WITH rules(rule_host, rule_path, rule_verdict) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
