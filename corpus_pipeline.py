@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opinionloom.llm import secrets
+from opinionloom.llm import decontamination, packing, quality_rules, secrets, simhash
+from opinionloom.llm.queries import TOKENIZERS
 from opinionloom.session import written
 from opinionloom.sources.tables import read_table
-from pyspark.sql import functions as F
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules go; lines above the limits go from the others, and ``n_chars`` follows the text."""
+    return quality_rules.apply_rules(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,11 +31,20 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents as token pieces with their places in training sequences."""
+    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 STAGES = [
+    ("quality_rules", apply_quality_rules),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
     ("secret_scans", mask_secrets),
+    ("best_fit_packing", pack_sequences),
 ]
 
-# Fingerprints need a 64-bit hash and token ids a vocabulary that SQL doesn't have.
+# SQL has neither the 64-bit hash of the fingerprints nor the token ids.
 ORACLE_SQL = None
 
 

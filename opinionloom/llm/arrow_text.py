@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 8 << 20
 
@@ -28,7 +29,9 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
             at = stop
 
 
-def in_python(source: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_python(
+    source: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
     """``mapInArrow`` whose tasks find this package where the driver has it, also without an installation."""
     environment, home = source.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinionloom.llm import packing, pii, quality_rules, secrets, simhash, token_counts
+from opinionloom.llm import decontamination, packing, pii, quality_classifier, quality_rules, secrets, simhash, token_counts, warc
 from opinionloom.llm import spans as S
 from opinionloom.llm.url_filter import judge_urls
+from opinionloom.session import shared_folder
 from opinionloom.sources.tables import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -27,6 +30,10 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(read_table(spark, folder, "pages"), rules)
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents")).select(
         "doc_id",
@@ -39,6 +46,22 @@ def op4_packing(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS)
     return packing.pack(read_table(spark, folder, "documents"), f"{tokenizers}/word_bpe_49k.json")
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(read_table(spark, folder, "pages"), path)
+    return (
+        warc.read_archives(spark, path, payloads=False)
+        .filter("gap is null")
+        .select(
+            F.col("record_id").cast("long").alias("page_id"),
+            "payload_bytes",
+            "payload_digest",
+            "record_type",
+            F.col("refers_to").cast("long").alias("refers_to"),
+        )
+    )
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(read_table(spark, folder, "documents"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
@@ -61,22 +84,46 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return _span_digest(pii.find_personal_data(read_table(spark, folder, "documents")), pii.KINDS)
 
 
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    space = quality_classifier.fit(documents, read_table(spark, folder, "labels"), "doc_id", "text", "quality", ~held_out)
+    return quality_classifier.score(documents, space).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_classifier.PASS).cast("int").alias("predicted")
+    )
+
+
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return _span_digest(secrets.scan_secrets(read_table(spark, folder, "documents")), secrets.KINDS)
 
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op5_warc"] = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT payload_digest, min(page_id) AS first FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM payloads LEFT JOIN firsts USING (payload_digest)
+"""
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
