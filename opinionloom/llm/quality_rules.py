@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinionloom.functions.binding import column
 from opinionloom.llm.arrow_text import in_python, slices, utf8
 from opinionloom.session import written
 
@@ -167,16 +168,17 @@ def apply_rules(
         F.first("removed").alias("_removed"), F.first("kept").alias("_kept")
     )
     same = (
-        documents[key].eqNullSafe(F.col("_k"))
-        & documents[host].cast("string").eqNullSafe(F.col("_h"))
-        & (F.xxhash64(documents[text]) == F.col("_t"))
+        documents[key].eqNullSafe(marks["_k"])
+        & documents[host].cast("string").eqNullSafe(marks["_h"])
+        & (F.xxhash64(documents[text]) == marks["_t"])
     )
+    removed = marks["_removed"]
     shortened = F.array_join(
-        F.filter(F.split(documents[text], "\n", -1), lambda line, i: ~F.array_contains(F.col("_removed"), i)), "\n"
+        F.filter(F.split(documents[text], "\n", -1), lambda line, i: ~F.array_contains(removed, i)), "\n"
     )
-    new_text = F.when(F.size("_removed") > 0, shortened).otherwise(documents[text])
+    new_text = F.when(F.size(removed) > 0, shortened).otherwise(documents[text])
     return (
         documents.join(marks, same, "left")
-        .filter(F.coalesce("_kept", F.lit(True)))
-        .select(*(new_text.alias(c) if c == text else documents[c] for c in documents.columns))
+        .filter(F.coalesce(marks["_kept"], F.lit(True)))
+        .select(*(new_text.alias(c) if c == text else documents[column(c)] for c in documents.columns))
     )

@@ -23,7 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
+from opinionloom.functions.binding import column
 from opinionloom.llm.arrow_text import in_python, slices, utf8
 from opinionloom.llm.components import component_roots
 from opinionloom.session import written
@@ -199,11 +201,12 @@ def keep_one(
     repeated = keepers.filter("n > 1")
     if repeated.isEmpty():
         return kept
-    row = F.struct(*(documents[c] for c in documents.columns))
+    fields = {f.name: documents[column(f.name)] for f in documents.schema.fields}
+    order = [c for name, c in fields.items() if not isinstance(documents.schema[name].dataType, MapType)]
     once = (
         chosen(repeated)
         .groupBy(documents[key].alias("k"), F.xxhash64(documents[text]).alias("t"))
-        .agg(F.min(row).alias("row"))
+        .agg(F.min_by(F.struct(*fields.values()), F.struct(*order)).alias("row"))
         .select("row.*")
     )
     return kept.unionByName(once)
