@@ -86,7 +86,10 @@ class Index:
         hashes, owners, offsets = [], [], []
         for item_id, text in items:
             points = normalized([text])[0][:-1]
-            points = points[int(points[:1] == SPACE) : len(points) - int(len(points) > 1 and points[-1] == SPACE)]
+            if len(points) and points[0] == SPACE:
+                points = points[1:]
+            if len(points) and points[-1] == SPACE:
+                points = points[:-1]
             if len(points) < q:
                 continue
             grams, k = gram_hashes(points, q), budget(len(points), q, rate)
@@ -245,19 +248,19 @@ def find_leaks(
 
 def _search_block(documents: DataFrame, items: list[tuple], text: str, leaks: str, rate: float) -> DataFrame:
     shipped = documents.sparkSession.sparkContext.broadcast(items)
-    ready: list[Index] = []
+    # columns go by place: their names may hold dots
+    plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))
+    text_name, at = f"c{documents.columns.index(text)}", documents.columns.index(leaks)
 
     def run(batches):
-        if not ready:
-            ready.append(Index(shipped.value, Q, rate))
-        for batch in slices(batches, text, SLICE_BYTES):
-            found = search([t or "" for t in batch.column(text).to_pylist()], ready[0])
-            at = batch.schema.get_field_index(leaks)
+        index = Index(shipped.value, Q, rate)
+        for batch in slices(batches, text_name, SLICE_BYTES):
+            found = search([t or "" for t in batch.column(text_name).to_pylist()], index)
             former = batch.column(at).to_pylist()
             rows = [[*old, *({"item_id": a, "start": b, "stop": c, "edits": d} for a, b, c, d in new)] for old, new in zip(former, found)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(rows, batch.schema.field(at).type))
 
-    return in_python(documents, run, documents.schema)
+    return in_python(plain, run, plain.schema).toDF(*documents.columns)
 
 
 def contaminated(

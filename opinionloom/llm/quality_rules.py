@@ -5,8 +5,9 @@ Lines above the limits are removed; a document that loses most of its words with
 the base rules on repetition and length.
 
 A line is above the limits if more than ``MAX_DOCS`` different texts of the host hold it and these are unlike each other:
-texts with the same smallest line hash count as one kind, and at least ``LEAST_KINDS`` of the texts must be kinds of their
-own. So the lines of a text that was copied thousands of times, with or without small changes, aren't taken for boilerplate.
+texts with the same smallest hash among their other lines count as one kind, and the kinds must be at least
+``LEAST_KINDS`` of the texts, in the median of five orders of the hashes. So the lines of a text that was copied thousands
+of times, with or without small changes, aren't taken for boilerplate.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows give
 repeated result rows, and count as one document.
@@ -18,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionloom.functions.binding import column
@@ -31,6 +32,8 @@ LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 MAX_DOCS = 20
 LEAST_KINDS = 0.5
+#: The hashes are ordered with these bits flipped.
+ORDERS = tuple(int.from_bytes(hashlib.md5(b"order %d" % i).digest()[:8], "big") >> 1 for i in range(5))
 #: A document that keeps less than this share of its words is depleted.
 LEAST_LEFT = 0.5
 
@@ -112,18 +115,31 @@ def _measured(documents: DataFrame, key: str, text: str, host: str) -> DataFrame
 def frequent_lines(measured: DataFrame, max_docs: int = MAX_DOCS, least_kinds: float = LEAST_KINDS) -> DataFrame:
     """Rows ``(host, line)`` of lines above the limits.
 
-    Two aggregates: distinct (host, line, text) first, so that a line of a third of all rows is never in one group.
+    Distinct (host, line, text) come first, so that a line of a third of all rows is never in one group. Only lines of
+    enough texts are looked at for their kinds.
     """
-    lines = (
-        measured.select("host", "text_key", F.array_min("hashes").alias("kind"), F.explode(F.array_distinct("hashes")).alias("line"))
-        .groupBy("host", "line", "kind", "text_key")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("host", "line", "kind")
-        .agg(F.count("*").alias("texts"))
-        .groupBy("host", "line")
-        .agg(F.sum("texts").alias("texts"), F.count("*").alias("kinds"))
-    )
-    return lines.filter((F.col("texts") > max_docs) & (F.col("kinds") >= least_kinds * F.col("texts"))).select("host", "line")
+    texts = measured.select("host", "text_key", F.array_distinct("hashes").alias("own")).distinct()
+    lines = texts.select("host", "text_key", "own", F.explode("own").alias("line"))
+    many = (
+        lines.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one"))
+        .groupBy("host", "line").agg(F.count("*").alias("texts"))
+        .filter(F.col("texts") > max_docs)
+        .select(F.col("host").alias("h"), F.col("line").alias("l"), "texts")
+    )
+    held = lines.join(many, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
+    others = F.filter("own", lambda x: x != F.col("line"))
+
+    def least(flipped: int) -> Column:
+        return F.array_min(F.transform(others, lambda x: x.bitwiseXOR(F.lit(flipped))))
+
+    kinds = F.array(*map(least, ORDERS))
+    ratios = (
+        held.select("host", "line", "texts", F.posexplode(kinds).alias("order", "kind"))
+        .groupBy("host", "line", "texts", "order", "kind").agg(F.lit(1).alias("one"))
+        .groupBy("host", "line", "texts", "order").agg((F.count("*") / F.col("texts")).alias("ratio"))
+        .groupBy("host", "line").agg(F.sort_array(F.collect_list("ratio")).alias("ratios"))
+    )
+    return ratios.filter(F.get("ratios", F.lit(len(ORDERS) // 2)) >= least_kinds).select("host", "line")
 
 
 def judge(
