@@ -13,9 +13,13 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinionloom.functions.binding import quoted
+from opinionloom.functions.binding import column, quoted
 
 MAX_INLINE_ROWS = 20_000
+#: Word tables of at most this many bytes are broadcast.
+BROADCAST_BYTES = 64 << 20
+#: A word may be this share of all word rows; a salted join spreads each word over so many tasks of the session.
+HOT_SHARE = 3
 ENTRIES_PER_BUCKET = 4
 
 
@@ -51,24 +55,50 @@ def rows_within(df: DataFrame, bound: int) -> list | None:
     return rows if len(rows) <= bound else None
 
 
+def one_row_per_key(table: DataFrame) -> DataFrame:
+    """Of rows with the same key (the first column) the one with the smallest value counts; null keys are left out."""
+    key, value = table.columns[:2]
+    return table.filter(F.col(column(key)).isNotNull()).groupBy(column(key)).agg(F.min(column(value)).alias(value))
+
+
 def table_to_dict(table: DataFrame | Mapping[str, object], bound: int = MAX_INLINE_ROWS) -> dict | None:
     """A two-column table as a dict when it is short enough to be folded into a plan, else None."""
     if isinstance(table, Mapping):
         return dict(table) if len(table) <= bound else None
-    rows = rows_within(table, bound)
+    rows = rows_within(one_row_per_key(table), bound)
     return None if rows is None else {row[0]: row[1] for row in rows}
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: str, bound: int = MAX_INLINE_ROWS) -> DataFrame:
-    """Left lookup join: broadcast once the table is known to be short, otherwise planned by Spark."""
+def table_bytes(table: DataFrame) -> int:
+    """Measured size of a small table of texts and numbers: its characters, and 16 bytes a value."""
+    texts = [F.coalesce(F.octet_length(column(n)), F.lit(0)) for n, kind in table.dtypes if kind == "string"]
+    size = sum(texts, F.lit(16 * len(table.columns)).cast("long"))
+    return table.agg(F.sum(size)).first()[0] or 0
+
+
+def word_join(words: DataFrame, table: DataFrame, on: str, spread_by: Iterable[str], how: str = "inner") -> DataFrame:
+    """Equi-join of word rows with a word table: broadcast while the table's measured size allows it, else salted."""
+    if table_bytes(table) <= BROADCAST_BYTES:
+        return words.join(F.broadcast(table), on, how)
+    return salted_join(words, table, on, spread_by, how)
+
+
+def lookup_join(df: DataFrame, table: DataFrame, on: str, how: str = "left", bound: int = MAX_INLINE_ROWS) -> DataFrame:
+    """Lookup join: broadcast once the table is known to be short, otherwise planned by Spark."""
     short = len(table.select(on).limit(bound + 1).collect()) <= bound
-    return df.join(F.broadcast(table) if short else table, on, "left")
+    return df.join(F.broadcast(table) if short else table, on, how)
 
 
 def salted_join(
-    df: DataFrame, table: DataFrame, on: str, spread_by: Iterable[str], how: str = "inner", salts: int = 16
+    df: DataFrame, table: DataFrame, on: str, spread_by: Iterable[str], how: str = "inner", salts: int | None = None
 ) -> DataFrame:
-    """Equi-join of word rows with a long word table; each word is spread over ``salts`` partitions."""
+    """Equi-join of word rows with a long word table; each word is spread over ``salts`` partitions.
+
+    By default that is a third of the session's shuffle partitions, so that the task of a word that is a third of all
+    rows is no larger than the others.
+    """
+    if salts is None:
+        salts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // HOT_SHARE)
     salted = df.withColumn("_salt", F.pmod(F.hash(*spread_by), F.lit(salts)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [on, "_salt"], how).drop("_salt")

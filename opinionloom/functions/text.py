@@ -18,6 +18,7 @@ SPACE_CHARACTERS = "".join(map(chr, SPACE_POINTS))
 OTHER_SPACE = "".join(f"\\x{{{point:x}}}" for point in SPACE_POINTS if chr(point) not in " \t\n\x0b\f\r")
 OTHER_SPACE_RUN = rf"[\x1c-\x1f\x85-\x{{3000}}&&[{OTHER_SPACE}]]+"
 
+# What a tag, a left-over entity and a link look like.
 TAG = r"<[^>]+>"
 ENTITY = r"&[a-z]+;|&#\p{Nd}+;"
 URL = r"https?://\S+|www\.\S+"
@@ -25,17 +26,11 @@ URL = r"https?://\S+|www\.\S+"
 # their start, and the possessive quantifier finds their first @ without backtracking, so long runs stay linear.
 EMAIL = r"(?:^|\s)\S[^\s@]*+@\S+\.\S+"
 PRICE = r"(?iu)\$[\p{Nd},.]+|\p{Nd}(?<!\p{Nd}\p{Nd})\p{Nd}*\s*dollars?"
-NON_ASCII = r"[^\x00-\x7f]+"
-PUNCTUATION = r"[^\w\s]+"
 NON_WORD = r"\W+"
-NUMBER = r"(?<!\w)[0-9]+(?!\w)"
-SPACES = r"\s+"
 # In single-spaced text a number goes together with the space after it.
 SPACED_NUMBER = r"(?<![^ ])[0-9]+(?: |$)"
 
 
-
-
 def _replace(text: str, pattern: str, replacement: str = " ") -> str:
     return f"regexp_replace({text}, r'{pattern}', '{replacement}')"
 
@@ -81,26 +76,6 @@ def remove_prices_sql(text: str) -> str:
     return _replace(text, PRICE)
 
 
-def remove_non_ascii_sql(text: str) -> str:
-    """STR7."""
-    return _replace(text, NON_ASCII)
-
-
-def remove_punctuation_sql(text: str) -> str:
-    """STR8: underscores stay, they are word characters."""
-    return _replace(text, PUNCTUATION)
-
-
-def remove_numbers_sql(text: str) -> str:
-    """STR9: stand-alone numbers go, ``4K`` and ``MP3`` stay."""
-    return _replace(text, NUMBER)
-
-
-def collapse_spaces_sql(text: str) -> str:
-    """STR10."""
-    return f"trim({_replace(text, SPACES)})"
-
-
 def keep_words_sql(text: str) -> str:
     """STR7 to STR10 in two passes: words separated by single blanks, stand-alone numbers gone."""
     return f"trim({_replace(_replace(text, NON_WORD), SPACED_NUMBER, '')})"

@@ -19,11 +19,6 @@ def add_agreement_flag(df: DataFrame) -> DataFrame:
     return df.withColumn("sentiment_agree", labels.labels_agree(F.col("vader_label"), F.col("model_label")))
 
 
-def without_neutral_stars(df: DataFrame) -> DataFrame:
-    """FLT6."""
-    return df.filter(F.col("rating") != 3)
-
-
 def binary_agreement(label: str):
     """Share of agreement with the binary star label; 3-star rows stay outside the denominator."""
     star = labels.star_binary(F.col("rating"))

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinionloom.functions import labels
+from opinionloom.functions.lookups import word_join
+from opinionloom.operators.sampling import draw_key
 from opinionloom.schemas import require_columns
+from opinionloom.session import written
 
-# Text an empty review is replaced by, words kept per review, rows per scoring batch.
+# Text an empty review is replaced by, rows per scoring batch of a caller's model.
 PLACEHOLDER = "average product"
-MAX_WORDS = 512
 BATCH_ROWS = 32
+#: Log odds are held as whole millionths, so a score doesn't depend on the order in which words are added up.
+UNITS = 1_000_000
+#: Logistic regression is fitted on at most this many labelled rows, those with the smallest draw keys.
+MAX_LABELLED = 2_000_000
+HELD_OUT = ("0", "1", "2")
 
 
 def model_text(text_col: str):
@@ -28,20 +37,76 @@ def model_text(text_col: str):
     return F.when(F.btrim(text) == "", PLACEHOLDER).otherwise(text)
 
 
-def with_model_words(df: DataFrame, text_col: str) -> DataFrame:
-    words = F.split(F.lower(model_text(text_col)), r"\s+")
-    return df.withColumn("_words", F.slice(words, 1, MAX_WORDS))
+def model_words(text_col: str) -> Column:
+    """All words of the text; nothing is cut off."""
+    return F.split(F.lower(model_text(text_col)), r"\s+")
+
+
+def held_out(id_col: str = "review_id") -> Column:
+    """Three sixteenths of the rows, by a hash of the id alone: never trained on, only scored."""
+    return F.substring(F.md5(F.concat(F.lit("held out:"), F.col(id_col).cast("string"))), 1, 1).isin(*HELD_OUT)
+
+
+def _target(label_col: str | None) -> Column:
+    label = F.col(label_col) if label_col else labels.star_binary(F.col("rating"))
+    return F.when(label == labels.POSITIVE, 1).when(label == labels.NEGATIVE, 0)
+
+
+@dataclass(frozen=True)
+class WordOdds:
+    """A multinomial word-count model: ``term, units`` (log odds in millionths) and the odds of an empty text."""
+
+    terms: DataFrame
+    prior: int
+
+
+def fit_word_odds(df: DataFrame, text_col: str = "review_clean", label_col: str | None = None) -> WordOdds:
+    """SEN2: word counts per label with add-one smoothing; one aggregate over the words of the labelled rows.
+
+    The label is the given one, or the star label without the 3-star rows.
+    """
+    require_columns(df, [text_col])
+    known = df.withColumn("_target", _target(label_col)).filter(F.col("_target").isNotNull())
+    classes = known.agg(F.count_if(F.col("_target") == 1).alias("yes"), F.count_if(F.col("_target") == 0).alias("no")).first()
+    words = known.select("_target", F.explode(model_words(text_col)).alias("term"))
+    counts = written(
+        words.groupBy("term").agg(F.sum("_target").alias("yes"), F.sum(1 - F.col("_target")).alias("no")), "word-counts"
+    )
+    total = counts.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.count(F.lit(1)).alias("terms")).first()
+    yes = (F.col("yes") + 1) / F.lit(float((total.yes or 0) + total.terms))
+    no = (F.col("no") + 1) / F.lit(float((total.no or 0) + total.terms))
+    prior = round(math.log((classes.yes + 1) / (classes.no + 1)) * UNITS)
+    return WordOdds(counts.select("term", F.round(F.log(yes / no) * UNITS).cast("long").alias("units")), prior)
+
+
+def score_by_words(
+    df: DataFrame, model: WordOdds, text_col: str = "review_clean", id_col: str = "review_id"
+) -> DataFrame:
+    """SEN2: add ``model_label`` and ``model_confidence``; words the model doesn't know count nothing."""
+    words = df.select(id_col, F.explode(model_words(text_col)).alias("term"))
+    sums = word_join(words, model.terms, "term", [id_col]).groupBy(id_col).agg(F.sum("units").alias("_units"))
+    units = F.coalesce("_units", F.lit(0)) + F.lit(model.prior)
+    return (
+        df.join(sums, id_col, "left")
+        .withColumn("model_label", F.when(units >= 0, labels.POSITIVE).otherwise(labels.NEGATIVE))
+        .withColumn("model_confidence", F.bround(1 / (1 + F.exp(-F.abs(units) / UNITS)), 4))
+        .drop("_units")
+    )
 
 
 def train_classifier(
-    df: DataFrame, text_col: str = "review_clean", label_col: str | None = None, features: int = 1 << 16, iterations: int = 20
+    df: DataFrame,
+    text_col: str = "review_clean",
+    label_col: str | None = None,
+    features: int = 1 << 16,
+    iterations: int = 20,
+    most: int = MAX_LABELLED,
+    id_col: str = "review_id",
 ) -> PipelineModel:
-    """Fit the classifier on a given binary label, or on the star label without the 3-star rows."""
+    """Logistic regression on hashed words, on at most ``most`` labelled rows; many passes over these."""
     require_columns(df, [text_col])
-    label = F.col(label_col) if label_col else labels.star_binary(F.col("rating"))
-    known = with_model_words(df, text_col).withColumn(
-        "_target", F.when(label == labels.POSITIVE, 1.0).when(label == labels.NEGATIVE, 0.0)
-    )
+    known = df.select(id_col, model_words(text_col).alias("_words"), _target(label_col).cast("double").alias("_target"))
+    known = known.filter(F.col("_target").isNotNull()).orderBy(draw_key(id_col), id_col).limit(most)
     stages = [
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
         IDF(inputCol="_counts", outputCol="_features"),
@@ -50,12 +115,12 @@ def train_classifier(
             rawPredictionCol="_raw", predictionCol="_prediction", maxIter=iterations, regParam=0.01,
         ),
     ]
-    return Pipeline(stages=stages).fit(known.filter(F.col("_target").isNotNull()).select("_words", "_target"))
+    return Pipeline(stages=stages).fit(written(known.select("_words", "_target"), "labelled"))
 
 
 def classify_reviews(df: DataFrame, model: PipelineModel, text_col: str = "review_clean") -> DataFrame:
     """Add ``model_label`` and ``model_confidence``; a narrow pass."""
-    scored = model.transform(with_model_words(df, text_col))
+    scored = model.transform(df.withColumn("_words", model_words(text_col)))
     confidence = F.bround(F.array_max(vector_to_array("_probability")), 4)
     return (
         scored.withColumn("model_label", F.when(F.col("_prediction") == 1.0, labels.POSITIVE).otherwise(labels.NEGATIVE))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinionloom.functions.binding import bind, column
-from opinionloom.functions.lookups import MAX_INLINE_ROWS, inline_map, rows_within
+from opinionloom.functions.lookups import MAX_INLINE_ROWS, inline_map, rows_within, word_join
+from opinionloom.session import written
 
 TOP_WORDS = 20
 WINDOW = 110
@@ -28,24 +29,13 @@ def _cover_sql(positions: str, window: int) -> str:
     )
 
 
-def window_pair_counts(
-    df: DataFrame,
-    words: dict[str, tuple[int, list[int]]],
-    tokens_col: str = "topic_tokens",
-    window: int = WINDOW,
-) -> DataFrame:
-    """In how many sliding windows two words of one topic occur together: ``(x, y, n)`` with ``x <= y``.
+def _pair_rows_sql(words: str, size: str, window: int) -> str:
+    """SQL of an array of ``(x, y, n)``: per pair of topic words of a text the number of windows with both.
 
-    ``words`` maps a term to its code and its topics. Windows are not spelled out: the windows with both words are
-    those with the first, plus those with the second, less those with either, and each of these numbers follows from
-    the word positions alone. A text yields one row per pair of topic words it holds, and pairs are summed per task
-    before they are shuffled.
+    ``words`` is an array of ``(pos, code, topics)`` of the topic words of a text of ``size`` tokens.
     """
-    entry = inline_map({t: {"code": c, "topics": ts} for t, (c, ts) in words.items()}, "struct<code:int,topics:array<int>>")
     both = _cover_sql("sort_array(concat(e.pos, f.pos))", window)
-    joint = (
-        f"struct(least(e.code, f.code) AS x, greatest(e.code, f.code) AS y, e.n + f.n - {both} AS n)"
-    )
+    joint = f"struct(least(e.code, f.code) AS x, greatest(e.code, f.code) AS y, e.n + f.n - {both} AS n)"
     later = "filter(slice(entries, i + 2, size(entries)), f -> arrays_overlap(f.topics, e.topics))"
     pairs = (
         "flatten(transform(entries, (e, i) -> "
@@ -53,43 +43,78 @@ def window_pair_counts(
     )
     everything = f"struct({ALL_WINDOWS} AS x, {ALL_WINDOWS} AS y, bigint(last + 1) AS n)"
     entries = (
-        "transform(array_distinct(transform(found, i -> get(words, i))), e -> "
+        "transform(array_distinct(transform(words, w -> struct(w.code AS code, w.topics AS topics))), e -> "
         + bind(
-            "filter(found, i -> get(words, i).code = e.code)",
+            "transform(filter(words, w -> w.code = e.code), w -> w.pos)",
             "pos",
             f"struct(e.code AS code, e.topics AS topics, pos AS pos, {_cover_sql('pos', window)} AS n)",
         )
         + ")"
     )
     rows = bind(entries, "entries", f"concat(array({everything}), {pairs})")
-    found = "filter(sequence(0, size(words) - 1), i -> get(words, i) IS NOT NULL)"
-    last = f"greatest(size(words) - {window}, 0)"
-    coded = f"transform({column(tokens_col)}, t -> {entry('t')})"
-    row_sql = bind(coded, "words", bind(last, "last", bind(found, "found", rows)))
-    return (
-        df.filter(F.size(tokens_col) > 0)
-        .select(F.expr(f"inline({row_sql})"))
-        .groupBy("x", "y")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") > 0)
+    return bind(words, "words", bind(f"greatest({size} - {window}, 0)", "last", rows))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("x", "y").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+
+
+def window_pair_counts(
+    df: DataFrame,
+    words: dict[str, tuple[int, list[int]]],
+    tokens_col: str = "topic_tokens",
+    window: int = WINDOW,
+) -> DataFrame:
+    """In how many sliding windows two words of one topic occur together: ``(x, y, n)`` with ``x <= y``.
+
+    ``words`` maps a term to its code and its topics. Windows are not spelled out: the windows with both words are
+    those with the first, plus those with the second, less those with either, and each of these numbers follows from
+    the word positions alone. A text yields one row per pair of topic words it holds, and pairs are summed per task
+    before they are shuffled.
+    """
+    entry = inline_map({t: {"code": c, "topics": ts} for t, (c, ts) in words.items()}, "struct<code:int,topics:array<int>>")
+    tokens = column(tokens_col)
+    coded = f"transform({tokens}, (t, i) -> struct(i AS pos, {entry('t')} AS e))"
+    found = f"transform(filter({coded}, w -> w.e IS NOT NULL), w -> struct(w.pos AS pos, w.e.code AS code, w.e.topics AS topics))"
+    rows = _pair_rows_sql(found, f"size({tokens})", window)
+    return _summed(df.filter(F.size(tokens_col) > 0).select(F.expr(f"inline({rows})")))
+
+
+def window_pair_counts_joined(
+    df: DataFrame, words: DataFrame, tokens_col: str = "topic_tokens", window: int = WINDOW, id_col: str = "review_id"
+) -> DataFrame:
+    """The same for word lists of any length: ``words`` has ``term, code, topics`` and is joined to the tokens."""
+    texts = df.filter(F.size(tokens_col) > 0).select(id_col, tokens_col)
+    tokens = texts.select(id_col, F.size(tokens_col).alias("size"), F.posexplode(tokens_col).alias("pos", "term"))
+    found = (
+        word_join(tokens, words, "term", [id_col, "pos"], "left")
+        .groupBy(id_col, "size")
+        .agg(F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("pos", "code", "topics")))).alias("found"))
     )
+    return _summed(found.select(F.expr(f"inline({_pair_rows_sql('found', 'size', window)})")))
 
 
 def topic_coherence(
     df: DataFrame, topic_words: DataFrame, tokens_col: str = "topic_tokens", window: int = WINDOW
 ) -> DataFrame:
     """Coherence per topic of ``topic_words (topic, term)``."""
-    rows = rows_within(topic_words.select("topic", "term").distinct(), MAX_INLINE_ROWS)
+    listed = topic_words.select("topic", "term").distinct()
+    rows = rows_within(listed, MAX_INLINE_ROWS)
     if rows is None:
-        raise ValueError("coherence is defined on the leading words of each topic")
-    codes = {term: i for i, term in enumerate(sorted({row["term"] for row in rows}))}
-    numbers = {topic: i for i, topic in enumerate(sorted({row["topic"] for row in rows}))}
-    words = {
-        term: (code, sorted(numbers[row["topic"]] for row in rows if row["term"] == term)) for term, code in codes.items()
-    }
-    spark = df.sparkSession
-    members = spark.createDataFrame([(r["topic"], codes[r["term"]]) for r in rows], _member_schema(topic_words))
-    counted = window_pair_counts(df, words, tokens_col, window)
+        listed = written(listed, "topic-words")
+        # codes only have to differ and to have an order
+        coded = listed.select("topic", "term", F.xxhash64("term").alias("code"))
+        entries = coded.groupBy("term", "code").agg(F.collect_list(F.xxhash64("topic")).alias("topics"))
+        counted = window_pair_counts_joined(df, entries, tokens_col, window)
+        members = coded.select("topic", F.col("code").alias("word"))
+    else:
+        codes = {term: i for i, term in enumerate(sorted({row["term"] for row in rows}))}
+        numbers = {topic: i for i, topic in enumerate(sorted({row["topic"] for row in rows}))}
+        words: dict[str, tuple[int, list[int]]] = {term: (code, []) for term, code in codes.items()}
+        for row in rows:
+            words[row["term"]][1].append(numbers[row["topic"]])
+        members = df.sparkSession.createDataFrame([(r["topic"], codes[r["term"]]) for r in rows], _member_schema(topic_words))
+        counted = window_pair_counts(df, words, tokens_col, window)
     total = F.max(F.when(F.col("x") == ALL_WINDOWS, F.col("n"))).over(Window.partitionBy())
     p = counted.withColumn("p", F.col("n") / total).filter(F.col("x") != ALL_WINDOWS).select("x", "y", "p")
 

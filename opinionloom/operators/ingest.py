@@ -19,6 +19,9 @@ COLUMN_MAP = {
     "reviews.title": "review_title",
     "reviews.username": "reviewer",
 }
+NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+#: Date texts read besides the ISO forms.
+DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "M/d/yyyy", "yyyy/M/d")
 REQUIRED_SOURCE_COLUMNS = ("reviews.text", "reviews.rating")
 
 
@@ -30,19 +33,19 @@ def select_source_columns(df: DataFrame) -> DataFrame:
 
 
 def whole_rating(rating: Column) -> Column:
-    """PRJ2: number with its fraction cut off; null for anything else, ``NaN`` included."""
-    return rating.try_cast("double").try_cast("int")
+    """PRJ2: decimal number text with its fraction cut off; null for anything else, ``NaN`` and ``4d`` included."""
+    return F.when(rating.cast("string").rlike(NUMBER), rating.cast("string").try_cast("double").try_cast("int"))
 
 
-def parsed_date(date: Column) -> Column:
-    """PRJ3: timestamp, or null when it cannot be read."""
-    return F.try_to_timestamp(date)
+def parsed_date(date: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
+    """PRJ3: timestamp by ISO form or the first of the further formats that fits, or null when it cannot be read."""
+    return F.coalesce(F.try_to_timestamp(date), *(F.try_to_timestamp(date, F.lit(f)) for f in formats))
 
 
-def coerce_columns(df: DataFrame) -> DataFrame:
+def coerce_columns(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
     df = df.withColumn("rating", whole_rating(F.col("rating")))
     if "review_date" in df.columns:
-        df = df.withColumn("review_date", parsed_date(F.col("review_date").cast("string")))
+        df = df.withColumn("review_date", parsed_date(F.col("review_date").cast("string"), formats))
     return df
 
 
@@ -51,10 +54,10 @@ def with_review_id(df: DataFrame) -> DataFrame:
     return df if "review_id" in df.columns else df.withColumn("review_id", F.monotonically_increasing_id())
 
 
-def standardize(df: DataFrame) -> DataFrame:
+def standardize(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
     """JOB1: PRJ1, FLT1, PRJ2, PRJ3, PRJ4, FLT2. One narrow pass."""
     df = with_review_id(select_source_columns(df)).dropna(subset=["review_text", "rating"])
-    df = coerce_columns(df).dropna(subset=["rating"])
+    df = coerce_columns(df, formats).dropna(subset=["rating"])
     return keep_real_text(df)
 
 

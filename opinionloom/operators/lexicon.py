@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from opinionloom import wordlists
 from opinionloom.functions.binding import bind, column, quoted
 from opinionloom.functions.labels import score_label
-from opinionloom.functions.lookups import inline_map, membership, salted_join, table_to_dict
+from opinionloom.functions.lookups import inline_map, membership, one_row_per_key, table_to_dict, word_join
 from opinionloom.schemas import require_columns
+from opinionloom.session import written
 
 # Fixed values of the published rule set (Hutto and Gilbert 2014).
 CAPS_STEP = 733               # thousandths
@@ -136,21 +137,42 @@ def score_reviews(
 
 def units_in_row(text_col: str, terms: Mapping[str, int], lexicon: Lexicon) -> Column:
     """Total units of a text, computed over the array of its words; most words end at the first filter."""
-    valence_of = inline_map(terms, "long")
-    is_term = membership(terms)
+    valence_of, is_term = inline_map(terms, "long"), membership(terms)
     scored = membership(set(terms) - set(lexicon.boosters))
-    near = ", ".join(
-        neighbour_sql(f"get(words.lower, i - {k})", f"get(words.cased, i - {k})", is_term(f"get(words.lower, i - {k})"))
-        for k in (1, 2, 3)
+    word = "get(words.lower, {})".format
+    return _units(
+        text_col,
+        lexicon,
+        valence=lambda i: valence_of(word(i)),
+        known=lambda i: is_term(word(i)),
+        scored=lambda i: scored(word(i)),
+        some=f"exists(words.lower, w -> {scored('w')})",
     )
-    units = word_units_sql(
-        valence_of("get(words.lower, i)"),
-        caps_sql("get(words.cased, i)"),
-        "fact.mixed",
-        "near",
-        contrast_weight_sql("(i + 1)", "fact.contrast"),
+
+
+def units_from_hits(text_col: str, hits: str, lexicon: Lexicon) -> Column:
+    """The same from a map column ``word position -> valence`` of the words that were found in a lexicon table."""
+    booster = membership(lexicon.boosters)
+    return _units(
+        text_col,
         lexicon,
+        valence=lambda i: f"try_element_at({hits}, {i})",
+        known=lambda i: f"coalesce(map_contains_key({hits}, {i}), false)",
+        scored=lambda i: f"(map_contains_key({hits}, {i}) AND NOT {booster(f'get(words.lower, {i})')})",
+        some=f"{hits} IS NOT NULL",
     )
+
+
+def _units(text_col: str, lexicon: Lexicon, valence, known, scored, some: str) -> Column:
+    """``valence``, ``known`` and ``scored`` give SQL for the word at a position; ``some`` is a cheap condition without
+    which no word is scored, so that most texts end there."""
+    near = ", ".join(
+        neighbour_sql(f"get(words.lower, i - {k})", f"get(words.cased, i - {k})", known(f"(i - {k})")) for k in (1, 2, 3)
+    )
+    units = word_units_sql(
+        valence("i"), caps_sql("get(words.cased, i)"), "fact.mixed", "near",
+        contrast_weight_sql("(i + 1)", "fact.contrast"), lexicon,
+    )
     each = bind(f"array({near})", "near", units)
     summed = f"aggregate(transform(found, i -> {each}), 0L, (acc, x) -> acc + x)"
     n_caps = f"size(filter(words.cased, w -> {caps_sql('w')}))"
@@ -158,11 +180,11 @@ def units_in_row(text_col: str, terms: Mapping[str, int], lexicon: Lexicon) -> C
         f"struct({n_caps} BETWEEN 1 AND size(words.cased) - 1 AS mixed, "
         f"array_position(words.lower, {quoted(lexicon.contrast)}) AS contrast)"
     )
-    found = f"filter(sequence(0, size(words.lower) - 1), i -> {scored('get(words.lower, i)')})"
+    found = f"filter(sequence(0, size(words.lower) - 1), i -> {scored('i')})"
     total = bind(found, "found", f"CASE WHEN size(found) = 0 THEN 0L ELSE {bind(fact, 'fact', summed)} END")
     text = spoken_text_sql(f"coalesce({column(text_col)}, '')")
     words = bind(text, "text", "struct(split(text, ' ') AS cased, split(lower(text), ' ') AS lower)")
-    return F.expr(bind(words, "words", total))
+    return F.expr(bind(words, "words", f"CASE WHEN {some} THEN {total} ELSE 0L END"))
 
 
 def score_by_join(
@@ -170,46 +192,20 @@ def score_by_join(
 ) -> DataFrame:
     """SEN1 with the lexicon as a joined table (JOIN6), for lexicons too long to travel inside the plan.
 
-    The three preceding words are attached where the text is still whole, so no ordering window is needed; after the
-    inner join only sentiment words are left, and one partial sum per review is shuffled.
+    The reviews are written once, then read for their words and for the result. One join finds the sentiment words;
+    per review a map from their positions to their valences comes back, and the rules run in the row as they do
+    without a join.
     """
-    spark = df.sparkSession
     terms = lexicon.terms
     if not isinstance(terms, DataFrame):
-        terms = spark.createDataFrame(list(terms.items()), "term string, valence_tenths int")
-    terms = terms.toDF("term", "valence_tenths").dropDuplicates(["term"])
-    words = df.select(id_col, F.split(F.expr(spoken_text_sql(f"coalesce({column(text_col)}, '')")), " ").alias("_cased"))
-    n_caps = f"size(filter(_cased, w -> {caps_sql('w')}))"
-    previous = ", ".join(f"get(_cased, i - {k}) AS _near{k}" for k in (1, 2, 3))
-    # Facts about the whole text are settled before the words are spread out, once per review and not once per word.
-    facts = words.withColumn("_mixed", F.expr(f"{n_caps} BETWEEN 1 AND size(_cased) - 1")).withColumn(
-        "_contrast", F.expr(f"array_position(transform(_cased, w -> lower(w)), {quoted(lexicon.contrast)})")
-    )
-    rows = facts.select(
-        id_col,
-        "_mixed",
-        "_contrast",
-        F.expr(f"inline(transform(_cased, (w, i) -> struct(i AS _pos, w AS _word, {previous})))"),
-    ).withColumn("term", F.lower("_word"))
-    candidates = rows.filter(f"NOT {membership(lexicon.boosters)('term')}")
-    hits = salted_join(candidates, terms, "term", [id_col, "_pos"]).withColumnRenamed("term", "_term")
-    for back in (1, 2, 3):
-        flagged = terms.select(F.col("term").alias(f"_key{back}"), F.lit(True).alias(f"_known{back}"))
-        hits = salted_join(
-            hits.withColumn(f"_key{back}", F.lower(f"_near{back}")), flagged, f"_key{back}", [id_col, "_pos"], "left"
-        )
-    near = ", ".join(neighbour_sql(f"_key{k}", f"_near{k}", f"coalesce(_known{k}, false)") for k in (1, 2, 3))
-    units = word_units_sql(
-        "bigint(valence_tenths)",
-        caps_sql("_word"),
-        "_mixed",
-        "_near",
-        contrast_weight_sql("(_pos + 1)", "_contrast"),
-        lexicon,
-    )
-    totals = (
-        hits.withColumn("_near", F.expr(f"array({near})"))
+        terms = df.sparkSession.createDataFrame(list(terms.items()), "term string, valence_tenths int")
+    terms = one_row_per_key(terms.toDF("term", "valence_tenths"))
+    settled = written(df, "scored-text")
+    spoken = F.expr(spoken_text_sql(f"coalesce({column(text_col)}, '')"))
+    words = settled.select(id_col, F.posexplode(F.split(F.lower(spoken), " ")).alias("_pos", "term"))
+    hits = (
+        word_join(words, terms, "term", [id_col, "_pos"])
         .groupBy(id_col)
-        .agg(F.sum(F.expr(units)).alias("_units"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("_pos", F.col("valence_tenths").cast("long")))).alias("_hits"))
     )
-    return _with_score(df.join(totals, id_col, "left"), F.col("_units")).drop("_units")
+    return _with_score(settled.join(hits, id_col, "left"), units_from_hits(text_col, "_hits", lexicon)).drop("_hits")

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinionloom.functions import labels
+from opinionloom.functions.lookups import lookup_join
 from opinionloom.functions.numeric import decimal_mean
 from opinionloom.operators.agreement import binary_agreement
 from opinionloom.operators.clean import MIN_CLEAN_CHARS
 from opinionloom.operators.tokens import MIN_TOKENS
+from opinionloom.session import written
 
 SENTIMENTS = (labels.POSITIVE, labels.NEUTRAL, labels.NEGATIVE)
 BINARY = (labels.POSITIVE, labels.NEGATIVE)
@@ -86,4 +88,7 @@ def values_outside(df: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
 
 def values_missing(df: DataFrame, column: str, expected: DataFrame) -> DataFrame:
     """SET3: expected values that never occur."""
-    return expected.join(df.select(column).distinct(), column, "left_anti")
+    # only values on the list are shuffled, once a task and value
+    expected = written(expected.select(column), "expected-values")
+    found = lookup_join(df.select(column), expected.distinct(), column, "left_semi").distinct()
+    return expected.join(found, column, "left_anti")

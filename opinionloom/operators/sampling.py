@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinionloom.functions.lookups import rows_within
+from opinionloom.functions.lookups import lookup_join
+from opinionloom.session import written
 
 SAMPLE_ROWS = 50_000
 SEED = 42
-HEX_DIGITS = 8
-FIRST_SLACK = 10.0
-MAX_INLINE_STRATA = 50
+BUCKET_DIGITS = 3
 
 
 def draw_key(id_col: str, seed: int = SEED) -> Column:
@@ -37,50 +36,29 @@ def sample_quota(cap: int, stratum_rows: Column, total_rows: int) -> Column:
 def stratified_sample(
     df: DataFrame, cap: int = SAMPLE_ROWS, stratum: str = "rating", seed: int = SEED, id_col: str = "review_id"
 ) -> DataFrame:
-    """SMP1, WIN4: an exact share of every stratum, or the table itself when it has no more than ``cap`` rows.
+    """SMP1: an exact share of every stratum, or all rows that have one when these are no more than ``cap``.
 
-    Ranking a stratum that holds most of a large table would sort it in one task. Draw keys are uniform, so the rows
-    of a stratum that can be drawn almost surely lie below a threshold key a little above its quota; only those are
-    ranked. The number below each threshold is counted, and where it falls short of the quota the threshold is
-    raised, so the result is exact for any distribution of ids.
+    Two passes, and no stratum is ever sorted in one place. The first counts rows per stratum and key bucket (the
+    leading hex digits of the draw key); that gives the bucket in which each stratum's quota ends. In the second, rows
+    of earlier buckets pass, and only those of the last bucket are ranked: about one in ``16 ** BUCKET_DIGITS``.
+    Rows without a stratum are not drawn. Rows that share key and id are drawn in any order among themselves.
     """
     known = df.filter(F.col(stratum).isNotNull())
-    counts = known.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    total = known.count()
+    keyed = known.withColumn("_key", draw_key(id_col, seed)).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    buckets = written(keyed.groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_n")), "draw-buckets")
+    total = buckets.agg(F.sum("_n")).first()[0] or 0
     if total <= cap:
-        return df
-    keyed = known.withColumn("_key", draw_key(id_col, seed))
-    quotas = counts.withColumn("_quota", sample_quota(cap, F.col("_n"), total))
-    rows = rows_within(quotas, MAX_INLINE_STRATA)
-    # A handful of strata travel inside the plan; any other number is joined, as Spark sees fit for its size.
-    placed = keyed.join(quotas, stratum) if rows is None else _with_quotas(keyed, stratum, rows)
-    slack = FIRST_SLACK
-    while True:
-        below = placed.filter(F.substring("_key", 1, HEX_DIGITS) <= _threshold(slack))
-        found = below.groupBy(stratum).agg(F.count(F.lit(1)).alias("_found"))
-        short = quotas.join(found, stratum, "left").filter(F.coalesce("_found", F.lit(0)) < F.col("_quota"))
-        if short.isEmpty():
-            break
-        slack *= 8
+        return known
+    upto = F.sum("_n").over(Window.partitionBy(stratum).orderBy("_bucket"))  # a few thousand rows per stratum
+    rows = F.sum("_n").over(Window.partitionBy(stratum))
+    marks = (
+        buckets.select(stratum, "_bucket", (upto - F.col("_n")).alias("_before"), sample_quota(cap, rows, total).alias("_quota"))
+        .filter(F.col("_before") < F.col("_quota"))
+        .groupBy(stratum)
+        .agg(F.max(F.struct("_bucket", (F.col("_quota") - F.col("_before")).alias("_left"))).alias("_last"))
+    )
+    placed = lookup_join(keyed, marks, stratum)
+    passed = placed.filter(F.col("_bucket") < F.col("_last._bucket")).select(*df.columns)
     order = Window.partitionBy(stratum).orderBy("_key", id_col)
-    ranked = below.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.col("_quota"))
-    return ranked.select(*df.columns)
-
-
-def _threshold(slack: float) -> Column:
-    """Largest leading part of a key that is tried: the quota's share of the key range and ``slack`` deviations."""
-    quota = F.col("_quota")
-    fraction = (quota + F.sqrt(quota) * slack + slack) / F.col("_n")
-    highest = F.lit(16**HEX_DIGITS - 1)
-    point = F.least(F.ceil(fraction * 16**HEX_DIGITS).cast("long"), highest)
-    return F.lpad(F.lower(F.hex(point)), HEX_DIGITS, "0")
-
-
-def _with_quotas(df: DataFrame, stratum: str, rows: list) -> DataFrame:
-    kind = df.schema[stratum].dataType
-    for name in ("_n", "_quota"):
-        value = F.lit(None).cast("long")
-        for row in rows:
-            value = F.when(F.col(stratum) == F.lit(row[stratum]).cast(kind), F.lit(row[name]).cast("long")).otherwise(value)
-        df = df.withColumn(name, value)
-    return df
+    edge = placed.filter(F.col("_bucket") == F.col("_last._bucket")).withColumn("_rank", F.row_number().over(order))
+    return passed.unionByName(edge.filter(F.col("_rank") <= F.col("_last._left")).select(*df.columns))

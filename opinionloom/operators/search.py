@@ -28,7 +28,7 @@ HEADINGS = {
 def keyword(term: str, literal: bool = False) -> Column:
     """FLT11: case-insensitive pattern on the raw text; null text does not match."""
     pattern = re.escape(term.strip()) if literal else term.strip()
-    return F.coalesce(F.col("review_text").rlike("(?iu)" + pattern), F.lit(False))
+    return F.coalesce(F.col("review_text").rlike("(?iU)" + pattern), F.lit(False))
 
 
 def search(
@@ -57,10 +57,10 @@ def search_summary(hits: DataFrame) -> DataFrame:
     )
 
 
-def search_results(hits: DataFrame, limit: int = RESULT_LIMIT, friendly: bool = False) -> DataFrame:
-    """LIM1, PRJ13: the first hits by review id, display columns that exist."""
+def search_results(hits: DataFrame, limit: int | None = RESULT_LIMIT, friendly: bool = False) -> DataFrame:
+    """LIM1, PRJ13: the first hits by review id (all with ``limit=None``), display columns that exist."""
     shown = [name for name in HEADINGS if name in hits.columns]
-    first = hits.orderBy("review_id").limit(limit)
+    first = hits if limit is None else hits.orderBy("review_id").limit(limit)
     if friendly:
         return first.select(*(F.col(name).alias(HEADINGS[name]) for name in shown))
     return first.select("review_id", *shown)

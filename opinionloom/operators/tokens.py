@@ -13,11 +13,13 @@ from opinionloom.functions.lookups import (
     MAX_INLINE_ROWS,
     inline_map,
     membership,
+    one_row_per_key,
     rows_within,
-    salted_join,
     table_to_dict,
+    word_join,
 )
 from opinionloom.schemas import require_columns
+from opinionloom.session import written
 
 MIN_TOKEN_CHARS = 3
 MIN_TOKENS = 3
@@ -103,21 +105,32 @@ def normalize_reviews(
 def normalize_by_join(
     df: DataFrame, stops: DataFrame, lemmas: DataFrame, text_col: str = "review_clean", id_col: str = "review_id"
 ) -> DataFrame:
-    """NLP2 for word tables of any size: one row per word, joined, and collected again per review."""
-    terms = stops.toDF("form").distinct()
-    lemma_rows = lemmas.toDF("form", "_lemma").dropDuplicates(["form"])
-    words = df.select(id_col, F.posexplode(F.expr(alphabetic_words_sql(column(text_col)))).alias("_pos", "form"))
-    kept = salted_join(words, terms, "form", [id_col, "_pos"], "left_anti")
-    lemmatized = salted_join(kept, lemma_rows, "form", [id_col, "_pos"], "left").select(
-        id_col, "_pos", F.coalesce("_lemma", "form").alias("form")
+    """NLP2 for word tables of any size.
+
+    The reviews are written once, then read for their words and for the result. What becomes of a word form (dropped, or
+    its lemma) is settled between the two word tables; one join then serves all words.
+    """
+    terms = stops.toDF("form").filter("form is not null").distinct()
+    lemma_rows = one_row_per_key(lemmas.toDF("form", "lemma"))
+    bad_lemma = terms.select(F.col("form").alias("lemma"), F.lit(True).alias("_bad"))
+    fates = (
+        terms.withColumn("_stop", F.lit(True))
+        .join(lemma_rows, "form", "full")
+        .join(bad_lemma, "lemma", "left")
+        .select("form", F.when(F.col("_stop").isNull() & F.col("_bad").isNull(), F.col("lemma")).alias("_fate"))
+        .withColumn("_listed", F.lit(True))
     )
-    final = salted_join(lemmatized, terms, "form", [id_col, "_pos"], "left_anti").filter(
-        F.length("form") >= MIN_TOKEN_CHARS
+    settled, fates = written(df, "tokenized-text"), written(fates, "word-fates")
+    words = settled.select(id_col, F.posexplode(F.expr(alphabetic_words_sql(column(text_col)))).alias("_pos", "form"))
+    final = (
+        word_join(words, fates, "form", [id_col, "_pos"], "left")
+        .select(id_col, "_pos", F.when(F.col("_listed"), F.col("_fate")).otherwise(F.col("form")).alias("form"))
+        .filter(F.length("form") >= MIN_TOKEN_CHARS)
     )
     tokens = final.groupBy(id_col).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_pos", "form"))), lambda t: t["form"]).alias("tokens")
     )
-    return _finish(df.join(tokens, id_col))
+    return _finish(settled.join(tokens, id_col))
 
 
 def tokens_long(df: DataFrame, id_col: str = "review_id") -> DataFrame:

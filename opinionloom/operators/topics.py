@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from opinionloom import wordlists
 from opinionloom.functions.binding import pin
 from opinionloom.functions.labels import topic_label_or_default
-from opinionloom.functions.lookups import lookup_join
+from opinionloom.functions.lookups import lookup_join, word_join
 from opinionloom.operators.tokens import MIN_TOKENS, drop_words
-from opinionloom.session import checkpointed
+from opinionloom.session import written
 
 NUM_TOPICS = 8
 PASSES = 10
@@ -26,7 +26,6 @@ MAX_DOC_SHARE = 0.85
 MAX_TERMS = 10_000
 LABEL_WORDS = 5
 CHUNK_DOCS = 2_000
-MAX_CHUNKS = 50
 EVERY_DOCUMENT = ""
 
 
@@ -71,10 +70,11 @@ def vocabulary(
 def bag_of_words(df: DataFrame, terms: DataFrame, tokens_col: str = "topic_tokens", id_col: str = "review_id") -> DataFrame:
     """LDA3, JOIN5 in long form: ``(id, term_id, n)``; unknown terms are dropped.
 
-    ``terms`` holds at most ``MAX_TERMS`` rows, so every task can keep all of it; counting starts before the shuffle.
+    A dictionary is broadcast after its size is measured, a larger one is joined with salted words; counting starts before
+    the shuffle.
     """
     words = df.select(id_col, F.explode(tokens_col).alias("term"))
-    known = words.join(F.broadcast(terms.select("term", "term_id").limit(MAX_TERMS)), "term")
+    known = word_join(words, written(terms.select("term", "term_id"), "dictionary"), "term", [id_col])
     return known.groupBy(id_col, "term_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -107,12 +107,12 @@ class TopicModel:
         return all(path.getFileSystem(conf).exists(path) for path in paths)
 
 
-def training_schedule(documents: int, passes: int = PASSES) -> tuple[int, float]:
-    """Iterations and sampling rate that see the corpus ``passes`` times in chunks of about 2,000 documents.
+def training_schedule(documents: int, passes: int = PASSES, chunk_docs: int = CHUNK_DOCS) -> tuple[int, float]:
+    """Iterations and sampling rate that see the corpus ``passes`` times in chunks of about ``chunk_docs`` documents.
 
-    Large corpora are cut into ``MAX_CHUNKS`` chunks instead: more work per step and fewer steps.
+    The rule is the same at every size; for a large corpus pass larger chunks, which means fewer and bigger steps.
     """
-    chunks = min(MAX_CHUNKS, max(1, round(documents / CHUNK_DOCS)))
+    chunks = max(1, round(documents / chunk_docs))
     return passes * chunks, 1.0 / chunks
 
 
@@ -126,6 +126,7 @@ def fit_topics(
     keep_n: int = MAX_TERMS,
     tokens_col: str = "topic_tokens",
     id_col: str = "review_id",
+    chunk_docs: int = CHUNK_DOCS,
 ) -> TopicModel:
     """LDA2 to LDA4: dictionary, word counts, online variational training.
 
@@ -140,8 +141,8 @@ def fit_topics(
     )
     counts = vectorizer.transform(df.select(id_col, tokens_col)).select(id_col, "features")
     n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
-    features = checkpointed(counts.repartition(n, id_col).sortWithinPartitions(id_col)).cache()
-    iterations, rate = training_schedule(features.count(), passes)
+    features = written(counts.repartition(n, id_col).sortWithinPartitions(id_col), "word-counts").cache()
+    iterations, rate = training_schedule(features.count(), passes, chunk_docs)
     lda = LDA(
         k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=rate,
         optimizeDocConcentration=True, learningOffset=1.0, learningDecay=0.51,
@@ -179,25 +180,34 @@ def keyword_text(keywords: DataFrame, n: int = LABEL_WORDS) -> DataFrame:
     )
 
 
+def topic_distribution(df: DataFrame, model: TopicModel) -> DataFrame:
+    """Model inference: add ``topic_distribution``, an array; the caller's model is left as it is."""
+    lda = model.lda.copy()
+    lda.setTopicDistributionCol("_topics").setFeaturesCol("features")
+    scored = lda.transform(model.vectorizer.transform(df))
+    return scored.withColumn("topic_distribution", vector_to_array("_topics")).drop("features", "_topics")
+
+
 def assign_topics(df: DataFrame, model: TopicModel, labels: DataFrame | None = None) -> DataFrame:
-    """LDA5, JOIN2, JOIN3: add ``dominant_topic``, ``topic_label``, ``topic_score``, ``topic_keywords``.
+    """LDA5: add ``dominant_topic``, ``topic_label``, ``topic_score``, ``topic_keywords`` by a fitted model."""
+    keywords = topic_keywords(df.sparkSession, model, LABEL_WORDS)
+    return assign_from_distribution(topic_distribution(df, model), keywords, labels)
+
+
+def assign_from_distribution(df: DataFrame, keywords: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """JOIN2, JOIN3, ARG1, PRJ16: the same from a column ``topic_distribution`` of any origin, which is dropped.
 
-    A review without a known word gets topic 0 with score 0. The small label and keyword tables are broadcast after
-    their size is known.
+    ``keywords`` has ``dominant_topic, rank, term``. A review without a known word gets topic 0 with score 0. The small
+    label and keyword tables are broadcast after their size is known.
     """
-    spark = df.sparkSession
-    model.lda.setTopicDistributionCol("topic_distribution")
-    scored = model.lda.setFeaturesCol("features").transform(model.vectorizer.transform(df))
-    distribution = vector_to_array("topic_distribution")
     placed = (
-        scored.withColumn("_distribution", distribution)
-        .withColumn("dominant_topic", dominant_topic(F.col("_distribution")))
-        .withColumn("topic_score", F.bround(F.coalesce(F.array_max("_distribution"), F.lit(0.0)), 4))
-        .drop("features", "topic_distribution", "_distribution")
+        df.withColumn("dominant_topic", dominant_topic(F.col("topic_distribution")))
+        .withColumn("topic_score", F.bround(F.coalesce(F.array_max("topic_distribution"), F.lit(0.0)), 4))
+        .drop("topic_distribution")
     )
     if labels is None:
-        labels = spark.createDataFrame([], "dominant_topic int, topic_label string")
-    described = keyword_text(topic_keywords(spark, model, LABEL_WORDS)).join(labels, "dominant_topic", "left")
+        labels = df.sparkSession.createDataFrame([], "dominant_topic int, topic_label string")
+    described = keyword_text(keywords).join(labels, "dominant_topic", "left")
     return lookup_join(placed, described, "dominant_topic").withColumn(
         "topic_label", topic_label_or_default(F.col("topic_label"), F.col("dominant_topic"))
     )

@@ -8,19 +8,30 @@ from pyspark.sql import functions as F
 from opinionloom.operators import agreement, aggregates, classify, clean, coherence, ingest, lexicon, sampling, tokens, topics
 from opinionloom.schemas import require_columns
 from opinionloom.sinks.tables import sentiment_report, topic_report, write_report, write_snapshot
-from opinionloom.sources.csv_files import read_reviews_csv, validated_csv
+from opinionloom.sources.csv_files import MIN_FILE_BYTES, all_csv, read_reviews_csv, validated_csv
 from opinionloom.sources.snapshots import read_first_snapshot, read_snapshot
 
 
-def ingest_job(spark: SparkSession, folder: str, output: str, min_bytes: int | None = None) -> DataFrame:
-    """JOB2: the largest CSV of a folder, standardized and written; the profile is taken from the written table."""
-    path = validated_csv(spark, folder) if min_bytes is None else validated_csv(spark, folder, min_bytes)
-    raw = require_columns(read_reviews_csv(spark, path), ingest.REQUIRED_SOURCE_COLUMNS)
-    return write_snapshot(ingest.standardize(raw), output)
+def ingest_job(
+    spark: SparkSession,
+    folder: str,
+    output: str,
+    min_bytes: int = MIN_FILE_BYTES,
+    every_file: bool = False,
+    multi_line: bool | None = None,
+    formats: tuple[str, ...] = ingest.DATE_FORMATS,
+) -> DataFrame:
+    """JOB2: the largest CSV of a folder, or all of its files, standardized and written.
+
+    Files of a data set must have the same columns. The profile is taken from the written table.
+    """
+    path = all_csv(spark, folder, min_bytes) if every_file else validated_csv(spark, folder, min_bytes)
+    raw = require_columns(read_reviews_csv(spark, path, multi_line), ingest.REQUIRED_SOURCE_COLUMNS)
+    return write_snapshot(ingest.standardize(raw, formats), output)
 
 
-def preprocess(df: DataFrame, sample_rows: int | None = sampling.SAMPLE_ROWS, **words) -> DataFrame:
-    """SMP1, NLP1, NLP2. ``sample_rows=None`` keeps the whole table."""
+def preprocess(df: DataFrame, sample_rows: int | None = None, **words) -> DataFrame:
+    """SMP1, NLP1, NLP2. The whole table, or a stratified sample of ``sample_rows``."""
     if sample_rows is not None:
         df = sampling.stratified_sample(df, sample_rows)
     return df.transform(clean.clean_reviews).transform(tokens.normalize_reviews, **words)
@@ -39,10 +50,10 @@ def sentiment_job(
     The report reads the written table, so nothing is computed twice and no cache has to survive an executor.
     """
     reviews = agreement.add_star_sentiment(read_snapshot(spark, source))
-    model = classify.train_classifier(reviews)
+    model = classify.fit_word_odds(reviews)
     scored = (
         reviews.transform(lexicon.score_reviews, lexicon=words)
-        .transform(classify.classify_reviews, model)
+        .transform(classify.score_by_words, model)
         .transform(agreement.add_agreement_flag)
     )
     written = write_snapshot(scored, output)

@@ -33,7 +33,6 @@ LEXICON = "term string, valence_tenths int"
 BOOSTERS = "term string, step_thousandths int"
 NEGATORS = "term string"
 LEMMAS = "form string, lemma string"
-TOPIC_LABELS = "dominant_topic int, topic_label string"
 
 
 def stage_schema(stage: str) -> T.StructType:

@@ -18,6 +18,10 @@ SESSION_CONF = {
 }
 
 
+#: Tables up to this size may be shuffled to give them more tasks.
+SPREAD_BYTES = 256 << 20
+
+
 def build_session(app_name: str = "opinionloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; cluster sizing stays with the cluster's own defaults."""
     builder = SparkSession.builder.appName(app_name)
@@ -73,8 +77,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a scan with too few splits enough tasks for CPU-heavy text work.
 
-    A table of many files already has more splits than cores and is returned untouched; only a small table that
-    sits in one or two row groups is shuffled by ``key``.
+    Only a small table that sits in one or two row groups is shuffled by ``key``; whatever Spark estimates at more than
+    ``SPREAD_BYTES`` is returned untouched, however many cores the cluster has.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores, key) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df

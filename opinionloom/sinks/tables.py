@@ -13,6 +13,9 @@ from opinionloom.operators import aggregates
 from opinionloom.operators.agreement import binary_agreement
 
 
+REPORT_ROWS = 10_000
+
+
 def write_snapshot(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """SNK1: write a stage as Parquet and continue from the written table."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -82,11 +85,12 @@ def topic_report(df: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
 
 
 def write_chart_tables(tables: Mapping[str, DataFrame], folder: str) -> list[str]:
-    """SNK5: one folder per prepared table. Row-level tables keep their partitioning, aggregates become one file."""
+    """SNK5: one folder per prepared table. Tables of at most ``REPORT_ROWS`` rows become one JSON file, longer ones
+    Parquet with the partitioning they have."""
     written = []
     for name, table in tables.items():
         path = f"{folder}/{name}"
-        if name == "vader_scores":
+        if table.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
             table.write.mode("overwrite").parquet(path)
         else:
             write_report(table, path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 MIN_FILE_BYTES = int(0.1 * 1024 * 1024)
 
-# Strings the reference's CSV reader takes for a missing value.
+# pandas' default missing values.
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -41,17 +41,33 @@ def validated_csv(spark: SparkSession, folder: str, min_bytes: int = MIN_FILE_BY
     return path
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
+def all_csv(spark: SparkSession, folder: str, min_bytes: int = 0) -> list[str]:
+    """Paths of all CSV files of at least ``min_bytes``, by name; refused when there is none."""
+    paths = [r["path"] for r in list_csv_files(spark, folder).filter(F.col("length") >= min_bytes).orderBy("path").collect()]
+    if not paths:
+        raise FileNotFoundError(f"no CSV files in {folder}")
+    return paths
+
+
+def is_utf8(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether every line of a file is valid UTF-8; stops at the first line that is not."""
     return spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
 
 
-def read_reviews_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def has_quoted_line_breaks(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether some line has an odd number of quotes, so that a quoted value goes on in the next one."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_reviews_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
     """SRC3: all columns as text, missing-value tokens as null, Latin-1 where the bytes are not UTF-8.
 
-    Quoted line breaks need ``multi_line``, which reads a file in one piece. Files known to have none are read in
-    parallel splits with ``multi_line=False``.
+    Quoted line breaks need ``multi_line``, which reads a file in one piece; files without are read in parallel splits.
+    By default the files are looked through to tell.
     """
+    if multi_line is None:
+        multi_line = has_quoted_line_breaks(spark, path)
     df = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)

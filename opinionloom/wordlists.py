@@ -37,19 +37,6 @@ TOPIC_STOP_WORDS = (
     "need", "look", "give", "take", "little", "big", "new", "old",
 )
 
-# Topic id -> label of the published eight-topic model. Topic ids of a new fit are arbitrary, so this
-# table is only for tables produced by that model; a new fit is labelled by its own keywords or by the caller.
-PUBLISHED_TOPIC_LABELS = {
-    0: "kids_tablets",
-    1: "customer_service_issues",
-    2: "apps_entertainment",
-    3: "device_features",
-    4: "battery_value",
-    5: "gift_recommendations",
-    6: "media_camera",
-    7: "kindle_ereaders",
-}
-
 # A small form -> lemma table; forms outside it are their own lemma.
 LEMMAS = {
     "batteries": "battery", "books": "book", "bought": "buy", "broke": "break", "broken": "break",
@@ -66,7 +53,8 @@ LEMMAS = {
     "works": "work", "years": "year",
 }
 
-# Authored starting lexicon: word -> valence in tenths, positive above zero.
+# Starting lexicon: word -> valence in tenths, positive above zero. Most values follow the public lexicon of Hutto and
+# Gilbert (2014, MIT licence), rounded to tenths; it is a sample, pass the full table as a parameter.
 LEXICON = {
     "amazing": 28, "awesome": 31, "beautiful": 29, "best": 32, "better": 19, "bright": 19, "charming": 28,
     "comfortable": 23, "convenient": 17, "cute": 20, "delighted": 23, "durable": 15, "easy": 19, "enjoy": 22,

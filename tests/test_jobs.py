@@ -53,7 +53,7 @@ def test_labels_follow_the_text(stages):
     assert classify.mean_confidence(sentiment).first()[0] > 0.5
 
 
-def test_reports_and_charts(stages, spark):
+def test_reports_and_charts(stages, spark, monkeypatch):
     folder, *_, master, score = stages
     figures = {(r["section"], r["metric"]): r["value"] for r in report_rows(folder / "sentiment_report")}
     assert figures[("overall", "total")] == 40.0
@@ -64,6 +64,7 @@ def test_reports_and_charts(stages, spark):
     assert -1 <= score <= 1
     assert jobs.kpis_with_coherence(master, score).first()["coherence"] == score
     prepared = jobs.prepared_tables(master)
+    monkeypatch.setattr(tables, "REPORT_ROWS", 39)
     written = tables.write_chart_tables({n: prepared[n] for n in ("rating_dist", "vader_scores", "wc_tokens")}, str(folder / "charts"))
     assert len(written) == 3 and spark.read.parquet(written[1]).count() == 40
     assert {r["rating"] for r in report_rows(written[0])} == {1, 5}
@@ -86,6 +87,17 @@ def test_caller_model_is_loaded_once_per_task(spark):
     assert "_text" not in rows[0].asDict()
 
 
-def test_word_limit(spark):
-    df = spark.createDataFrame([("w " * 600,)], "review_clean string")
-    assert classify.with_model_words(df, "review_clean").select(F.size("_words")).first()[0] == 512
+def test_words_are_not_cut_off(spark):
+    df = spark.createDataFrame([("w " * 600 + "end",)], "review_clean string")
+    assert df.select(F.size(classify.model_words("review_clean"))).first()[0] == 601
+
+
+def test_word_odds(spark):
+    rows = [(i, f"{'good fine' if i % 2 else 'bad poor'} thing{i}", 5 if i % 2 else 1) for i in range(40)] + [(40, None, 3), (41, "good bad", None)]
+    df = spark.createDataFrame(rows, "review_id long, review_clean string, rating int")
+    model = classify.fit_word_odds(df.filter("review_id < 20"))
+    scored = {r.review_id: r for r in classify.score_by_words(df, model).collect()}
+    assert all(scored[i].model_label == ("positive" if i % 2 else "negative") for i in range(40))
+    assert scored[40].model_confidence == 0.5 and len(scored) == 42
+    empty = classify.fit_word_odds(df.filter("review_id < 0"))
+    assert {r.model_confidence for r in classify.score_by_words(df, empty).collect()} == {0.5}

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from opinionloom.operators import sampling
@@ -38,7 +40,15 @@ def test_small_table_is_kept(spark):
     assert [r["review_id"] for r in sampling.head(df, 2).collect()] == [10_000, 20_000]
 
 
-def test_many_strata_are_joined(spark, monkeypatch):
-    expected = sorted(map(tuple, sampling.stratified_sample(strata(spark, 2), 200).collect()))
-    monkeypatch.setattr(sampling, "MAX_INLINE_STRATA", 2)
-    assert sorted(map(tuple, sampling.stratified_sample(strata(spark, 2), 200).collect())) == expected
+def test_rows_without_a_stratum_are_never_drawn(spark):
+    df = strata(spark, 2).union(spark.createDataFrame([(1, None), (2, None)], "review_id long, rating int"))
+    for cap in (200, 5000):
+        drawn = sampling.stratified_sample(df, cap)
+        assert drawn.filter("rating is null").count() == 0
+    assert sampling.stratified_sample(df.filter("rating is null"), 5).count() == 0
+
+
+def test_only_the_last_bucket_of_a_stratum_is_ranked(spark):
+    plan = sampling.stratified_sample(strata(spark, 3), 200)._jdf.queryExecution().optimizedPlan().toString()
+    ranked = plan[plan.index("row_number") :]
+    assert re.search(r"_bucket#\d+ = _last#\d+\._bucket", ranked[: ranked.index("LocalRelation") if "LocalRelation" in ranked else None])

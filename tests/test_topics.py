@@ -71,7 +71,8 @@ def test_dominant_topic_takes_the_first_maximum(spark):
 def test_training_schedule():
     assert topics.training_schedule(21_737) == (110, 1 / 11)
     assert topics.training_schedule(10) == (10, 1.0)
-    assert topics.training_schedule(10**11) == (500, 1 / 50)
+    assert topics.training_schedule(10**8) == (500_000, 1 / 50_000)
+    assert topics.training_schedule(10**8, chunk_docs=10**6) == (1000, 1 / 100)
 
 
 def test_fit_assign_save_load(spark, tmp_path):
@@ -89,3 +90,28 @@ def test_fit_assign_save_load(spark, tmp_path):
     again = topics.assign_topics(df, topics.load_or_fit(df, folder), labels).orderBy("review_id").collect()
     assert again == rows
     assert topics.topic_keywords(spark, model, 3).count() == 6
+
+
+def test_long_dictionary_keeps_every_term(spark):
+    terms = [f"term{i:05d}" for i in range(12_000)]
+    df = documents(spark, [terms[i : i + 100] for i in range(0, 12_000, 100)])
+    table = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, term_id int")
+    assert topics.bag_of_words(df, table).count() == 12_000
+
+
+def test_scheduling_and_model_are_left_alone(spark):
+    df = documents(spark, [["battery", "charge", "power"]] * 6 + [["book", "read", "page"]] * 6)
+    model = topics.fit_topics(df, k=2, passes=2, no_below=2)
+    before = model.lda.getTopicDistributionCol(), model.lda.getFeaturesCol()
+    topics.assign_topics(df, model).count()
+    assert (model.lda.getTopicDistributionCol(), model.lda.getFeaturesCol()) == before
+
+
+def test_many_topic_words_take_the_joined_path(spark, monkeypatch):
+    docs = DOCS + [["life"] * 3 + ["x"] * 4 + ["battery", "y", "charge"]]
+    sets = {1: ["battery", "life", "charge"], 2: ["screen", "sound", "unseen"], 3: ["life", "sound"]}
+    words = spark.createDataFrame([(t, w) for t, ws in sets.items() for w in ws], "topic int, term string")
+    short = {r["topic"]: r["coherence"] for r in coherence.topic_coherence(documents(spark, docs), words, window=3).collect()}
+    monkeypatch.setattr(coherence, "MAX_INLINE_ROWS", 2)
+    long = {r["topic"]: r["coherence"] for r in coherence.topic_coherence(documents(spark, docs), words, window=3).collect()}
+    assert long == pytest.approx(short, abs=1e-12)
