@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinionloom.functions import labels
+from opinionloom.functions.lookups import lookup_join
 from opinionloom.functions.numeric import decimal_mean, percent, sample_stddev, share
+from opinionloom.session import written
 
 LEXICON_MODEL = "lexicon"
 CLASSIFIER_MODEL = "classifier"
@@ -128,7 +130,7 @@ def kpis(df: DataFrame, approximate_topics: bool = False) -> DataFrame:
         topics.alias("num_topics"),
         F.bround(share(F.col("vader_label") == F.col("model_label")) * 100, 1).alias("model_agree"),
         F.bround(binary_agreement("vader_label") * 100, 1).alias("vader_agree"),
-        F.bround(binary_agreement("model_label") * 100, 1).alias("bert_agree"),
+        F.bround(binary_agreement("model_label") * 100, 1).alias("model_binary_agree"),
     )
 
 
@@ -192,11 +194,10 @@ def topic_terms(df: DataFrame) -> DataFrame:
 
     A topic whose token lists are all empty falls back to the words of ``review_normalized``.
     """
-    known = df.filter(F.col("topic_label").isNotNull())
-    has_own = known.groupBy("topic_label").agg(F.max(F.size(_term_sources(known)[0]) > 0).alias("has_own"))
+    counted = written(_counted_terms(df), "topic-terms")
+    has_own = counted.groupBy("topic_label").agg((F.max("own") > 0).alias("has_own"))
     return (
-        _counted_terms(df)
-        .join(has_own, "topic_label")
+        lookup_join(counted, has_own, "topic_label", "inner")
         .withColumn("count", F.when(F.col("has_own"), F.col("own")).otherwise(F.col("all")))
         .filter(F.col("count") > 0)
         .select("topic_label", "term", "count")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionloom import wordlists
 from opinionloom.functions import labels
+from opinionloom.functions.lookups import lookup_join
 from opinionloom.functions.text import clean_text
 from opinionloom.operators import (
     agreement,
@@ -24,8 +27,10 @@ from opinionloom.operators import (
     tokens,
     topics,
 )
-from opinionloom.session import checkpointed, spread
-from opinionloom.sinks.tables import report_text, sentiment_report
+from opinionloom.plans.jobs import kpis_with_coherence, prepared_tables
+from opinionloom.session import spread, written
+from opinionloom.sinks.tables import report_text, sentiment_report, topic_report
+from opinionloom.sources.csv_files import missing_as_null
 from opinionloom.sources.tables import read_table, reviews
 
 STOPS = tuple(tokens.stop_words())
@@ -42,7 +47,12 @@ RULE_LEXICON = lexicon.Lexicon(
 SAMPLE_CAP = 300
 SEARCH = {"topics": ("en", "fr"), "sentiments": ("positive",), "ratings": (1, 2, 4, 5), "term": "ThE[a-z]"}
 COHERENCE_WORDS = 20
-TOPIC_FIT = {"k": 4, "no_below": 10}
+TOPIC_FIT = {"k": 8, "no_below": 10}
+LANGUAGES = ("de", "en", "es", "fr")
+GIVEN_LABELS = {0: "german", 2: "spanish"}
+SMALL_CAP = 50
+SMALL_LIMIT = 20
+COHERENCE = 0.25
 
 ROW_COLUMNS = ("review_id", "rating", "topic_label", "model_label", "vader_score", "vader_label")
 
@@ -74,23 +84,34 @@ def nullable_labels(spark: SparkSession, folder: str) -> DataFrame:
     return master(spark, folder).join(given, "review_id", "left").withColumn("model_label", F.col("given")).drop("given")
 
 
+RAW_TAIL = " only $9.99 or 20 dollars &amp;zzz; and &lt;b&gt;more&lt;/b&gt;"
+
+
 def raw_columns(spark: SparkSession, folder: str) -> DataFrame:
     """The test tables in the shape of the raw file: everything text, some of it unusable."""
     documents = read_table(spark, folder, "documents")
     orders = read_table(spark, folder, "orders")
     joined = documents.join(orders, F.col("doc_id") == F.col("o_orderkey"))
     no_rating = F.col("o_orderpriority") == "4-NOT SPECIFIED"
+    source = F.col("source")
     return joined.select(
         F.col("doc_id").alias("review_id"),
-        F.col("text").alias("reviews.text"),
-        F.when(no_rating, F.col("o_orderpriority"))
+        F.when(source == "src2", None)
+        .when(source == "src5", F.concat("text", F.lit(RAW_TAIL)))
+        .otherwise(F.col("text"))
+        .alias("reviews.text"),
+        F.when(source == "src3", None)
+        .when(source == "src7", "4d")
+        .when(no_rating, F.col("o_orderpriority"))
         .when(F.col("o_orderpriority") == "3-MEDIUM", "NaN")
         .otherwise(F.concat(F.substring("o_orderpriority", 1, 1), F.lit(".7")))
         .alias("reviews.rating"),
-        F.when(F.col("o_orderstatus") == "P", "pending")
+        F.when(source == "src4", None)
+        .when(source == "src8", F.date_format("o_orderdate", "MMMM d, yyyy"))
+        .when(F.col("o_orderstatus") == "P", "pending")
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'.000Z'"))
         .alias("reviews.date"),
-        F.when(F.col("source") != "src1", F.col("source")).alias("reviews.title"),
+        F.when(source == "src6", "N/A").when(source != "src1", source).alias("reviews.title"),
         F.col("lang").alias("unmapped"),
     )
 
@@ -106,7 +127,7 @@ def topic_documents(spark: SparkSession, folder: str) -> DataFrame:
 def settled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Topic input written once, as between stages, for queries that read it more than once."""
     documents = topic_documents(spark, folder)
-    return checkpointed(documents.select("review_id", "rating", "topic_label", "model_label", "topic_tokens"))
+    return written(documents.select("review_id", "rating", "topic_label", "model_label", "topic_tokens"), "topic-documents")
 
 
 def leading_terms(documents: DataFrame, n: int) -> DataFrame:
@@ -165,17 +186,102 @@ def stop_union(spark: SparkSession, folder: str) -> DataFrame:
     words = cleaned(spark, folder).select(
         F.explode(F.array_distinct(F.expr(tokens.alphabetic_words_sql("review_clean")))).alias("term")
     )
-    return (
-        words.join(tokens.stop_word_table(*tables), "term")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("reviews"))
-    )
+    members = written(tokens.stop_word_table(*tables), "stop-words")
+    counted = lookup_join(words, members, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("reviews"))
+    return members.join(counted, "term", "left").select("term", F.coalesce("reviews", F.lit(0)).alias("reviews"))
+
+
+def classified(spark: SparkSession, folder: str) -> DataFrame:
+    """Word odds learned without the held-out rows, applied to all."""
+    rows = written(cleaned(spark, folder).select("review_id", "rating", "review_clean"), "classifier-text")
+    model = classify.fit_word_odds(rows.filter(~classify.held_out()))
+    return classify.score_by_words(rows, model).withColumn("held_out", classify.held_out())
 
 
 def classifier_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = checkpointed(cleaned(spark, folder).select("review_id", "rating", "review_clean"))
-    model = classify.train_classifier(rows)
-    return classify.classify_reviews(rows, model).select("review_id", "rating", "model_label", "model_confidence")
+    return classified(spark, folder).select("review_id", "rating", "held_out", "model_label", "model_confidence")
+
+
+def topic_assignments_given(spark: SparkSession, folder: str) -> DataFrame:
+    """Assignment from a given distribution: the share of each language's leading terms in a review."""
+    documents = settled_documents(spark, folder).drop("topic_label")
+    leading = leading_terms(settled_documents(spark, folder), COHERENCE_WORDS)
+    topic = F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("topic_label")) - 1
+    keywords = written(leading.select(topic.cast("int").alias("dominant_topic"), "rank", "term"), "leading-terms")
+    words = documents.select("review_id", F.explode("topic_tokens").alias("term"))
+    hits = (
+        words.join(F.broadcast(keywords), "term")  # four languages of COHERENCE_WORDS terms
+        .groupBy("review_id")
+        .agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("dominant_topic") == t).alias(f"t{t}") for t in range(4)))
+        .select("review_id", F.array(*(F.col(f"t{t}") / F.col("n") for t in range(4))).alias("topic_distribution"))
+    )
+    given = spark.createDataFrame(list(GIVEN_LABELS.items()), "dominant_topic int, topic_label string")
+    placed = topics.assign_from_distribution(documents.join(hits, "review_id", "left"), keywords, given)
+    return placed.select("review_id", "dominant_topic", "topic_label", "topic_score", "topic_keywords")
+
+
+def lda_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for any fit: rows, ids out of range, scores outside [0, 1], empty labels and keywords."""
+    empty = lambda name: F.count_if(F.btrim(F.coalesce(F.col(name), F.lit(""))) == "")
+    return _assigned(spark, folder).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.coalesce(F.col("dominant_topic").between(0, TOPIC_FIT["k"] - 1), F.lit(False))).alias("topics_outside"),
+        F.count_if(~F.coalesce(F.col("topic_score").between(0, 1), F.lit(False))).alias("scores_outside"),
+        empty("topic_label").alias("empty_labels"),
+        empty("topic_keywords").alias("empty_keywords"),
+    )
+
+
+def topic_report_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The topic report, its nested columns laid flat."""
+    rows = written(master(spark, folder), "master")
+    topic = rows.select("topic_label", "dominant_topic").distinct()
+    terms = aggregates.topic_term_weights(rows, 5).join(F.broadcast(topic), "topic_label")
+    report = topic_report(rows, terms.select("dominant_topic", "rank", "term", "weight"))
+    best = F.get("examples", F.lit(0))
+    return report.select(
+        "dominant_topic", "topic_label", "count", "pct_corpus", F.regexp_replace("keywords", r"\([0-9.]+\)", "").alias("keywords"),
+        F.size("examples").alias("examples"), best["preview"].alias("best_preview"), best["topic_score"].alias("best_score"),
+    )
+
+
+def topic_terms_from_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens per topic, the token lists read back from text."""
+    rows = master(spark, folder)
+    return aggregates.topic_terms(rows.withColumn("tokens", tokens.parse_token_text(F.to_json("tokens"))))
+
+
+def headline_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """Headline figures with the measured coherence of the languages' leading terms."""
+    score = topic_coherence(spark, folder).agg(F.avg("coherence")).first()[0]
+    figures = kpis_with_coherence(master(spark, folder), score)
+    return figures.withColumn("coherence", F.bround("coherence", 4))
+
+
+def prepared_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """The eight prepared tables of one written master table, by name and size."""
+    bundle = prepared_tables(written(master(spark, folder), "master"))
+    sizes = [table.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows") for name, table in bundle.items()]
+    return reduce(DataFrame.unionByName, sizes)
+
+
+def lexicon_duplicate_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """A lexicon table with repeated terms: the smallest valence counts, folded into the plan or joined."""
+    listed = [*RULE_LEXICON.terms.items(), *((term, valence + 7) for term, valence in RULE_LEXICON.terms.items())]
+    table = spark.createDataFrame(listed, "term string, valence_tenths int")
+    rows = lexicon.score_reviews(cleaned(spark, folder), lexicon=replace(RULE_LEXICON, terms=table))
+    return rows.select("review_id", "vader_score", "vader_label")
+
+
+def audited(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit with every column it can look at; confidence and keywords are stand-ins."""
+    rows = master(spark, folder).withColumn("model_confidence", F.abs("vader_score")).withColumn("topic_keywords", F.col("topic_label"))
+    return quality.audit(rows, num_topics=4, coherence=COHERENCE)
+
+
+def read_as_csv(raw: DataFrame) -> DataFrame:
+    """Missing-value tokens as nulls in every text column, as the CSV source gives them."""
+    return raw.select(*((missing_as_null(f"`{n}`").alias(n) if kind == "string" else F.col(f"`{n}`")) for n, kind in raw.dtypes))
 
 
 def lda_topics(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,6 +321,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "review_id", "review_text", "rating", "review_date", "product_name", "review_title", "reviewer"
     ),
     "standardized_reviews": _on(raw_columns, ingest.standardize),
+    "standardized_csv": _on(raw_columns, lambda df: ingest.standardize(read_as_csv(df))),
+    "clean_raw": _on(raw_columns, lambda df: df.select("review_id", clean_text("reviews.text").alias("review_clean"))),
     "drop_reasons": _on(raw_columns, lambda df: ingest.drop_counts(ingest.drop_reason(df))),
     "unparsed_dates": _on(raw_columns, ingest.unparsed_dates),
     "clean_documents": _on(cleaned, lambda df: df.select("review_id", "review_clean")),
@@ -230,6 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stop_union": stop_union,
     "doc_frequency": _on(topic_documents, topics.document_frequency),
     "vocabulary": _on(settled_documents, topics.vocabulary),
+    "vocabulary_small_cap": _on(settled_documents, lambda df: topics.vocabulary(df, keep_n=SMALL_CAP)),
     "bag_of_words": _on(settled_documents, lambda df: topics.bag_of_words(df, topics.vocabulary(df))),
     "lexicon_scores": _on(
         cleaned,
@@ -240,6 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lambda df: lexicon.score_reviews(df, lexicon=RULE_LEXICON).select("review_id", "vader_score", "vader_label"),
     ),
     "lexicon_rules_joined": lexicon_rules_joined,
+    "lexicon_duplicate_terms": lexicon_duplicate_terms,
     "star_agreement": _on(
         master,
         lambda df: df.select(
@@ -265,7 +375,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_hotspots_nullable": _on(nullable_labels, aggregates.topic_hotspots),
     "topic_rating_ci": _on(master, aggregates.topic_rating_ci),
     "kpis": _on(master, aggregates.kpis),
-    "topic_report": topic_ratings,
+    "topic_blocks": topic_ratings,
+    "topic_report": topic_report_rows,
+    "topic_terms": topic_terms_from_text,
+    "kpis_with_coherence": headline_figures,
+    "prepared_tables": prepared_bundle,
     "topic_listing": _on(master, aggregates.topic_listing),
     "topic_top_examples": _on(master, aggregates.topic_examples),
     "topic_term_weights": _on(master, aggregates.topic_term_weights),
@@ -275,11 +389,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "largest_topic": _on(master, aggregates.largest_topic_share),
     "label_set_diff": label_set_difference,
     "search_rows": lambda s, d: search.search_results(search.search(master(s, d, names=True), **SEARCH)),
+    "search_rows_all": lambda s, d: search.search_results(search.search(master(s, d, names=True), term="th"), limit=None),
+    "search_rows_small_cap": lambda s, d: search.search_results(search.search(master(s, d, names=True), **SEARCH), SMALL_LIMIT),
+    "search_rows_friendly": lambda s, d: search.search_results(search.search(master(s, d, names=True), **SEARCH), friendly=True),
     "search_summary": _on(master, lambda df: search.search_summary(search.search(df, **SEARCH))),
     "stratified_sample": _on(standard, lambda df: sampling.stratified_sample(df, SAMPLE_CAP).select("review_id", "rating")),
+    "head": _on(standard, lambda df: sampling.head(df, 5).select("review_id", "rating")),
     "simple_sample": _on(standard, lambda df: sampling.simple_sample(df, 5).select("review_id", "rating")),
-    "quality_audit": _on(master, lambda df: quality.audit(df, num_topics=4)),
+    "quality_audit": audited,
     "classifier_scores": classifier_scores,
+    "classifier_agreement": lambda s, d: agreement.model_vs_stars(classified(s, d).filter("held_out")),
+    "topic_assignments_given": topic_assignments_given,
+    "lda_audit": lda_audit,
     "lda_topics": lda_topics,
     "lda_assignments": lda_assignments,
     "lda_hotspots": lda_hotspots,

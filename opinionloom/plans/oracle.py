@@ -5,7 +5,21 @@ from __future__ import annotations
 from opinionloom import wordlists
 from opinionloom.operators.coherence import EPSILON, WINDOW
 from opinionloom.operators.lexicon import Lexicon
-from opinionloom.plans.catalogue import COHERENCE_WORDS, LEMMAS, RULE_LEXICON, SAMPLE_CAP, SEARCH, SEED_LEXICON, STOPS
+from opinionloom.plans.catalogue import (
+    COHERENCE,
+    COHERENCE_WORDS,
+    GIVEN_LABELS,
+    LANGUAGES,
+    LEMMAS,
+    RAW_TAIL,
+    RULE_LEXICON,
+    SAMPLE_CAP,
+    SEARCH,
+    SEED_LEXICON,
+    SMALL_CAP,
+    SMALL_LIMIT,
+    STOPS,
+)
 
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ASCII_SPACE = r"\t-\r\x1c-\x20"
@@ -195,13 +209,16 @@ vocab AS (
   ORDER BY doc_freq DESC, term LIMIT 10000
 )"""
 
-RAW = f"""
+RAW = """
 raw AS (
-  SELECT d.doc_id AS review_id, d.text AS review_text,
+  SELECT d.doc_id AS review_id,
+         CASE d.source WHEN 'src2' THEN NULL WHEN 'src5' THEN d.text || '""" + RAW_TAIL + """' ELSE d.text END AS review_text,
+         CASE WHEN d.source = 'src3' THEN NULL WHEN d.source = 'src7' THEN '4d' ELSE
          CASE o.o_orderpriority WHEN '4-NOT SPECIFIED' THEN o.o_orderpriority WHEN '3-MEDIUM' THEN 'NaN'
-              ELSE substr(o.o_orderpriority, 1, 1) || '.7' END AS rating,
-         CASE WHEN o.o_orderstatus <> 'P' THEN CAST(o.o_orderdate AS TIMESTAMP) END AS review_date,
-         CASE WHEN d.source <> 'src1' THEN d.source END AS review_title
+              ELSE substr(o.o_orderpriority, 1, 1) || '.7' END END AS rating,
+         CASE WHEN d.source = 'src4' THEN NULL WHEN d.source = 'src8' THEN CAST(CAST(o.o_orderdate AS DATE) AS TIMESTAMP)
+              WHEN o.o_orderstatus <> 'P' THEN CAST(o.o_orderdate AS TIMESTAMP) END AS review_date,
+         CASE d.source WHEN 'src1' THEN NULL WHEN 'src6' THEN 'N/A' ELSE d.source END AS review_title
   FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id
 )"""
 
@@ -241,7 +258,7 @@ DISTRIBUTION = """
   FROM (SELECT vader_label AS label, 'lexicon' AS model FROM master
         UNION ALL SELECT model_label, 'classifier' FROM master) GROUP BY 1, 2"""
 
-COHERENCE = f"""{TOPIC_DOCS},
+COHERENCE_PARTS = f"""
 counted AS (SELECT topic_label, term, count(*) AS n FROM words GROUP BY 1, 2),
 tw AS (
   SELECT topic_label AS topic, term FROM (
@@ -273,6 +290,51 @@ cosines AS (
   SELECT topic, i, coalesce(sum(v * s) / nullif(sqrt(sum(v * v)) * sqrt(sum(s * s)), 0), 0) AS c
   FROM npmi JOIN sums USING (topic, j) GROUP BY 1, 2
 )"""
+COHERENCE_SQL = f"{TOPIC_DOCS},{COHERENCE_PARTS}"
+
+CLASSIFIED = f"""{CLEANED},
+given AS (
+  SELECT review_id, rating, string_split(lower(review_clean), ' ') AS w,
+         substr(md5('held out:' || CAST(review_id AS VARCHAR)), 1, 1) IN ('0', '1', '2') AS held_out,
+         CASE WHEN rating >= 4 THEN 1 WHEN rating <> 3 THEN 0 END AS target
+  FROM cleaned
+),
+train AS (SELECT target, unnest(w) AS term FROM given WHERE NOT held_out AND target IS NOT NULL),
+per_term AS (SELECT term, count(*) FILTER (target = 1) AS yes, count(*) FILTER (target = 0) AS no FROM train GROUP BY term),
+sizes AS (SELECT CAST(sum(yes) + count(*) AS DOUBLE) AS y, CAST(sum(no) + count(*) AS DOUBLE) AS n FROM per_term),
+odds AS (
+  SELECT term, CAST(round(ln(((yes + 1) / y) / ((no + 1) / n)) * 1000000) AS BIGINT) AS units FROM per_term, sizes
+),
+prior AS (
+  SELECT CAST(round(ln((count(*) FILTER (target = 1) + 1) / (count(*) FILTER (target = 0) + 1)) * 1000000) AS BIGINT) AS p
+  FROM given WHERE NOT held_out
+),
+sums AS (
+  SELECT review_id, CAST(sum(units) AS BIGINT) AS units FROM (SELECT review_id, unnest(w) AS term FROM given)
+  JOIN odds USING (term) GROUP BY review_id
+),
+classified AS (
+  SELECT review_id, rating, held_out, CASE WHEN u >= 0 THEN 'positive' ELSE 'negative' END AS model_label,
+         round_even(1 / (1 + exp(-abs(u) / 1000000)), 4) AS model_confidence
+  FROM (SELECT g.*, coalesce(s.units, 0) + p.p AS u FROM given g LEFT JOIN sums s USING (review_id), prior p)
+)"""
+
+GIVEN_TOPICS = f"""{TOPIC_DOCS},
+counted AS (SELECT topic_label, term, count(*) AS n FROM words GROUP BY 1, 2),
+front AS (
+  SELECT list_position([{_words(LANGUAGES)}], topic_label) - 1 AS t, term, r FROM (
+    SELECT *, row_number() OVER (PARTITION BY topic_label ORDER BY n DESC, term) AS r FROM counted)
+  WHERE r <= {COHERENCE_WORDS}
+),
+placed AS (
+  SELECT d.review_id, count(h.t) AS n, [{", ".join(f"count(*) FILTER (h.t = {t})" for t in range(len(LANGUAGES)))}] AS c
+  FROM docs d LEFT JOIN (SELECT w.review_id, l.t FROM words w JOIN front l USING (term)) h USING (review_id) GROUP BY 1
+),
+chosen AS (
+  SELECT review_id, CASE WHEN n = 0 THEN 0 ELSE CAST(list_position(c, list_max(c)) - 1 AS INTEGER) END AS dominant_topic,
+         CASE WHEN n = 0 THEN 0.0 ELSE round_even(list_max(c) / n, 4) END AS topic_score
+  FROM placed
+)"""
 
 AUDIT = """
 a AS (
@@ -305,7 +367,10 @@ AUDIT_LINES = [
     ("DQ4", "short_text", "short_text", "= 0"), ("DQ4", "few_tokens", "few_tokens", "= 0"),
     ("DQ4", "mean_tokens", "mean_tokens", ">= 5"), ("DQ5", "unknown_vader_label", "bad_vader", "= 0"),
     ("DQ5", "unknown_model_label", "bad_model", "= 0"), ("DQ6", "min_vader_score", "min_v", ">= -1"),
-    ("DQ6", "max_vader_score", "max_v", "<= 1"), ("DQ6", "min_topic_score", "min_t", ">= 0"),
+    ("DQ6", "max_vader_score", "max_v", "<= 1"), ("DQ6", "min_confidence", "min_t", ">= 0"),
+    ("DQ6", "max_confidence", "max_t", "<= 1"), ("DQ6", "mean_confidence", "mean_t", "> 0.7"),
+    ("DQ8", "empty_keywords", "empty_label", "= 0"), ("DQ11", "coherence", "CAST(" + str(COHERENCE) + " AS DOUBLE)", "> 0.2"),
+    ("DQ6", "min_topic_score", "min_t", ">= 0"),
     ("DQ6", "max_topic_score", "max_t", "<= 1"), ("DQ6", "mean_topic_score", "mean_t", "> 0.1"),
     ("DQ7", "lexicon_agreement", "lex_agree", "> 0.6"), ("DQ7", "model_agreement", "model_agree", "> 0.75"),
     ("DQ8", "topic_out_of_range", "topic_outside", "= 0"), ("DQ8", "unused_topics", "unused", "<= 1"),
@@ -361,6 +426,16 @@ def oracle_queries() -> dict[str, str]:
                   FROM raw) GROUP BY 1""",
         ),
         "unparsed_dates": _with(RAW, "SELECT count(*) FILTER (review_date IS NULL) AS invalid_dates FROM raw"),
+        "standardized_csv": _with(
+            RAW,
+            f"""SELECT * FROM (
+                  SELECT review_id, {_strip('review_text')} AS review_text,
+                         CAST(trunc(TRY_CAST(rating AS DOUBLE)) AS INTEGER) AS rating, review_date,
+                         nullif(review_title, 'N/A') AS review_title
+                  FROM raw WHERE review_text IS NOT NULL AND rating <> 'NaN' AND TRY_CAST(rating AS DOUBLE) IS NOT NULL)
+                WHERE length(review_text) > 10""",
+        ),
+        "clean_raw": _with(RAW, f"SELECT review_id, {_clean('review_text')} AS review_clean FROM raw"),
         "clean_documents": _with(CLEANED, "SELECT review_id, review_clean FROM cleaned"),
         "clean_pages": f"""SELECT * FROM (SELECT page_id, {_clean('html')} AS review_clean FROM pages)
                            WHERE length(review_clean) > 10""",
@@ -398,12 +473,16 @@ def oracle_queries() -> dict[str, str]:
         "normalized_by_join": _with(PROCESSED, "SELECT review_id, review_normalized, token_count FROM processed"),
         "stop_union": _with(
             PROCESSED,
-            f"""SELECT form AS term, count(DISTINCT review_id) AS reviews FROM forms
-                WHERE form IN ({_words(wordlists.ENGLISH_STOP_WORDS)}) OR form IN ({_words(wordlists.SHOP_STOP_WORDS)})
-                   OR form IN ({_words(wordlists.TOPIC_STOP_WORDS)}) GROUP BY 1""",
+            f"""SELECT s.term, count(DISTINCT f.review_id) AS reviews
+                FROM (SELECT DISTINCT unnest([{_words((*wordlists.ENGLISH_STOP_WORDS, *wordlists.SHOP_STOP_WORDS,
+                                                       *wordlists.TOPIC_STOP_WORDS))}]) AS term) s
+                LEFT JOIN forms f ON f.form = s.term GROUP BY 1""",
         ),
         "doc_frequency": _with(TOPIC_DOCS, "SELECT term, doc_freq FROM df"),
         "vocabulary": _with(TOPIC_DOCS, "SELECT term, term_id, doc_freq FROM vocab"),
+        "vocabulary_small_cap": _with(
+            TOPIC_DOCS, f"SELECT term, term_id, doc_freq FROM vocab ORDER BY term_id LIMIT {SMALL_CAP}"
+        ),
         "bag_of_words": _with(
             TOPIC_DOCS, "SELECT review_id, term_id, count(*) AS n FROM words JOIN vocab USING (term) GROUP BY 1, 2"
         ),
@@ -416,6 +495,9 @@ def oracle_queries() -> dict[str, str]:
         "lexicon_rules_joined": _with(
             f"{CLEANED},{_scores('cleaned', RULE_LEXICON)}", "SELECT review_id, vader_score, vader_label FROM scores"
         ),
+        "lexicon_duplicate_terms": _with(
+            f"{CLEANED},{_scores('cleaned', RULE_LEXICON)}", "SELECT review_id, vader_score, vader_label FROM scores"
+        ),
         "star_agreement": _with(
             MASTER,
             """SELECT review_id, star_sentiment,
@@ -492,12 +574,66 @@ def oracle_queries() -> dict[str, str]:
             MASTER,
             f"""SELECT n AS total, round_even(pos * 100, 1) AS pct_positive, round_even(r, 2) AS avg_rating, num_topics,
                        round_even(lexicon_vs_model * 100, 1) AS model_agree, round_even(lexicon_binary * 100, 1) AS vader_agree,
-                       round_even(model_binary * 100, 1) AS bert_agree
+                       round_even(model_binary * 100, 1) AS model_binary_agree
                 FROM ({AGREE.format(table='master')}),
                      (SELECT avg(CASE WHEN model_label = 'positive' THEN 1.0 ELSE 0.0 END) AS pos, avg(rating) AS r,
                              count(DISTINCT dominant_topic) AS num_topics FROM master)""",
         ),
+        "kpis_with_coherence": _with(
+            f"{MASTER},{TOPIC_DOCS.removeprefix(PROCESSED + ',')},{COHERENCE_PARTS}",
+            f"""SELECT n AS total, round_even(pos * 100, 1) AS pct_positive, round_even(r, 2) AS avg_rating, num_topics,
+                       round_even(lexicon_vs_model * 100, 1) AS model_agree, round_even(lexicon_binary * 100, 1) AS vader_agree,
+                       round_even(model_binary * 100, 1) AS model_binary_agree, round_even(coherence, 4) AS coherence
+                FROM ({AGREE.format(table='master')}),
+                     (SELECT avg(CASE WHEN model_label = 'positive' THEN 1.0 ELSE 0.0 END) AS pos, avg(rating) AS r,
+                             count(DISTINCT dominant_topic) AS num_topics FROM master),
+                     (SELECT avg(c) AS coherence FROM (SELECT round_even(avg(c), 6) AS c FROM cosines GROUP BY topic))""",
+        ),
+        "prepared_tables": _with(
+            MASTER,
+            " UNION ALL ".join(
+                f"SELECT '{name}' AS name, count(*) AS rows FROM ({select})"
+                for name, select in (
+                    ("sentiment_dist", DISTRIBUTION),
+                    ("rating_dist", PROFILE.format(table="master")),
+                    (
+                        "monthly",
+                        "SELECT m, model_label, sum(c) OVER (PARTITION BY m) AS total FROM (SELECT date_trunc('month', review_date)"
+                        " AS m, model_label, count(*) AS c FROM master WHERE review_date IS NOT NULL GROUP BY 1, 2) QUALIFY total >= 5",
+                    ),
+                    ("topic_dist", "SELECT DISTINCT dominant_topic, topic_label FROM master"),
+                    ("topic_heatmap", "SELECT DISTINCT topic_label FROM master"),
+                    ("avg_rating", "SELECT DISTINCT topic_label FROM master"),
+                    ("vader_scores", "SELECT 1 FROM master"),
+                    (
+                        "wc_tokens",
+                        "SELECT topic_label, term FROM tokens JOIN master USING (review_id) GROUP BY 1, 2"
+                        " QUALIFY row_number() OVER (PARTITION BY topic_label ORDER BY count(*) DESC, term) <= 80",
+                    ),
+                )
+            ),
+        ),
+        "topic_terms": _with(
+            MASTER,
+            "SELECT topic_label, term, count(*) AS count FROM tokens JOIN master USING (review_id) GROUP BY 1, 2",
+        ),
         "topic_report": _with(
+            f"""{MASTER},
+            cells AS (SELECT dominant_topic, topic_label, count(*) AS count FROM master GROUP BY 1, 2),
+            best AS (
+              SELECT dominant_topic, topic_score, replace(substr(review_text, 1, 120), chr(10), ' ') AS preview FROM master
+              QUALIFY row_number() OVER (PARTITION BY dominant_topic ORDER BY topic_score DESC, review_id) = 1
+            ),
+            lead AS (
+              SELECT topic_label, string_agg(term, ' | ' ORDER BY n DESC, term) AS keywords FROM (
+                SELECT topic_label, term, count(*) AS n FROM tokens JOIN master USING (review_id) GROUP BY 1, 2
+                QUALIFY row_number() OVER (PARTITION BY topic_label ORDER BY count(*) DESC, term) <= 5) GROUP BY 1
+            )""",
+            """SELECT dominant_topic, topic_label, count, round_even(count / CAST(sum(count) OVER () AS BIGINT) * 100, 1) AS pct_corpus,
+                      keywords, CAST(least(count, 3) AS INTEGER) AS examples, preview AS best_preview, topic_score AS best_score
+               FROM cells JOIN best USING (dominant_topic) JOIN lead USING (topic_label)""",
+        ),
+        "topic_blocks": _with(
             MASTER,
             """SELECT dominant_topic, CAST(sum(n) OVER (PARTITION BY dominant_topic) AS BIGINT) AS count,
                       round_even(CAST(sum(n) OVER (PARTITION BY dominant_topic) AS BIGINT)
@@ -554,6 +690,22 @@ def oracle_queries() -> dict[str, str]:
             f"""SELECT review_id, rating, model_label, vader_score, topic_label, product_name, review_text FROM named
                 WHERE {SEARCH_WHERE} ORDER BY review_id LIMIT 500""",
         ),
+        "search_rows_all": _with(
+            MASTER + NAMED.format(table="master"),
+            """SELECT review_id, rating, model_label, vader_score, topic_label, product_name, review_text FROM named
+               WHERE coalesce(regexp_matches(review_text, '(?i)th'), false)""",
+        ),
+        "search_rows_small_cap": _with(
+            MASTER + NAMED.format(table="master"),
+            f"""SELECT review_id, rating, model_label, vader_score, topic_label, product_name, review_text FROM named
+                WHERE {SEARCH_WHERE} ORDER BY review_id LIMIT {SMALL_LIMIT}""",
+        ),
+        "search_rows_friendly": _with(
+            MASTER + NAMED.format(table="master"),
+            f"""SELECT rating AS "Rating", model_label AS "Sentiment", vader_score AS "Lexicon score", topic_label AS "Topic",
+                       product_name AS "Product", review_text AS "Review" FROM named
+                WHERE {SEARCH_WHERE} ORDER BY review_id LIMIT 500""",
+        ),
         "search_summary": _with(
             MASTER,
             f"""SELECT count(*) AS matching, round_even(avg(rating), 2) AS avg_rating,
@@ -569,9 +721,32 @@ def oracle_queries() -> dict[str, str]:
                          count(*) OVER (PARTITION BY rating) AS n, count(*) OVER () AS total FROM standard)
                 WHERE total <= {SAMPLE_CAP} OR r <= greatest(1, {SAMPLE_CAP} * n // total)""",
         ),
+        "head": _with(STANDARD, "SELECT review_id, rating FROM standard ORDER BY review_id LIMIT 5"),
         "simple_sample": _with(STANDARD, f"SELECT review_id, rating FROM standard ORDER BY {DRAW}, review_id LIMIT 5"),
+        "classifier_scores": _with(
+            CLASSIFIED, "SELECT review_id, rating, held_out, model_label, model_confidence FROM classified"
+        ),
+        "classifier_agreement": _with(
+            CLASSIFIED,
+            """SELECT avg(CASE WHEN model_label = CASE WHEN rating >= 4 THEN 'positive' ELSE 'negative' END
+                               THEN 1.0 ELSE 0.0 END) AS model_agreement FROM classified WHERE held_out AND rating <> 3""",
+        ),
+        "topic_assignments_given": _with(
+            GIVEN_TOPICS,
+            f"""SELECT review_id, dominant_topic,
+                       CASE dominant_topic {" ".join(f"WHEN {t} THEN '{name}'" for t, name in GIVEN_LABELS.items())}
+                            ELSE 'topic_' || CAST(dominant_topic AS VARCHAR) END AS topic_label,
+                       topic_score, topic_keywords
+                FROM chosen JOIN (SELECT t, string_agg(term, ' ' ORDER BY r) AS topic_keywords FROM front WHERE r <= 5 GROUP BY t)
+                  ON t = dominant_topic""",
+        ),
+        "lda_audit": _with(
+            TOPIC_DOCS,
+            """SELECT count(*) AS rows, CAST(0 AS BIGINT) AS topics_outside, CAST(0 AS BIGINT) AS scores_outside,
+                      CAST(0 AS BIGINT) AS empty_labels, CAST(0 AS BIGINT) AS empty_keywords FROM docs""",
+        ),
         "quality_audit": _with(f"{MASTER},{AUDIT}", audit),
         "topic_coherence": _with(
-            COHERENCE, "SELECT topic, round_even(avg(c), 6) AS coherence FROM cosines GROUP BY topic"
+            COHERENCE_SQL, "SELECT topic, round_even(avg(c), 6) AS coherence FROM cosines GROUP BY topic"
         ),
     }

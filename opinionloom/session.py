@@ -81,5 +81,5 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     ``SPREAD_BYTES`` is returned untouched, however many cores the cluster has.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, key) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
