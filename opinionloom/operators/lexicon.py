@@ -37,6 +37,8 @@ class Lexicon:
     boosters: Mapping[str, int] = field(default_factory=lambda: wordlists.BOOSTERS)
     negators: tuple[str, ...] = wordlists.NEGATORS
     contrast: str = wordlists.CONTRAST_WORD
+    idioms: Mapping[str, int] = field(default_factory=lambda: wordlists.IDIOMS)
+    phrases: Mapping[str, int] = field(default_factory=lambda: wordlists.PHRASE_STEPS)
 
 
 def _longs(value: int) -> str:
@@ -63,38 +65,70 @@ def _further_sql(value: str, amount: str) -> str:
     return f"CASE WHEN {value} < 0 THEN {value} - {amount} ELSE {value} + {amount} END"
 
 
-def word_units_sql(valence: str, caps: str, mixed: str, near: str, weight: str, lexicon: Lexicon) -> str:
+def _phrase_sql(*words: str) -> str:
+    """Words with single blanks between; null where one is missing."""
+    return f"nullif(concat_ws(' ', {', '.join(words)}), '')" if len(words) == 1 else "(" + " || ' ' || ".join(words) + ")"
+
+
+def idioms_sql(value: str, word: str, near: str, ahead: str, lexicon: Lexicon) -> str:
+    """The value after the phrases around a word: an idiom sets it, a degree phrase before the word adds its step."""
+    of = inline_map(lexicon.idioms, "long")
+    step = inline_map(lexicon.phrases, "long")
+    w1, w2, w3 = (f"{near}[{k}].word" for k in range(3))
+    n1, n2 = (f"{ahead}[{k}]" for k in range(2))
+    behind = [(w1, word), (w2, w1, word), (w2, w1), (w3, w2, w1), (w3, w2)]
+    front = [(word, n1, n2), (word, n1)]  # the longer phrase is looked at last, so it wins
+    chosen = "coalesce(" + ", ".join(of(_phrase_sql(*p)) for p in [*front, *behind]) + ")"
+    steps = " + ".join(f"coalesce({step(_phrase_sql(*p))}, 0L)" for p in [(w3, w2, w1), (w3, w2), (w2, w1)])
+    scale = 10_000 * 100**3
+    idiom = bind(chosen, "idiom", lambda i: f"CASE WHEN {i} IS NULL THEN {value} ELSE {i} * {_longs(scale)} END")
+    return f"({idiom}) + ({steps}) * {_longs(10**8)}"
+
+
+def word_units_sql(
+    valence: str, caps: str, mixed: str, near: str, weight: str, lexicon: Lexicon, word: str, ahead: str
+) -> str:
     """Units one sentiment word contributes.
 
     ``near`` is an array of the three neighbours, nearest first; each in turn adds its degree step in the direction
-    the value has by then and multiplies by its negation factor.
+    the value has by then and multiplies by its negation factor. ``no`` turns the word's own valence, phrases count where
+    the third neighbour is there and no sentiment word, and a ``least`` right before the word turns the result.
     """
+    w1, w2, w3 = (f"{near}[{k}].word" for k in range(3))
+    no = f"coalesce({w1} = 'no', false) OR coalesce({w2} = 'no', false) OR coalesce({w3} = 'no' AND {w1} IN ('or', 'nor'), false)"
+    least = f"coalesce({w1} = 'least' AND NOT {near}[0].known, false) AND coalesce({w2} NOT IN ('at', 'very'), true)"
     step_of = inline_map(lexicon.boosters, "long")
     negates = membership(lexicon.negators)
-    plain = f"({valence} * 10000L)"
+    plain = f"({valence} * CASE WHEN {no} THEN {_longs(100 * NEGATION_PERCENT)} ELSE 10000L END)"
     shouted = _further_sql(plain, _longs(CAPS_STEP * 100))
     value = f"CASE WHEN {mixed} AND {caps} THEN {shouted} ELSE {plain} END"
     for position, distance in enumerate(DISTANCE_PERCENT):
-        word = f"{near}[{position}].word"
+        prior = f"{near}[{position}].word"
         between = [f"{near}[{p}].word" for p in range(position)]
         emphatic = " OR ".join(f"coalesce({w} IN ('so', 'this'), false)" for w in between) or "false"
         doubt = " OR ".join(f"coalesce({w} = 'doubt', false)" for w in between) or "false"
         factor = (
-            f"CASE WHEN {word} = 'never' AND ({emphatic}) THEN {_longs(EMPHASIS_PERCENT)} "
-            f"WHEN {word} = 'without' AND ({doubt}) THEN 100L "
-            f"WHEN {negates(word)} THEN {_longs(NEGATION_PERCENT)} ELSE 100L END"
+            f"CASE WHEN {prior} = 'never' AND ({emphatic}) THEN {_longs(EMPHASIS_PERCENT)} "
+            f"WHEN {prior} = 'without' AND ({doubt}) THEN 100L "
+            f"WHEN {negates(prior)} THEN {_longs(NEGATION_PERCENT)} ELSE 100L END"
         )
         caps_step = f"CASE WHEN {mixed} AND {near}[{position}].caps THEN {_longs(CAPS_STEP)} ELSE 0L END"
-        step = f"coalesce(({step_of(word)} + {caps_step}) * {_longs(distance * 100**position)}, 0L)"
+        step = f"coalesce(({step_of(prior)} + {caps_step}) * {_longs(distance * 100**position)}, 0L)"
         value = bind(
             value,
             f"value{position}",
-            lambda v, word=word, step=step, factor=factor, position=position: (
-                f"CASE WHEN {word} IS NOT NULL AND NOT {near}[{position}].known "
+            lambda v, prior=prior, step=step, factor=factor, position=position: (
+                f"CASE WHEN {prior} IS NOT NULL AND NOT {near}[{position}].known "
                 f"THEN ({_further_sql(v, step)}) * ({factor}) ELSE {v} * 100L END"
             ),
         )
-    return f"({value}) * ({weight})"
+    value = bind(
+        value, "value3", lambda v: f"CASE WHEN {w3} IS NOT NULL AND NOT {near}[2].known THEN {idioms_sql(v, word, near, ahead, lexicon)} ELSE {v} END"
+    )
+    value = bind(value, "value4", lambda v: f"CASE WHEN {least} THEN {v} * {_longs(NEGATION_PERCENT)} DIV 100L ELSE {v} END")
+    # what is skipped: "kind" before "of", and "no" before a sentiment word
+    skipped = f"coalesce({word} = 'kind' AND {ahead}[0] = 'of', false)"
+    return f"CASE WHEN {skipped} THEN 0L ELSE ({value}) * ({weight}) END"
 
 
 def contrast_weight_sql(position: str, contrast: str) -> str:
@@ -171,9 +205,13 @@ def _units(text_col: str, lexicon: Lexicon, valence, known, scored, some: str) -
     )
     units = word_units_sql(
         valence("i"), caps_sql("get(words.cased, i)"), "fact.mixed", "near",
-        contrast_weight_sql("(i + 1)", "fact.contrast"), lexicon,
+        contrast_weight_sql("(i + 1)", "fact.contrast"), lexicon, "get(words.lower, i)", "ahead",
     )
-    each = bind(f"array({near})", "near", units)
+    ahead = "array(get(words.lower, i + 1), get(words.lower, i + 2))"
+    each = bind(f"array({near})", "near", bind(ahead, "ahead", units))
+    # a "no" that is in the lexicon itself counts nothing before another sentiment word
+    own_no = f"get(words.lower, i) = 'no' AND {known('(i + 1)')}"
+    each = f"CASE WHEN coalesce({own_no}, false) THEN 0L ELSE {each} END"
     summed = f"aggregate(transform(found, i -> {each}), 0L, (acc, x) -> acc + x)"
     n_caps = f"size(filter(words.cased, w -> {caps_sql('w')}))"
     fact = (

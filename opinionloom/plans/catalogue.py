@@ -43,6 +43,8 @@ RULE_LEXICON = lexicon.Lexicon(
     boosters={"is": 293, "of": -293, "la": 293, "and": 293, "a": -293},
     negators=("the", "that", "le", "never", "without"),
     contrast="on",
+    idioms={"the thing": 30, "and st": -20, "of the best": -15, "st and": 17, "and la la": 25},
+    phrases={"of the": -293, "is and": 293},
 )
 SAMPLE_CAP = 300
 SEARCH = {"topics": ("en", "fr"), "sentiments": ("positive",), "ratings": (1, 2, 4, 5), "term": "ThE[a-z]"}

@@ -121,6 +121,8 @@ def _scores(source: str, lexicon: Lexicon) -> str:
     return f"""
 lex(term, v) AS (VALUES {_pairs(dict(lexicon.terms))}),
 boost(term, step) AS (VALUES {_pairs(dict(lexicon.boosters))}),
+idioms(phrase, v) AS (VALUES {_pairs(dict(lexicon.idioms))}),
+phrases(phrase, step) AS (VALUES {_pairs(dict(lexicon.phrases))}),
 neg AS (SELECT unnest([{_words(lexicon.negators)}]) AS term),
 spoken AS (
   SELECT review_id, generate_subscripts(w, 1) AS pos, unnest(w) AS raw
@@ -134,7 +136,7 @@ flags AS (
 ),
 around AS (
   SELECT *, lag(w, 1) OVER o AS w1, lag(w, 2) OVER o AS w2, lag(w, 3) OVER o AS w3,
-         lag(caps, 1) OVER o AS c1, lag(caps, 2) OVER o AS c2, lag(caps, 3) OVER o AS c3,
+         lead(w, 1) OVER o AS f1, lead(w, 2) OVER o AS f2, lag(caps, 1) OVER o AS c1, lag(caps, 2) OVER o AS c2, lag(caps, 3) OVER o AS c3,
          min(CASE WHEN w = '{lexicon.contrast}' THEN pos END) OVER d AS turn,
          (sum(CAST(caps AS INTEGER)) OVER d) BETWEEN 1 AND (count(*) OVER d) - 1 AS mixed
   FROM flags
@@ -159,15 +161,41 @@ hits AS (
   WHERE a.w NOT IN (SELECT term FROM boost)
 ),
 v0 AS (
-  SELECT *, CAST(v AS BIGINT) * 10000 + CASE WHEN mixed AND caps THEN CASE WHEN v < 0 THEN -73300 ELSE 73300 END ELSE 0 END AS a0
-  FROM hits
+  SELECT * REPLACE (CAST(v AS BIGINT) AS v),
+         base + CASE WHEN mixed AND caps THEN CASE WHEN base < 0 THEN -73300 ELSE 73300 END ELSE 0 END AS a0
+  FROM (SELECT *, CAST(v AS BIGINT) * CASE WHEN coalesce(w1 = 'no', false) OR coalesce(w2 = 'no', false)
+                    OR coalesce(w3 = 'no' AND w1 IN ('or', 'nor'), false) THEN -7400 ELSE 10000 END AS base FROM hits)
 ),
 v1 AS (SELECT *, CASE WHEN k1 THEN (a0 + CASE WHEN a0 < 0 THEN -s1 ELSE s1 END) * n1 ELSE a0 * 100 END AS a1 FROM v0),
 v2 AS (SELECT *, CASE WHEN k2 THEN (a1 + CASE WHEN a1 < 0 THEN -s2 ELSE s2 END * 100) * n2 ELSE a1 * 100 END AS a2 FROM v1),
 v3 AS (SELECT *, CASE WHEN k3 THEN (a2 + CASE WHEN a2 < 0 THEN -s3 ELSE s3 END * 10000) * n3 ELSE a2 * 100 END AS a3 FROM v2),
+v4 AS (
+  SELECT *, CASE WHEN k3 THEN coalesce(
+           (SELECT max(i.v) FROM idioms i WHERE i.phrase = w || ' ' || f1 || ' ' || f2),
+           (SELECT max(i.v) FROM idioms i WHERE i.phrase = w || ' ' || f1),
+           (SELECT max(i.v) FROM idioms i WHERE i.phrase = w1 || ' ' || w),
+           (SELECT max(i.v) FROM idioms i WHERE i.phrase = w2 || ' ' || w1 || ' ' || w),
+           (SELECT max(i.v) FROM idioms i WHERE i.phrase = w2 || ' ' || w1),
+           (SELECT max(i.v) FROM idioms i WHERE i.phrase = w3 || ' ' || w2 || ' ' || w1),
+           (SELECT max(i.v) FROM idioms i WHERE i.phrase = w3 || ' ' || w2)) END AS idiom,
+         CASE WHEN k3 THEN coalesce((SELECT max(p.step) FROM phrases p WHERE p.phrase = w3 || ' ' || w2 || ' ' || w1), 0)
+                         + coalesce((SELECT max(p.step) FROM phrases p WHERE p.phrase = w3 || ' ' || w2), 0)
+                         + coalesce((SELECT max(p.step) FROM phrases p WHERE p.phrase = w2 || ' ' || w1), 0) ELSE 0 END AS extra
+  FROM v3
+),
+v5 AS (
+  SELECT *, CASE WHEN idiom IS NULL THEN a3 ELSE CAST(idiom AS BIGINT) * 10000000000 END + CAST(extra AS BIGINT) * 100000000 AS a4 FROM v4
+),
+v6 AS (
+  SELECT *, CASE WHEN w = 'kind' AND coalesce(f1 = 'of', false) THEN 0
+                 WHEN w = 'no' AND coalesce(f1 IN (SELECT term FROM lex), false) THEN 0
+                 WHEN k1 AND w1 = 'least' AND coalesce(w2 NOT IN ('at', 'very'), true) THEN CAST(a4 * -74 AS BIGINT) // 100
+                 ELSE a4 END AS a5
+  FROM v5
+),
 totals AS (
-  SELECT review_id, sum(a3 * CASE WHEN turn IS NULL OR pos = turn THEN 2 WHEN pos < turn THEN 1 ELSE 3 END) AS s
-  FROM v3 GROUP BY review_id
+  SELECT review_id, sum(a5 * CASE WHEN turn IS NULL OR pos = turn THEN 2 WHEN pos < turn THEN 1 ELSE 3 END) AS s
+  FROM v6 GROUP BY review_id
 ),
 compound AS (
   SELECT r.review_id, round_even(x / sqrt(x * x + 15), 4) AS vader_score

@@ -97,3 +97,9 @@ NEGATORS = (
     "rarely", "seldom", "shouldnt", "uhuh", "wasnt", "werent", "without", "wont", "wouldnt",
 )
 CONTRAST_WORD = "but"
+
+# Fixed values of the published rule set: phrases with a valence of their own, in tenths, and two-word degree phrases.
+IDIOMS = {
+    "the shit": 30, "the bomb": 30, "bad ass": 15, "bus stop": 0, "yeah right": -20, "kiss of death": -15, "to die for": 30,
+}
+PHRASE_STEPS = {"kind of": -293, "sort of": -293, "just enough": -293}

@@ -18,6 +18,13 @@ CASES = [
     ("without doubt best", 0.6369),
     ("_good_ thing", 0.4404),
     ("bad", -0.5423),
+    ("no good", -0.3412),
+    ("no big good", -0.3412),
+    ("no bad or good", 0.1139),
+    ("least good", -0.3412),
+    ("at least good", 0.4404),
+    ("it was kind of good", 0.3832),
+    ("well this is the bomb bad", 0.6124),
     ("nothing here", -0.0),
     ("", 0.0),
     (None, 0.0),
