@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -30,49 +32,68 @@ from opinionloom.session import written
 
 CAPACITY = 2048
 END_ID = 0
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 12 << 20
 #: Pieces of one length are numbered in parts, about one for so many pieces in all.
 PART_ROWS = 500_000
 LEAST_PARTS = 64
-#: Ids of chunks a worker remembers across batches; it forgets all of them when there are more.
-REMEMBERED = 300_000
+#: Ids of words a worker remembers across batches; above this number it forgets those not seen since the last time.
+REMEMBERED = 200_000
+#: A word of plain letters and the signs behind it are tokenized one by one, the letters in lower case.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 class ChunkTokenizer:
-    """Ids of texts, where each distinct chunk between white space is tokenized once.
+    """Ids of texts, where each distinct word is tokenized once.
 
-    Right for tokenizers whose pre-tokenizer drops white space, so that no token or special token crosses it.
+    Right for lower-casing tokenizers whose pre-tokenizer drops white space and parts letters from signs, so that no token
+    or special token crosses these places.
     """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(file)
-        for probe in ("ab cd", "ab\ncd\t ef", "a's <|x|> b", " ab  c "):
+        for probe in ("ab cd", "ab\ncd\t ef", "a's <|x|> b", " ab  c ", "École, ab?! Cd.", "x;y z..."):
             whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-            parts = [i for c in probe.split() for i in self.tokenizer.encode(c, add_special_tokens=False).ids]
+            words = [p for c in probe.split() for p in self._parted(c) if p]
+            parts = [i for w in words for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
             if whole != parts:
                 raise ValueError(f"{file} doesn't tokenize words one by one")
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Tokenize new chunks, several in one call; the offsets tell them apart."""
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def _parted(chunk: str) -> tuple[str, str]:
+        plain = _WORD.fullmatch(chunk)
+        return (plain[1].lower(), plain[2]) if plain else (chunk, "")
+
+    def _learn(self, words: set[str]) -> None:
+        """Have the ids of all words in ``known``: from former batches, or by the tokenizer."""
+        known, older, chunks = self.known, self.older, []
+        for word in words:
+            if word not in known:
+                ids = older.get(word)
+                if ids is None:
+                    chunks.append(word)
+                else:
+                    known[word] = ids
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             for chunk, one in zip(part, encoded, strict=True):
-                self.known[chunk] = tuple(one.ids)
+                self.known[chunk] = array("I", one.ids).tobytes()
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, without special tokens added."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = words.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
-        self._learn([w for w in names if w not in self.known])
-        lists = [self.known[w] for w in names]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for one in lists for i in one), np.uint32, int(sizes.sum()))
+        parted = [self._parted(c) for c in names]
+        self._learn({w for pair in parted for w in pair})
+        packed = [self.known[w] + self.known[signs] if signs else self.known[w] for w, signs in parted]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        flat = np.frombuffer(b"".join(packed), np.uint32)
         firsts = np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         counts = sizes[codes]
