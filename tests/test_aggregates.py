@@ -121,7 +121,7 @@ def test_agreement_rates(spark):
     flags = agreement.add_agreement_flag(df).orderBy("review_id").collect()
     assert [f["sentiment_agree"] for f in flags] == [False] * 4
     kpis = aggregates.kpis(df).first()
-    assert (kpis["total"], kpis["pct_positive"], kpis["vader_agree"], kpis["bert_agree"]) == (4, 50.0, 33.3, 66.7)
+    assert (kpis["total"], kpis["pct_positive"], kpis["vader_agree"], kpis["model_binary_agree"]) == (4, 50.0, 33.3, 66.7)
 
 
 def test_audit(spark):
