@@ -118,15 +118,23 @@ def frequent_lines(measured: DataFrame, max_docs: int = MAX_DOCS, least_kinds: f
     Distinct (host, line, text) come first, so that a line of a third of all rows is never in one group. Only lines of
     enough texts are looked at for their kinds.
     """
-    texts = measured.select("host", "text_key", F.array_distinct("hashes").alias("own")).distinct()
-    lines = texts.select("host", "text_key", "own", F.explode("own").alias("line"))
+    lines = measured.select("host", "text_key", F.explode(F.array_distinct("hashes")).alias("line"))
     many = (
         lines.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one"))
         .groupBy("host", "line").agg(F.count("*").alias("texts"))
         .filter(F.col("texts") > max_docs)
-        .select(F.col("host").alias("h"), F.col("line").alias("l"), "texts")
     )
-    held = lines.join(many, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
+    many = written(many, "shared-lines").select(F.col("host").alias("h"), F.col("line").alias("l"), "texts")
+    # the other lines of a text are fetched once a text, and only for texts that hold such a line
+    flagged = (
+        lines.join(many, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
+        .groupBy(F.col("host").alias("h"), F.col("text_key").alias("t"))
+        .agg(F.collect_set(F.struct("line", "texts")).alias("shared"))
+    )
+    texts = measured.groupBy("host", "text_key").agg(F.first("hashes").alias("own"))
+    held = texts.join(flagged, F.col("host").eqNullSafe(F.col("h")) & (F.col("text_key") == F.col("t"))).select(
+        "host", "own", F.inline("shared")
+    )
     others = F.filter("own", lambda x: x != F.col("line"))
 
     def least(flipped: int) -> Column:
