@@ -90,6 +90,18 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert all(kept[i] == t for i, t, _ in rows if i >= 300)
 
 
+@pytest.mark.parametrize(("template", "own"), [(5, 3), (15, 5), (5, 1)])
+def test_pages_with_more_template_lines_than_own_lines(spark, template, own):
+    lines = [prose(f"t{k}", 8) for k in range(template)]
+    rows = [(i, "\n".join(lines + [prose(f"{i}o{k}", 8) for k in range(own)]), "a") for i in range(200)]
+    copies = [prose(f"c{k}", 40) for k in range(6)]
+    rows += [(1000 + i, "\n".join([lines[0], *copies, prose(f"n{i}", 5)]), "a") for i in range(600)]  # near copies
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    removed = {r.doc_id: r.removed for r in quality_rules.judge(documents).collect()}
+    assert all(removed[i] == list(range(template)) for i in range(200))
+    assert all(removed[1000 + i] == [0] for i in range(600))
+
+
 def test_rules_on_messy_rows(messy, empty):
     judged = quality_rules.judge(messy)
     assert judged.count() == messy.count()
