@@ -6,7 +6,9 @@ gzip member ends with anyway.
 
 The reader takes plain and compressed archives. A record or member is checked: gzip trailer, version line, header fields,
 length, closing line breaks, block and payload digest. After a failed check it searches for the next member or version
-line whose record passes, goes on there, and logs the bytes between as a quarantined gap. Archives are read whole, one at a
+line whose record passes, goes on there, and logs the bytes between as a quarantined gap. The content of a member that
+holds several records is searched in the same way, as far as it could be unpacked; a gap in it has the place of the
+member, and its reason names the bytes of the content. A single record stands or falls with its member. Archives are read whole, one at a
 time; ``RECORDS_PER_FILE`` bounds the files written here.
 
 Defined cases: a null payload is empty, a null url is left out, a null key is written and read back as null. Rows that
@@ -20,6 +22,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from typing import NamedTuple
 from urllib.parse import quote, unquote
 
@@ -113,7 +116,11 @@ def write_archives(
 
 
 class Failed(Exception):
-    """A check that failed; the message is the reason."""
+    """A check that failed; the message is the reason. Of a member, also what was unpacked and the place of the failure."""
+
+    def __init__(self, reason: str, content: bytes = b"", stop: int = 0):
+        super().__init__(reason)
+        self.content, self.stop = content, stop
 
 
 class Record(NamedTuple):
@@ -175,34 +182,72 @@ def _check(declared: str | None, content: bytes, what: str) -> None:
 def unpack_member(data: bytes, at: int) -> tuple[bytes, int]:
     """The content of the gzip member at a place, and the place behind it; raises ``Failed``."""
     unpacker, parts, view = zlib.decompressobj(31), [], memoryview(data)
-    try:
-        while not unpacker.eof:
-            chunk = view[at : at + CHUNK]
-            if not len(chunk):
-                raise Failed("member cut off")
+    while not unpacker.eof:
+        chunk = view[at : at + CHUNK]
+        if not len(chunk):
+            raise Failed("member cut off", b"".join(parts), at)
+        former = unpacker.copy()
+        try:
             parts.append(unpacker.decompress(chunk))
-            at += len(chunk)
-    except zlib.error as error:
-        raise Failed("member damaged") from error
+        except zlib.error as error:
+            # once more byte by byte, for what comes out before the damage
+            with suppress(zlib.error):
+                for one in range(at, at + len(chunk)):
+                    parts.append(former.decompress(view[one : one + 1]))
+            raise Failed("member damaged", b"".join(parts), one) from error
+        at += len(chunk)
     return b"".join(parts), at - len(unpacker.unused_data)
 
 
-def _records_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the member, or the plain record, at a place."""
+def _content(content: bytes, at: int, size: int) -> tuple[list[Record | Gap], int]:
+    """The records and gaps in the content of the member at a place, and how many records there are."""
+    found, inner, gap_at, reason, n = [], 0, None, "", 0
+
+    def close(gap_end: int) -> None:
+        if gap_at is not None:
+            found.append(Gap(at, size, f"{reason}, bytes {gap_at} to {gap_end} of the member's content"))
+
+    while inner < len(content):
+        try:
+            record, end = parse_record(content, inner)
+        except Failed as failure:
+            if gap_at is None:
+                gap_at, reason = inner, str(failure)
+            later = VERSION.search(content, inner + 1)
+            inner = later.start() if later else len(content)
+            continue
+        close(inner)
+        gap_at = None
+        found.append(record._replace(position=at, size=size))
+        inner, n = end, n + 1
+    close(len(content))
+    return found, n
+
+
+def _records_at(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """The records of the member, with the gaps between them, or the plain record, at a place."""
     if data[at : at + 3] != GZIP_MAGIC:
         record, end = parse_record(data, at)
         return [record], end
     content, end = unpack_member(data, at)
-    records, inner = [], 0
-    while inner < len(content):
-        record, inner = parse_record(content, inner)
-        records.append(record._replace(position=at, size=end - at))
-    return records, end
+    found, n = _content(content, at, end - at)
+    if found and not n:
+        parse_record(content, 0)
+    return found, end
 
 
 _START = re.compile(re.escape(GZIP_MAGIC) + b"|" + VERSION.pattern)
 
 
+def _held(failure: Failed, at: int) -> list[Record]:
+    """The records that pass in what was unpacked of a broken member, unless that is one record and nothing else."""
+    found, _ = _content(failure.content, at, failure.stop - at)
+    with suppress(Failed):
+        if parse_record(failure.content, 0)[1] == len(failure.content):
+            return []
+    return [x for x in found if isinstance(x, Record)]
+
+
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All records of an archive that pass the checks, and the gaps between them."""
     at, gap_at, reason = 0, None, ""
@@ -210,6 +255,11 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         try:
             records, end = _records_at(data, at)
         except Failed as failure:
+            if held := _held(failure, at):
+                if gap_at is not None:
+                    yield Gap(gap_at, at - gap_at, reason)
+                gap_at, reason = at, str(failure)
+                yield from held
             if gap_at is None:
                 gap_at, reason = at, str(failure)
             later = _START.search(data, at + 1)

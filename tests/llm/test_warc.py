@@ -40,6 +40,28 @@ def test_every_single_damaged_byte_costs_one_record_at_most():
                 assert gaps == [(begin, end - begin)]
 
 
+def test_one_bad_record_in_a_member_of_many():
+    records = [plain_record(i, b"page %d" % i) for i in range(5)]
+    records[2] = records[2].replace(b"page 2", b"page X")
+    packed = warc.member(b"".join(records))
+    begin = len(records[0]) + len(records[1])
+    parts = list(warc.salvage(packed + warc.member(plain_record(5, b"after"))))
+    assert [p.payload for p in parts if isinstance(p, warc.Record)] == [b"page 0", b"page 1", b"page 3", b"page 4", b"after"]
+    gaps = [p for p in parts if isinstance(p, warc.Gap)]
+    assert [(g.position, g.size) for g in gaps] == [(0, len(packed))]
+    assert gaps[0].reason == f"block digest differs, bytes {begin} to {begin + len(records[2])} of the member's content"
+
+
+def test_records_before_a_break_in_a_member_of_many():
+    noise = [b"".join(hashlib.sha256(b"%d %d" % (i, k)).digest() for k in range(200)) for i in range(20)]
+    packed, after = warc.member(b"".join(plain_record(i, p) for i, p in enumerate(noise))), warc.member(plain_record(99, b"after"))
+    at = len(packed) // 2
+    found, gaps = salvaged(packed[:at])
+    assert found == noise[: len(found)] and 8 <= len(found) <= 10 and gaps == [(0, at)]
+    found, gaps = salvaged(packed[:at] + bytes(2000) + packed[at + 2000 :] + after)
+    assert found[-1] == b"after" and noise[:8] == found[:8] and gaps == [(0, len(packed))]
+
+
 def test_cut_off_and_foreign_bytes_are_logged():
     first, second = warc.member(plain_record(1, b"one")), plain_record(2, b"two")
     junk = b"junk \x1f\x8b\x08 WARC/1.1\r\n more"
