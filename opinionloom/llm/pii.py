@@ -3,7 +3,8 @@
 Regex, gazetteer and context labelers each vote ``yes``, ``no`` or abstain on candidate spans. Expectation-maximisation
 over the counts of vote patterns (at most 27 per kind, whatever the corpus) estimates how far each labeler can be
 trusted; the resulting probabilities train a final naive Bayes classifier on span features. A candidate it accepts, and
-that overlaps no span of a fixed pattern, is added.
+that overlaps no span of a fixed pattern, is added. Every pair of neighbouring capitalised words is a candidate for a
+name; of accepted pairs that share a word those stay whose evidence is most in total, the left ones of equal sums.
 
 Defined cases: a null text is empty and has no spans. A corpus without candidates trains nothing and adds nothing. Every
 row gives one row, repeated keys included. Candidates go through the shared folder once; texts never do.
@@ -34,8 +35,10 @@ CANDIDATES = (
     ("local_phone", r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", "[0-9]{3}"),
     ("tax_number", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
-    ("name", r"(?<!\p{L})(\p{Lu}\p{Ll}{1,19})\x20(?!\1)\p{Lu}\p{Ll}{1,19}(?!\p{L})", None),
+    ("name", r"(?<!\p{L})(\p{Lu}\p{Ll}{1,19})(?=\x20(?!\1)\p{Lu}\p{Ll}{1,19}(?!\p{L}))", None),
 )
+#: A name's candidate pattern finds the first word only, so that pairs may overlap; this one takes the pair from there.
+NAME_PAIR = r"^\p{Lu}\p{Ll}{1,19}\x20\p{Lu}\p{Ll}{1,19}"
 STRICT = {
     "hidden_email": r"(?i)^[a-z0-9._%+-]+ ?[\[(]at[\])] ?[a-z0-9-]+( ?(\.|[\[(]dot[\])]) ?[a-z0-9-]+)* ?(\.|[\[(]dot[\])]) ?[a-z]{2,10}$",
     "local_phone": r"^\(?[2-9][0-9]{2}[^0-9]+[2-9][0-9]{2}[^0-9][0-9]{4}$",
@@ -108,14 +111,54 @@ def _by_kind(kind: Column, patterns: dict[str, str], value: Column) -> Column:
     return found
 
 
+def _with_second_word(text: Column, firsts: Column) -> Column:
+    def paired(s: Column) -> Column:
+        pair = F.regexp_extract(F.substring(text, s["start"] + 1, F.lit(41)), NAME_PAIR, 0)
+        return S.let(
+            pair,
+            lambda found: F.struct(
+                s["start"].alias("start"),
+                (s["start"] + F.length(found)).alias("stop"),
+                s["rank"].alias("rank"),
+                s["kind"].alias("kind"),
+                found.alias("found"),
+            ),
+        )
+
+    return F.transform(firsts, paired).cast(S.SPAN)
+
+
+def _apart(spans: Column) -> Column:
+    """Of names (by start, each with its ``evidence``) that overlap their neighbours, those of the most evidence in total.
+
+    ``with`` and ``without`` are the best sums and the starts taken, with the last name and without it.
+    """
+
+    def best(acc: Column) -> Column:
+        return F.when(acc["with"]["total"] > acc["without"]["total"], acc["with"]).otherwise(acc["without"])
+
+    def step(acc: Column, s: Column) -> Column:
+        former = F.when(s["start"] < acc["stop"], acc["without"]).otherwise(best(acc))
+        taken = S.let(
+            former,
+            lambda f: F.struct((f["total"] + s["evidence"]).alias("total"), F.concat(f["starts"], F.array(s["start"])).alias("starts")),
+        )
+        return F.struct(taken.alias("with"), best(acc).alias("without"), s["stop"].alias("stop"))
+
+    nothing = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<int>").alias("starts"))
+    zero = F.struct(nothing.alias("with"), nothing.alias("without"), F.lit(0).alias("stop"))
+    starts = F.aggregate(F.filter(spans, lambda s: s["kind"] == "name"), zero, step, lambda acc: best(acc)["starts"])
+    return S.let(starts, lambda kept: F.filter(spans, lambda s: (s["kind"] != "name") | F.array_contains(kept, s["start"])))
+
+
 def _candidates(text: Column) -> Column:
     """Candidate spans with their three votes (1 yes, 0 no, -1 abstains) and features for the final classifier."""
-    spans = F.concat(
-        *(
-            S.matches(text, pattern, kind, len(KINDS) + i, None if needs is None else F.rlike(text, F.lit(needs)))
-            for i, (kind, pattern, needs) in enumerate(CANDIDATES)
-        )
-    )
+    found = {
+        kind: S.matches(text, pattern, kind, len(KINDS) + i, None if needs is None else F.rlike(text, F.lit(needs)))
+        for i, (kind, pattern, needs) in enumerate(CANDIDATES)
+    }
+    found["name"] = _with_second_word(text, found["name"])
+    spans = F.concat(*found.values())
 
     def voted(s: Column) -> Column:
         def with_context(before: Column) -> Column:
@@ -242,14 +285,16 @@ def find_personal_data(documents: DataFrame, key: str = "doc_id", text: str = "t
         priors, table = _literal_map(prior), _literal_map(odds)
         limit = math.log(ACCEPT / (1 - ACCEPT))
 
-        def accepted(s: Column) -> Column:
+        def weighed(s: Column) -> Column:
             evidence = F.aggregate(
                 s["features"],
                 F.element_at(priors, s["kind"]),
                 lambda total, f: total + F.coalesce(F.try_element_at(table, F.concat_ws("|", s["kind"], f)), F.lit(0.0)),
             )
             yes = F.size(F.filter(F.split(s["votes"], ","), lambda v: v == "1"))
-            return (evidence >= limit) & (yes >= LEAST_YES)
+            fields = (s[c].alias(c) for c in ("start", "stop", "rank", "kind"))
+            return F.struct(*fields, evidence.alias("evidence"), (yes >= LEAST_YES).alias("several"))
 
-        spans = F.concat(spans, bare(F.filter("candidates", accepted)))
+        accepted = F.filter(F.transform("candidates", weighed), lambda s: (s["evidence"] >= limit) & s["several"])
+        spans = F.concat(spans, bare(S.let(accepted, _apart)))
     return found.select(F.col("_key").alias(key), "base", spans.alias("spans"))

@@ -130,6 +130,30 @@ def test_method_spans_need_several_votes(spark):
     assert found[0] == "name:11:21" and not any(v for k, v in found.items() if k)
 
 
+def found_in(spark, texts):
+    rows = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    return {r.doc_id: r.spans for r in rows.select("doc_id", S.listed(F.col("spans")).alias("spans")).collect()}
+
+
+def test_names_after_capitalised_words(spark):
+    names = ["Frau Anna Schmidt", "Herr Hans Keller", "Madame Claire Dupont", "Signed Thomas Miller", "Frau Anna Schmidt Berlin"]
+    texts = [f"gestern kam {n} an" for n in names] + [f"the thing{i} was Green Water{'s' * (i % 3)} again" for i in range(60)]
+    texts += ["My name is Mary Smith and I live here.", "é😀 Frau Maria Keller"]
+    texts += [f"and then Dear {g} {f} came" for g in ("Susan", "Peter", "Laura") for f in ("Walker", "Weber")]
+    found = found_in(spark, texts)
+    starts = [n.index(" ") + 13 for n in names]
+    stops = [12 + len(n.removesuffix(" Berlin")) for n in names]
+    assert [found[i] for i in range(5)] == [f"name:{a}:{b}" for a, b in zip(starts, stops)]
+    assert found[65] == "name:11:21" and found[66] == "name:8:20" and not any(found[i] for i in range(5, 65))
+
+
+def test_overlapping_names_keep_the_most_evidence(spark):
+    rows = [(0, 5, 3.0), (3, 9, 4.0), (7, 12, 3.0), (20, 25, 2.0), (23, 30, 2.0), (40, 45, 1.0)]
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit("name").alias("kind"), F.lit(e).alias("evidence")) for a, b, e in rows))
+    kept = spark.range(1).select(pii._apart(spans).alias("kept")).first().kept
+    assert [s.start for s in kept] == [0, 7, 20, 40]
+
+
 def test_messy_and_empty_tables(messy, empty):
     for find in (secrets.scan_secrets, pii.find_personal_data):
         assert find(messy).count() == messy.count()
