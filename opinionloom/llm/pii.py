@@ -162,8 +162,10 @@ def _candidates(text: Column) -> Column:
 
     def voted(s: Column) -> Column:
         def with_context(before: Column) -> Column:
-            shape = F.when(_by_kind(s["kind"], STRICT, s["found"]), 1).otherwise(0)
-            known = F.when(_by_kind(s["kind"], GAZETTEER, s["found"]), 1).when(s["kind"] == "name", 0).otherwise(-1)
+            # an account number is printed in groups of four or in one
+            bare = F.when(s["kind"] == "iban", F.replace(s["found"], F.lit(" "), F.lit(""))).otherwise(s["found"])
+            shape = F.when(_by_kind(s["kind"], STRICT, bare), 1).otherwise(0)
+            known = F.when(_by_kind(s["kind"], GAZETTEER, bare), 1).when(s["kind"] == "name", 0).otherwise(-1)
             cue = F.when(_by_kind(s["kind"], CUES, before), 1).when(
                 F.rlike(F.concat(before, s["found"]), F.lit(COUNTER_CUES)), 0
             )
@@ -176,7 +178,7 @@ def _candidates(text: Column) -> Column:
                 s["kind"].alias("kind"),
                 F.concat_ws(",", shape.cast("string"), known.cast("string"), cue.cast("string")).alias("votes"),
                 F.array(
-                    F.concat(F.lit("size:"), F.least(F.length(s["found"]), F.lit(40)).cast("string")),
+                    F.concat(F.lit("size:"), F.least(F.length(bare), F.lit(40)).cast("string")),
                     F.concat(F.lit("digits:"), F.least(F.length(_digits(s["found"])), F.lit(20)).cast("string")),
                     F.concat(F.lit("last:"), F.pmod(F.xxhash64(F.element_at(F.split(F.trim(before), r"\s+"), -1)), F.lit(32)).cast("string")),
                     F.concat(F.lit("votes:"), F.concat_ws(",", shape.cast("string"), known.cast("string"), cue.cast("string"))),

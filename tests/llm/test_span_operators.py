@@ -154,6 +154,13 @@ def test_overlapping_names_keep_the_most_evidence(spark):
     assert [s.start for s in kept] == [0, 7, 20, 40]
 
 
+def test_ibans_with_and_without_blanks_need_no_cue(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606"]
+    texts = [f"please use {n} for it" for n in ibans] + ["see XX12 ABCD 1234 EFGH now", "see DE12 ABCD 1234 EFGH now"]
+    found = found_in(spark, texts * 10)
+    assert [found[i] for i in range(6)] == [f"iban:11:{11 + len(n)}" for n in ibans] + ["", ""]
+
+
 def test_messy_and_empty_tables(messy, empty):
     for find in (secrets.scan_secrets, pii.find_personal_data):
         assert find(messy).count() == messy.count()
