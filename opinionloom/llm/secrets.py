@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a run of letters, digits and ``+/_=-``. Per character class (hex or mixed) a window slides over it; the
-counts of its characters are kept up to date by one entering and one leaving character, and with them the sum of
-``n log2 n`` over the counts, as integers of a millionth. The lowest sum is the highest entropy. Candidates on the allow
-list, or that overlap a span of a fixed pattern, are suppressed.
+A candidate is a run of letters, digits and ``+/_=-``. A window slides over it; the counts of its characters are kept up
+to date by one entering and one leaving character, and with them the sum of ``n log2 n`` over the counts, as integers of a
+millionth. The lowest sum is the highest entropy. The limit is that of the candidate's character class: the smallest
+alphabet that holds it. Beside a whole candidate its runs of letters and digits are judged, each in its own class.
+Candidates on the allow list are suppressed; spans of fixed patterns are cut out of the text before candidates are taken.
 
 Defined cases: a null text is empty and has no spans. Every row gives one row, repeated keys included.
 """
@@ -29,15 +30,48 @@ KINDS = ("assign", "access", "hex")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Bits per character from which a window counts as random, by class. A window of 20 holds at most 4.32 bits.
-LEAST_BITS = {"hex": 3.0, "mixed": 3.9}
-ALPHABETS = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
-#: Harmless shapes: no letter or no digit, UUIDs, words joined by dashes, underscores or slashes with a short number.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Character classes, each tried before those that follow; all entropy is counted over the characters of ``mixed``.
+ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "lower": LOWER,
+    "upper": UPPER,
+    "base32": UPPER + "234567",
+    "lower36": LOWER + DIGITS,
+    "upper36": UPPER + DIGITS,
+    "mixed": UPPER + LOWER + DIGITS + "+/_=-",
+}
+#: Standard deviations by which a random window may hold less than the entropy expected.
+SLACK = 3.0
+
+
+def expected_bits(letters: int) -> tuple[float, float]:
+    """Mean and standard deviation of the entropy of a window of ``WINDOW`` uniformly random characters."""
+    p, w = 1 / letters, WINDOW
+    g = [0.0, *(n * math.log2(n) for n in range(1, w + 1))]
+    one = [math.comb(w, n) * p**n * (1 - p) ** (w - n) for n in range(w + 1)]
+    mean = sum(q * x for q, x in zip(one, g))
+    square = sum(q * x * x for q, x in zip(one, g))
+    both = sum(
+        math.comb(w, i) * math.comb(w - i, j) * p ** (i + j) * (1 - 2 * p) ** (w - i - j) * g[i] * g[j]
+        for i in range(w + 1)
+        for j in range(w + 1 - i)
+    )
+    variance = letters * square + letters * (letters - 1) * both - (letters * mean) ** 2
+    return math.log2(w) - letters * mean / w, math.sqrt(variance) / w
+
+
+#: Bits per character from which a window counts as random, by class.
+LEAST_BITS = {name: (lambda m: m[0] - SLACK * m[1])(expected_bits(min(len(a), 64))) for name, a in ALPHABETS.items()} | {"hex": 3.0}
+#: A dictionary-like part: letters of one case or capitalised, words joined without a sign too, with a short number;
+#: no run of five consonants (sch, ch, ck and th are one). A run of more than 40 letters is no word.
+PART = r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z](?![A-Za-z]))+[0-9]{0,4}|[0-9]{1,4})"
+NO_WORD = r"(?!.*(?:(?:(?>(?i:sch|ch|ck|th)|[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ])){5}|[A-Za-z]{41}))"
+#: Harmless shapes: no letter, UUIDs, dictionary-like parts joined by signs, keys of examples.
 ALLOWED = (
-    r"^[^0-9]+$",
     r"^[^A-Za-z]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?([A-Za-z]+[-_/=])*[A-Za-z]+[-_/=]?[0-9]{1,4}$",
+    rf"^{NO_WORD}[-_/=+]*+{PART}(?:[-_/=+]++{PART})*+[-_/=+]*$",
     r"^(AKIA)?[A-Z0-9]*EXAMPLE[A-Z0-9]*$",
 )
 SCALE = 1_000_000
@@ -82,14 +116,24 @@ def least_sum(candidate: Column, alphabet: str) -> Column:
     return S.let(F.slice(codes, F.lit(1), F.length(candidate)), slide)
 
 
+#: Runs of letters and digits in a candidate with other signs.
+RUN = rf"[A-Za-z0-9]{{{WINDOW},}}"
+
+
+def in_class(candidate: Column) -> Column:
+    """The largest sum of a random window in the smallest class that holds a candidate."""
+    limit = F.lit(entropy_limit(LEAST_BITS["mixed"]))
+    for name, alphabet in reversed([x for x in ALPHABETS.items() if x[0] != "mixed"]):
+        pattern = r"^([0-9a-f]+|[0-9A-F]+)$" if name == "hex" else f"^[{alphabet}]+$"
+        limit = F.when(F.rlike(candidate, F.lit(pattern)), entropy_limit(LEAST_BITS[name])).otherwise(limit)
+    return limit
+
+
 def is_random(candidate: Column) -> Column:
-    """Whether some window of the candidate reaches the entropy of its character class."""
-    small, hexed = F.lower(candidate), F.rlike(candidate, F.lit(r"^([0-9a-f]+|[0-9A-F]+)$"))
-    return (
-        F.when(F.length(candidate) < WINDOW, F.lit(False))
-        .when(hexed, least_sum(small, ALPHABETS["hex"]) <= entropy_limit(LEAST_BITS["hex"]))
-        .otherwise(least_sum(candidate, ALPHABETS["mixed"]) <= entropy_limit(LEAST_BITS["mixed"]))
-    )
+    """Whether some window of the candidate, or of a run of letters and digits in it, reaches the entropy of its class."""
+    reaches = lambda c: least_sum(c, ALPHABETS["mixed"]) <= in_class(c)
+    runs = F.filter(F.regexp_extract_all(candidate, F.lit(RUN), F.lit(0)), lambda run: run != candidate)
+    return F.when(F.length(candidate) < WINDOW, F.lit(False)).otherwise(reaches(candidate) | F.exists(runs, reaches))
 
 
 def base_spans(text: Column) -> Column:
@@ -104,16 +148,15 @@ def base_spans(text: Column) -> Column:
 
 def secret_spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> tuple[Column, Column]:
     """Base spans of a text, and a function of these that gives the spans the entropy scan adds."""
-    candidates = S.matches(text, CANDIDATE, "entropy", 3, F.rlike(text, F.lit("[0-9]")))
 
-    def added(base: Column) -> Column:
-        def wanted(s: Column) -> Column:
-            harmless = F.lit(False)
-            for pattern in allowed:
-                harmless = harmless | F.rlike(s["found"], F.lit(pattern))
-            return F.when(harmless | S.overlaps(s, base), F.lit(False)).otherwise(is_random(s["found"]))
+    def wanted(s: Column) -> Column:
+        harmless = F.lit(False)
+        for pattern in allowed:
+            harmless = harmless | F.rlike(s["found"], F.lit(pattern))
+        return F.when(harmless, F.lit(False)).otherwise(is_random(s["found"]))
 
-        return F.filter(candidates, wanted)
+    def added(base: Column) -> Column:
+        return S.let(S.blanked(text, base), lambda rest: F.filter(S.matches(rest, CANDIDATE, "entropy", 3), wanted))
 
     return base_spans(text), added
 

@@ -101,3 +101,21 @@ def masked(text: Column, spans: Column, mask: str) -> Column:
         lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
     return F.when(F.size(spans) > 0, pieces).otherwise(text)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with every character of a span as a blank, so that all places stay."""
+    pieces = F.aggregate(
+        F.array_sort(spans),
+        F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
+        lambda acc, s: F.struct(
+            F.concat(
+                acc["done"],
+                F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
+                F.repeat(F.lit(" "), F.greatest(s["stop"] - F.greatest(s["start"], acc["at"]), F.lit(0))),
+            ).alias("done"),
+            F.greatest(acc["at"], s["stop"]).alias("at"),
+        ),
+        lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+    return F.when(F.size(spans) > 0, pieces).otherwise(text)

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -105,6 +106,34 @@ def test_entropy_adds_random_strings_and_suppresses_harmless_ones(spark):
     ]
 
 
+def entropy_spans(spark, texts):
+    rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    return [r.spans for r in rows.select("doc_id", S.listed(F.col("spans")).alias("spans")).orderBy("doc_id").collect()]
+
+
+def test_random_strings_of_every_alphabet_are_found(spark):
+    pick, lower, digits = random.Random(7), "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    base64 = lower + lower.upper() + digits + "+/"
+    for letters, least in ((lower + digits, 0.97), (lower.upper() + digits, 0.97), (lower.upper() + "234567", 0.97), (base64, 0.97), (lower, 0.85)):
+        for size in (20, 24, 32):
+            words = ["".join(pick.choice(letters) for _ in range(size)) for _ in range(200)]
+            found = entropy_spans(spark, [f"see {w} now" for w in words])
+            assert sum(bool(f) for f in found) >= least * len(words), (letters, size)
+
+
+def test_words_and_paths_are_no_secrets(spark):
+    texts = ["blog/2019/05/the-title-of-some-page", "Wirtschaftswissenschaften", "getUserAccountInformation", "SOME_VERY_LONG_CONSTANT_NAME",
+             "internationalization2", "/usr/local/share/applications/", "-" * 40, "=" * 30, "page12-section3/chapter-eleven", "20200101-20201231-0001"]
+    assert entropy_spans(spark, texts) == [""] * len(texts)
+
+
+def test_random_part_beside_a_base_span(spark):
+    texts = ["q7Xz9Lm2Tw4Rb8Nc1Vd6-0123456789abcdef", "é😀 0123456789abcdef/q7Xz9Lm2Tw4Rb8Nc1Vd6", "some-0123456789abcdef"]
+    assert entropy_spans(spark, texts) == ["entropy:0:21,hex:21:37", "hex:3:19,entropy:19:40", "hex:5:21"]
+    masked = secrets.mask_secrets(spark.createDataFrame([(texts[0],)], "text string")).first().text
+    assert "q7Xz" not in masked and "0123" not in masked
+
+
 def test_masking(spark, messy, empty):
     texts = [None, "", "é password=abcdefghijkl0, AKIAABCDEFGHIJKLMN", "0123456789abcdef0" * 2 + "\ntoken=0123456789abcdef", "clean"]
     rows = secrets.mask_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
