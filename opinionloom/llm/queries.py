@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinionloom.llm import decontamination, packing, pii, quality_classifier, quality_rules, secrets, simhash, token_counts, warc
+from opinionloom.llm import (
+    alignment,
+    decontamination,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    simhash,
+    spelling,
+    token_counts,
+    token_files,
+    warc,
+)
 from opinionloom.llm import spans as S
 from opinionloom.llm.url_filter import judge_urls
 from opinionloom.session import shared_folder
 from opinionloom.sources.tables import read_table
 
-TOKENIZERS = "/opt/tokenizers"
+#: Folder of the tokenizer files; every worker must have it.
+TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 # Host, path and verdict of the url rules.
 URL_RULES = (
@@ -97,6 +113,21 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return _span_digest(secrets.scan_secrets(read_table(spark, folder, "documents")), secrets.KINDS)
 
 
+def op11_token_files(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_token_files(read_table(spark, folder, "documents"), path, f"{tokenizers}/word_bpe_49k.json")
+    return token_files.read_digests(spark, path)
+
+
+def op12_alignment(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    files = (f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+    return alignment.score_alignment(read_table(spark, folder, "documents"), *files)
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_decontamination": op2_decontamination,
@@ -108,6 +139,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scans": op10_secret_scans,
+    "op11_token_files": op11_token_files,
+    "op12_alignment": op12_alignment,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {}
