@@ -49,7 +49,7 @@ MAGIC = int.from_bytes(b"PFR1", "little")
 SEGMENT_IDS = 1 << 18
 #: Bytes of text a part is meant to hold.
 PART_BYTES = 32 << 20
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -200,6 +200,7 @@ def write_token_files(
                     keys, lengths, ids, waiting = [], [], [], 0
         if keys:
             yield closed()
+        pa.default_memory_pool().release_unused()
 
     schema = f"part int, segment int, start long, n_ids long, keys array<{kind}>, lengths array<long>, bytes binary"
     in_python(dealt, run, schema).write.parquet(f"{path}/segments")
