@@ -22,9 +22,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
+from collections.abc import Iterable
 from functools import cache
-from itertools import product
+from itertools import batched, chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,11 @@ BLANK = "▁"
 REMEMBERED = 250_000
 CHUNKS_PER_TEXT = 256
 HOT_PAIRS = 200_000
-SLICE_BYTES = 4 << 20
+#: A group of more links counts its ids before they are paired.
+MOST_LISTED = 4096
+#: Chunks tokenized and aligned at a time.
+LEARNED = 1 << 14
+SLICE_BYTES = 2 << 20
 #: Behind the blank of a cut stands one of these: never white space.
 _SAFE = "!-~À-ÿ"
 _CUT = re.compile(f"(?<! )(?= [{_SAFE}])")
@@ -74,20 +78,32 @@ def piece_tokens(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in pieces]
 
 
-def align(left: list[int], right: list[int]) -> list[tuple[int, int, int, int]]:
-    """Groups ``(from, to, from, to)`` of two lists of token sizes over the same bytes."""
-    ends: list[dict[int, int]] = []
-    for sizes in (left, right):
-        index, end = {}, 0
-        for i, size in enumerate(sizes):
-            end += size
-            index[end] = i + 1
-        ends.append(index)
-    groups, a, b = [], 0, 0
-    for end in sorted(ends[0].keys() & ends[1].keys()):
-        groups.append((a, ends[0][end], b, ends[1][end]))
-        a, b = groups[-1][1], groups[-1][3]
-    return groups
+def align(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The common ends of two lists of token sizes over the same bytes, and how many tokens of either side they close."""
+    indexes = [dict(zip(np.cumsum(sizes).tolist(), range(1, len(sizes) + 1), strict=True)) for sizes in (left, right)]
+    common = sorted(indexes[0].keys() & indexes[1].keys())
+    counts = (np.fromiter(map(index.__getitem__, common), np.int64, len(common)) for index in indexes)
+    return np.array(common, np.int64), *counts
+
+
+def linked_pairs(left: np.ndarray, right: np.ndarray, starts: tuple, sizes: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of groups, given where each begins on either side and how many tokens it has there: rows of group, left id,
+    right id and times. Large groups list every pair of distinct ids once."""
+    links = sizes[0] * sizes[1]
+    small = np.flatnonzero(links <= MOST_LISTED)
+    many = links[small]
+    group = np.repeat(small, many)
+    place = np.arange(len(group)) - np.repeat(np.cumsum(many) - many, many)
+    across = sizes[1][group]
+    found = [(group, left[starts[0][group] + place // across], right[starts[1][group] + place % across], np.ones(len(group), np.int64))]
+    for large in np.flatnonzero(links > MOST_LISTED).tolist():
+        (a, n), (b, m) = (
+            np.unique(ids[start[large] : start[large] + size[large]], return_counts=True)
+            for ids, start, size in ((left, starts[0], sizes[0]), (right, starts[1], sizes[1]))
+        )
+        times = np.outer(n, m).ravel()
+        found.append((np.full(len(times), large), np.repeat(a, len(b)), np.tile(b, len(a)), times))
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
 
 
 class Aligner:
@@ -106,6 +122,11 @@ class Aligner:
             if whole != parts[0] + parts[1]:
                 raise ValueError(f"{left_file} has tokens across a blank that follows a word")
         self.n_right = len(self.right_bytes)
+        self.sizes = [np.fromiter(map(len, tokens), np.int64, len(tokens)) for tokens in (self.left_bytes, self.right_bytes)]
+        # every id as it is written within a group and at its end
+        self.written = [f"{i}{sign}" for tokens, signs in ((self.left_bytes, ",|"), (self.right_bytes, ",;")) for i in range(len(tokens)) for sign in signs]
+        self.written_at = (0, 2 * len(self.left_bytes))
+        self.written_sizes = np.fromiter(map(len, self.written), np.int64, len(self.written))
         self._forget()
 
     def _forget(self) -> None:
@@ -124,71 +145,82 @@ class Aligner:
         expected = (" " + text).encode()
         return b"".join(map(self.left_bytes.__getitem__, ids[0])) == expected == b"".join(map(self.right_bytes.__getitem__, ids[1]))
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: Iterable[str]) -> None:
         """Tokenize and align new chunks, those that are a word alone many at a time."""
         joined, single = [], []
         for chunk in chunks:
             (joined if _SAFE_START.fullmatch(chunk) else single).append(chunk)
         lists = [joined[at : at + CHUNKS_PER_TEXT] for at in range(0, len(joined), CHUNKS_PER_TEXT)]
-        rows, pairs, times = [], [], []
+        good, bad = [], []
         encoded = self._ids([" ".join(own) for own in lists])
         for own, ids in zip(lists, encoded, strict=True):
             if self._covers(ids, " ".join(own)):
-                self._add(own, ids, rows, pairs, times)
+                good.append((own, ids))
             else:
                 single += own
         for at in range(0, len(single), 1024):
             part = single[at : at + 1024]
             for chunk, ids in zip(part, self._ids(part), strict=True):
                 if self._covers(ids, chunk):
-                    self._add([chunk], ids, rows, pairs, times)
+                    good.append(([chunk], ids))
                 else:
-                    self.codes[chunk] = len(self.texts)
-                    self.texts.append("")
-                    rows.append((0, 0, 0, 0, 0, 0))
-        self.counts = np.concatenate((self.counts, np.array(rows, np.int64).reshape(-1, 6)))
-        self.pairs = np.concatenate((self.pairs, np.array(pairs, np.int32)))
-        self.times = np.concatenate((self.times, np.array(times, np.int64)))
-
-    def _add(self, chunks: list[str], ids: tuple[list[int], list[int]], rows: list, pairs: list[int], times: list[int]) -> None:
-        """Align the ids of some chunks in a row, and hand the groups out to them."""
-        left, right = ids
-        groups = align([len(self.left_bytes[i]) for i in left], [len(self.right_bytes[i]) for i in right])
-        known, n_right, at = self.pair_codes, self.n_right, 0
-        for chunk in chunks:
-            rest = 1 + len(chunk.encode())
-            found: Counter[int] = Counter()
-            texts, first, links = [], at, 0
-            while rest > 0:
-                a, to_a, b, to_b = groups[at]
-                at += 1
-                own_left, own_right = left[a:to_a], right[b:to_b]
-                rest -= sum(len(self.left_bytes[i]) for i in own_left)
-                texts.append(f"{','.join(map(str, own_left))}|{','.join(map(str, own_right))}")
-                links += len(own_left) * len(own_right)
-                if len(own_left) == len(own_right) == 1:
-                    found[own_left[0] * n_right + own_right[0]] += 1
-                else:
-                    of_right = Counter(own_right).items()
-                    for i, n in Counter(own_left).items():
-                        for j, m in of_right:
-                            found[i * n_right + j] += n * m
-            if rest:
-                raise ValueError(f"a token reaches beyond {chunk!r}")
-            self.codes[chunk] = len(self.texts)
-            self.texts.append(";".join(texts))
-            n_left = groups[at - 1][1] - groups[first][0]
-            n_own_right = groups[at - 1][3] - groups[first][2]
-            rows.append((n_left, n_own_right, at - first, links, 1, len(found)))
-            pairs.extend(known.setdefault(p, len(known)) for p in found)
-            times.extend(found.values())
+                    bad.append(chunk)
+        self._add(good)
+        self.codes.update(zip(bad, range(len(self.texts), len(self.texts) + len(bad)), strict=True))
+        self.texts += [""] * len(bad)
+        self.counts = np.concatenate((self.counts, np.zeros((len(bad), 6), np.int64)))
+
+    def _add(self, encoded: list[tuple[list[str], tuple[list[int], list[int]]]]) -> None:
+        """Align the ids of rows of chunks, and hand the groups out to the chunks."""
+        if not encoded:
+            return
+        chunks = [c for own, _ in encoded for c in own]
+        ids = [np.fromiter(chain.from_iterable(pair[side] for _, pair in encoded), np.int64) for side in (0, 1)]
+        ends, *tos = align(*(sizes[own] for sizes, own in zip(self.sizes, ids, strict=True)))
+        froms = [np.concatenate(([0], to[:-1])) for to in tos]
+        many = [to - start for to, start in zip(tos, froms, strict=True)]
+        chunk_ends = np.cumsum([1 + len(c.encode()) for c in chunks])
+        last = np.searchsorted(ends, chunk_ends)
+        if not np.array_equal(ends[np.minimum(last, len(ends) - 1)], chunk_ends):
+            raise ValueError("a token reaches beyond its chunk")
+        group_ends = last + 1
+        first = np.concatenate(([0], group_ends[:-1]))
+        # ids and signs of all groups in a row: a group's left ids stand behind the right ids of the groups before
+        group_of = [np.repeat(np.arange(len(ends)), n) for n in many]
+        listed = np.zeros(len(ids[0]) + len(ids[1]), np.int64)
+        closing = [np.zeros(len(own), bool) for own in ids]
+        for side in (0, 1):
+            closing[side][tos[side] - 1] = True
+            other = (froms[1], tos[0])[side][group_of[side]]
+            listed[np.arange(len(ids[side])) + other] = self.written_at[side] + 2 * ids[side] + closing[side]
+        text = "".join(map(self.written.__getitem__, listed.tolist()))
+        places = np.cumsum(self.written_sizes[listed])
+        text_ends = places[tos[0][last] + tos[1][last] - 1].tolist()
+        self.codes.update(zip(chunks, range(len(self.texts), len(self.texts) + len(chunks)), strict=True))
+        self.texts += [text[a : b - 1] for a, b in zip([0, *text_ends[:-1]], text_ends, strict=True)]
+        # links, and the distinct pairs of each chunk
+        group, left, right, times = linked_pairs(*ids, tuple(froms), tuple(many))
+        names, local = np.unique(left * self.n_right + right, return_inverse=True)
+        own = np.searchsorted(group_ends, group, side="right") * len(names) + local
+        order = np.argsort(own)
+        own, times = own[order], times[order]
+        new = np.flatnonzero(np.diff(own, prepend=-1))
+        times = np.add.reduceat(times, new)
+        owner, local = np.divmod(own[new], len(names))
+        known = self.pair_codes
+        named = np.fromiter((known.setdefault(p, len(known)) for p in names.tolist()), np.int32, len(names))
+        self.pairs, self.times = np.concatenate((self.pairs, named[local])), np.concatenate((self.times, times))
+        links = np.concatenate(([0], np.cumsum(many[0] * many[1])))
+        columns = [to[last] - start[first] for to, start in zip(tos, froms, strict=True)]
+        columns += [group_ends - first, links[group_ends] - links[first], np.ones(len(chunks), np.int64)]
+        columns.append(np.bincount(owner, minlength=len(chunks)))
+        self.counts = np.concatenate((self.counts, np.stack(columns, 1)))
 
     def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the chunks of all texts, and where each text begins among them."""
         texts = pc.fill_null(texts, "")
         uneven = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
-        even = pc.if_else(pa.array(uneven), pa.scalar(None, texts.type), texts)
-        words = pc.split_pattern(even, " ")
+        words = pc.split_pattern(texts.filter(pa.array(~uneven)), " ")
         coded = words.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         others = {}
@@ -197,10 +229,12 @@ class Aligner:
             others[row] = [c[1:] for c in _CUT.split(" " + text) if c] if text else []
         new = dict.fromkeys(n for n in names if n not in self.codes)
         new.update(dict.fromkeys(c for own in others.values() for c in own if c not in self.codes))
-        self._learn(list(new))
+        for part in batched(new, LEARNED):
+            self._learn(part)
         of_names = np.fromiter(map(self.codes.__getitem__, names), np.int64, len(names))
         codes = of_names[coded.indices.to_numpy(zero_copy_only=False)]
-        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~uneven] = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         if others:
             parts, at = [], 0
             for row, size in enumerate(sizes.tolist()):

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import product
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -73,9 +74,24 @@ def test_tokens_have_the_bytes_of_their_text(aligner):
 
 
 def test_align_slices_at_common_ends():
-    assert alignment.align([1, 2, 3], [3, 1, 2]) == [(0, 2, 0, 1), (2, 3, 1, 3)]
-    assert alignment.align([2, 2], [1, 3]) == [(0, 2, 0, 2)]
-    assert alignment.align([], []) == []
+    def groups(left, right):
+        return [own.tolist() for own in alignment.align(np.array(left, np.int64), np.array(right, np.int64))]
+
+    assert groups([1, 2, 3], [3, 1, 2]) == [[3, 6], [2, 3], [1, 3]]
+    assert groups([2, 2], [1, 3]) == [[4], [2], [2]]
+    assert groups([], []) == [[], [], []]
+
+
+@pytest.mark.parametrize("most", [0, 5, 10_000])
+def test_large_groups_link_like_small_ones(monkeypatch, most):
+    monkeypatch.setattr(alignment, "MOST_LISTED", most)
+    left, right = np.array([1, 1, 2, 3, 3, 3]), np.array([7, 8, 7, 9])
+    starts, sizes = (np.array([0, 4]), np.array([0, 3])), (np.array([4, 2]), np.array([3, 1]))
+    found = Counter()
+    for group, a, b, n in zip(*(c.tolist() for c in alignment.linked_pairs(left, right, starts, sizes)), strict=True):
+        found[group, a, b] += n
+    expected = Counter((0, a, b) for a in [1, 1, 2, 3] for b in [7, 8, 7]) + Counter((1, a, b) for a in [3, 3] for b in [9])
+    assert found == expected
 
 
 def test_chunks_give_the_groups_of_the_whole_text(aligner):
