@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import replace
 
-from pyspark.ml.clustering import LDA, DistributedLDAModel, LDAModel, LocalLDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +12,9 @@ from opinionloom import wordlists
 from opinionloom.functions.binding import pin
 from opinionloom.functions.labels import topic_label_or_default
 from opinionloom.functions.lookups import lookup_join, word_join
+from opinionloom.operators import variational
 from opinionloom.operators.tokens import MIN_TOKENS, drop_words
+from opinionloom.operators.variational import TopicModel
 from opinionloom.session import written
 
 NUM_TOPICS = 8
@@ -25,7 +24,8 @@ MIN_DOC_FREQ = 10
 MAX_DOC_SHARE = 0.85
 MAX_TERMS = 10_000
 LABEL_WORDS = 5
-CHUNK_DOCS = 2_000
+#: Updates in a pass; a pass reads every document once, whatever the number.
+CHUNKS = 4
 EVERY_DOCUMENT = ""
 
 
@@ -83,39 +83,6 @@ def dominant_topic(distribution: Column) -> Column:
     return F.coalesce(F.array_position(distribution, F.array_max(distribution)) - 1, F.lit(0)).cast("int")
 
 
-@dataclass
-class TopicModel:
-    """Dictionary and fitted model."""
-
-    vectorizer: CountVectorizerModel
-    lda: LDAModel
-
-    def save(self, folder: str) -> None:
-        """SNK4."""
-        self.vectorizer.write().overwrite().save(f"{folder}/dictionary")
-        self.lda.write().overwrite().save(f"{folder}/model")
-
-    @staticmethod
-    def load(folder: str) -> TopicModel:
-        """SRC6."""
-        return TopicModel(CountVectorizerModel.load(f"{folder}/dictionary"), LocalLDAModel.load(f"{folder}/model"))
-
-    @staticmethod
-    def exists(spark: SparkSession, folder: str) -> bool:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        paths = [jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}/metadata") for part in ("dictionary", "model")]
-        return all(path.getFileSystem(conf).exists(path) for path in paths)
-
-
-def training_schedule(documents: int, passes: int = PASSES, chunk_docs: int = CHUNK_DOCS) -> tuple[int, float]:
-    """Iterations and sampling rate that see the corpus ``passes`` times in chunks of about ``chunk_docs`` documents.
-
-    The rule is the same at every size; for a large corpus pass larger chunks, which means fewer and bigger steps.
-    """
-    chunks = max(1, round(documents / chunk_docs))
-    return passes * chunks, 1.0 / chunks
-
-
 def fit_topics(
     df: DataFrame,
     k: int = NUM_TOPICS,
@@ -126,48 +93,40 @@ def fit_topics(
     keep_n: int = MAX_TERMS,
     tokens_col: str = "topic_tokens",
     id_col: str = "review_id",
-    chunk_docs: int = CHUNK_DOCS,
+    chunks: int = CHUNKS,
 ) -> TopicModel:
-    """LDA2 to LDA4: dictionary, word counts, online variational training.
-
-    The word counts are written once and re-read in every pass, placed and sorted by id so that the same seed samples
-    the same documents; an executor lost in the middle costs a re-read, not the text work.
-    """
+    """LDA2 to LDA4: dictionary, word counts, online variational training with learned priors of topics and words."""
     terms = vocabulary(df, tokens_col, no_below, no_above, keep_n).orderBy("term_id").collect()
     if not terms:
         raise ValueError("no term is left in the dictionary; lower no_below")
-    vectorizer = CountVectorizerModel.from_vocabulary(
-        [row["term"] for row in terms], inputCol=tokens_col, outputCol="features"
-    )
-    counts = vectorizer.transform(df.select(id_col, tokens_col)).select(id_col, "features")
-    n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
-    features = written(counts.repartition(n, id_col).sortWithinPartitions(id_col), "word-counts").cache()
-    iterations, rate = training_schedule(features.count(), passes, chunk_docs)
-    lda = LDA(
-        k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=rate,
-        optimizeDocConcentration=True, learningOffset=1.0, learningDecay=0.51,
-    )
-    model = lda.fit(features)
-    features.unpersist()
-    return TopicModel(vectorizer, model.toLocal() if isinstance(model, DistributedLDAModel) else model)
+    return variational.fit(df, variational.start([row["term"] for row in terms], k, seed), passes, chunks, tokens_col, id_col)
+
+
+def training_mark(df: DataFrame, tokens_col: str = "topic_tokens", id_col: str = "review_id", **options) -> dict:
+    """What a model is trained on: the options, and a fingerprint of the rows that their order doesn't change."""
+    rows = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(id_col, tokens_col).cast("decimal(38,0)")).alias("h")).first()
+    return {"options": {name: options[name] for name in sorted(options)}, "rows": rows["n"], "fingerprint": str(rows["h"] or 0)}
 
 
 def load_or_fit(df: DataFrame, folder: str, **options) -> TopicModel:
-    """SNK4: reuse saved artifacts where both parts are there, otherwise train and save."""
-    if TopicModel.exists(df.sparkSession, folder):
-        return TopicModel.load(folder)
-    model = fit_topics(df, **options)
-    model.save(folder)
+    """SNK4: reuse saved artifacts if they were trained on the same rows with the same options, otherwise train and save."""
+    spark = df.sparkSession
+    mark = training_mark(df, **options)
+    if TopicModel.exists(spark, folder):
+        model = TopicModel.load(spark, folder)
+        if model.about == mark:
+            return model
+    model = replace(fit_topics(df, **options), about=mark)
+    model.save(spark, folder)
     return model
 
 
 def topic_keywords(spark: SparkSession, model: TopicModel, n: int = 10) -> DataFrame:
     """LDA6, TOPK2: ``(dominant_topic, rank, term, weight)``; k times n rows."""
-    words = model.vectorizer.vocabulary
     rows = [
-        (row["topic"], rank, words[index], float(weight))
-        for row in model.lda.describeTopics(n).collect()
-        for rank, (index, weight) in enumerate(zip(row["termIndices"], row["termWeights"]), 1)
+        (topic, rank, model.vocabulary[i], float(shares[i]))
+        for topic, shares in enumerate(model.topics())
+        for rank, i in enumerate(sorted(range(len(shares)), key=lambda i: (-shares[i], i))[:n], 1)
     ]
     return spark.createDataFrame(rows, "dominant_topic int, rank int, term string, weight double")
 
@@ -180,12 +139,9 @@ def keyword_text(keywords: DataFrame, n: int = LABEL_WORDS) -> DataFrame:
     )
 
 
-def topic_distribution(df: DataFrame, model: TopicModel) -> DataFrame:
-    """Model inference: add ``topic_distribution``, an array; the caller's model is left as it is."""
-    lda = model.lda.copy()
-    lda.setTopicDistributionCol("_topics").setFeaturesCol("features")
-    scored = lda.transform(model.vectorizer.transform(df))
-    return scored.withColumn("topic_distribution", vector_to_array("_topics")).drop("features", "_topics")
+def topic_distribution(df: DataFrame, model: TopicModel, tokens_col: str = "topic_tokens") -> DataFrame:
+    """Model inference: add ``topic_distribution``, an array."""
+    return df.withColumn("topic_distribution", model.distribution(F.col(tokens_col)))
 
 
 def assign_topics(df: DataFrame, model: TopicModel, labels: DataFrame | None = None) -> DataFrame:

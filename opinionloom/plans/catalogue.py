@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from opinionloom.operators import (
     search,
     tokens,
     topics,
+    variational,
 )
 from opinionloom.plans.jobs import kpis_with_coherence, prepared_tables
 from opinionloom.session import spread, written
@@ -51,6 +53,7 @@ SEARCH = {"topics": ("en", "fr"), "sentiments": ("positive",), "ratings": (1, 2,
 COHERENCE_WORDS = 20
 TOPIC_FIT = {"k": 8, "no_below": 10}
 LANGUAGES = ("de", "en", "es", "fr")
+TRACE_TOPICS = 4
 GIVEN_LABELS = {0: "german", 2: "spanish"}
 SMALL_CAP = 50
 SMALL_LIMIT = 20
@@ -292,6 +295,15 @@ def lda_topics(spark: SparkSession, folder: str) -> DataFrame:
     return topics.topic_keywords(spark, model, 10)
 
 
+def lda_fit_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """One round of inference from given topics: the weight of term ``i`` in topic ``t`` is ``1 + i * (t + 3) % 7``."""
+    documents = settled_documents(spark, folder)
+    terms = [r["term"] for r in topics.vocabulary(documents).orderBy("term_id").collect()]
+    given = np.array([[1.0 + i * (t + 3) % 7 for i in range(len(terms))] for t in range(TRACE_TOPICS)])
+    weights = variational.document_weights(documents, terms, given, np.full(TRACE_TOPICS, 1 / TRACE_TOPICS), rounds=1)
+    return weights.withColumn("weight", F.round("weight", 6))
+
+
 def _assigned(spark: SparkSession, folder: str) -> DataFrame:
     documents = settled_documents(spark, folder).drop("topic_label")
     return topics.assign_topics(documents, topics.fit_topics(documents, **TOPIC_FIT))
@@ -403,6 +415,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classifier_agreement": lambda s, d: agreement.model_vs_stars(classified(s, d).filter("held_out")),
     "topic_assignments_given": topic_assignments_given,
     "lda_audit": lda_audit,
+    "lda_fit_trace": lda_fit_trace,
     "lda_topics": lda_topics,
     "lda_assignments": lda_assignments,
     "lda_hotspots": lda_hotspots,

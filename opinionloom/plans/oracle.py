@@ -19,6 +19,7 @@ from opinionloom.plans.catalogue import (
     SMALL_CAP,
     SMALL_LIMIT,
     STOPS,
+    TRACE_TOPICS,
 )
 
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -514,6 +515,19 @@ def oracle_queries() -> dict[str, str]:
         "bag_of_words": _with(
             TOPIC_DOCS, "SELECT review_id, term_id, count(*) AS n FROM words JOIN vocab USING (term) GROUP BY 1, 2"
         ),
+        "lda_fit_trace": _with(
+            f"""{TOPIC_DOCS}, counts AS (
+  SELECT review_id, term_id, count(*) AS n FROM words JOIN vocab USING (term) GROUP BY 1, 2
+), given AS (
+  SELECT term_id, topic, 1.0::DOUBLE + term_id * (topic + 3) % 7 AS weight FROM vocab, range({TRACE_TOPICS}) AS t(topic)
+), normed AS (
+  SELECT *, weight / sum(weight) OVER (PARTITION BY term_id) AS share FROM given
+), summed AS (
+  SELECT review_id, topic, sum(n * share) AS weight FROM counts JOIN normed USING (term_id) GROUP BY 1, 2
+)""",
+            f"""SELECT review_id, topic::INTEGER AS topic, round({1 / TRACE_TOPICS}::DOUBLE + coalesce(weight, 0), 6) AS weight
+FROM (SELECT review_id, topic FROM docs, range({TRACE_TOPICS}) AS t(topic)) LEFT JOIN summed USING (review_id, topic)""",
+        ),
         "lexicon_scores": _with(
             f"{CLEANED},{_scores('cleaned', SEED_LEXICON)}", "SELECT review_id, vader_score, vader_label FROM scores"
         ),

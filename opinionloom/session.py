@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # ANSI casts, UTC month buckets and adaptive plans are what the operators are written against.
@@ -55,23 +57,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A local session without it gets a
-    temporary folder of its own; a cluster session without it is refused, because executors share no local disk.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="opinionloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+def python_tasks(spark: SparkSession) -> SparkContext:
+    """The session's context, whose Python workers find this package where the driver has it."""
+    environment, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
+    if home not in paths:
+        environment["PYTHONPATH"] = ":".join([*paths, home])
+    return spark.sparkContext
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
