@@ -21,10 +21,12 @@ from opinionloom.operators import (
     clean,
     coherence,
     ingest,
+    lemmas,
     lexicon,
     quality,
     sampling,
     search,
+    tagging,
     tokens,
     topics,
     variational,
@@ -163,6 +165,24 @@ def normalized_by_join(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("review_id", "review_normalized", "token_count")
 
 
+def vocabulary_of_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Every lower-case word of the cleaned texts with its count, written once."""
+    words = cleaned(spark, folder).select(F.expr(tokens.alphabetic_words_sql("review_clean")).alias("words"))
+    return written(lemmas.word_counts(words), "word-counts")
+
+
+def normalized_by_rules(spark: SparkSession, folder: str) -> DataFrame:
+    counted = vocabulary_of_words(spark, folder)
+    table = lemmas.lemma_table(counted, written(lemmas.lemma_rules(counted), "lemma-rules"))
+    rows = tokens.normalize_reviews(cleaned(spark, folder), stops=STOPS, lemmas=table)
+    return rows.select("review_id", "review_normalized", "token_count")
+
+
+def tagged_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    rows = written(tagging.sentences(standard(spark, folder), "review_text"), "sentences")
+    return tagging.tagged_tokens(rows, tagging.train_tagger(rows))
+
+
 def topic_ratings(spark: SparkSession, folder: str) -> DataFrame:
     blocks = aggregates.topic_blocks(master(spark, folder))
     return blocks.select("dominant_topic", "count", "pct_corpus", F.explode("ratings").alias("rating", "n"))
@@ -349,6 +369,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_stats": _on(processed, tokens.token_stats),
     "normalized_text": _on(processed, lambda df: df.select("review_id", "review_normalized", "token_count")),
     "normalized_by_join": normalized_by_join,
+    "lemma_rules": lambda s, d: lemmas.lemma_rules(vocabulary_of_words(s, d)),
+    "normalized_by_rules": normalized_by_rules,
+    "tagged_tokens": tagged_tokens,
     "stop_union": stop_union,
     "doc_frequency": _on(topic_documents, topics.document_frequency),
     "vocabulary": _on(settled_documents, topics.vocabulary),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from opinionloom import wordlists
+from opinionloom.operators import lemmas, tagging
 from opinionloom.operators.coherence import EPSILON, WINDOW
 from opinionloom.operators.lexicon import Lexicon
 from opinionloom.plans.catalogue import (
@@ -224,6 +225,101 @@ nullable AS (
   FROM master m LEFT JOIN labels l ON l.doc_id = m.review_id
 )"""
 
+RULES = f"""{CLEANED},
+word_rows AS (
+  SELECT form FROM (SELECT unnest(string_split(lower(review_clean), ' ')) AS form FROM cleaned) WHERE regexp_full_match(form, '[a-z]+')
+),
+known AS (SELECT DISTINCT form AS term FROM word_rows),
+splits AS (
+  SELECT term, left(term, length(term) - k) AS stem, right(term, k) AS suffix
+  FROM (SELECT term, unnest(range(1, least({lemmas.MAX_SUFFIX}, length(term) - {lemmas.MIN_STEM}) + 1)) AS k FROM known)
+),
+bases AS (
+  SELECT s.term AS form, suffix, ending, stem || ending AS base FROM splits s, (VALUES {", ".join(f"('{e}')" for e in lemmas.ENDINGS)}) AS e(ending)
+  WHERE suffix <> ending AND stem || ending IN (SELECT term FROM known)
+),
+rules AS (
+  SELECT suffix, ending, support, total
+  FROM (SELECT suffix, ending, count(*) AS support FROM bases GROUP BY 1, 2) JOIN (SELECT suffix, count(*) AS total FROM splits GROUP BY 1) USING (suffix)
+  WHERE support >= {lemmas.MIN_SUPPORT} AND support * 100 >= total * {lemmas.MIN_PERCENT}
+  ORDER BY support DESC, suffix, ending LIMIT {lemmas.MAX_RULES}
+)"""
+
+BY_RULES = PROCESSED.replace(
+    f"{CLEANED},", f"""{RULES},
+rule_lemmas AS (
+  SELECT form, base AS lemma FROM bases JOIN rules USING (suffix, ending)
+  QUALIFY row_number() OVER (PARTITION BY form ORDER BY length(suffix) DESC, support DESC, ending) = 1
+),""", 1
+).replace(f"lemmas(form, lemma) AS (VALUES {_pairs(LEMMAS)})", "lemmas AS (SELECT * FROM rule_lemmas)")
+
+TAGS = sorted({*wordlists.CLOSED_CLASSES.values(), *wordlists.SUFFIX_CLASSES.values()})
+
+
+def _tagged() -> tuple[str, str]:
+    """Training counts by aggregates; decoding by a recursion forward, which keeps the former class of every class, and one back."""
+    places = range(len(TAGS))
+    suffixes = sorted(wordlists.SUFFIX_CLASSES.items(), key=lambda s: (-len(s[0]), s[0]))
+    weak = " ".join(f"WHEN length(w) > {len(s) + 2} AND ends_with(w, '{s}') THEN '{t}'" for s, t in suffixes)
+    score = f"CAST(round({tagging.SCALE} * ln((n + 1) / ({{of}} + {{among}}))) AS BIGINT)"
+    step = {j: ", ".join(f"s[{i + 1}] + f[{i * len(TAGS) + j + 1}]" for i in places) for j in places}
+    best = ", ".join(f"greatest({step[j]}) + e[pos + 1][{j + 1}]" for j in places)
+    former = ", ".join(f"list_position([{step[j]}], greatest({step[j]}))" for j in places)
+    ctes = f"""{STANDARD},
+closed(w, tag) AS (VALUES {_pairs(wordlists.CLOSED_CLASSES)}),
+tag_names AS (SELECT unnest([{_words(TAGS)}]) AS tag, unnest(range(1, {len(TAGS) + 1})) AS j),
+sents AS (
+  SELECT review_id, sentence, words FROM (
+    SELECT review_id, generate_subscripts(p, 1) - 1 AS sentence, regexp_extract_all(unnest(p), '[a-z]+') AS words
+    FROM (SELECT review_id, regexp_split_to_array(lower(review_text), '[.!?\n]+') AS p FROM standard)
+  ) WHERE len(words) > 0
+),
+each_word AS (SELECT review_id, sentence, unnest(range(len(words))) AS pos, unnest(words) AS w FROM sents),
+labelled AS (
+  SELECT r.*, CASE WHEN c.tag IS NULL THEN '-' || right(w, {tagging.ENDING}) ELSE w END AS o, coalesce(c.tag, CASE {weak} END) AS tag
+  FROM each_word r LEFT JOIN closed c USING (w)
+),
+pairs AS (
+  SELECT pos, tag, lag(tag) OVER (PARTITION BY review_id, sentence ORDER BY pos) AS before FROM labelled
+),
+moves AS (
+  SELECT before, tag, count(*) AS n FROM pairs WHERE tag IS NOT NULL AND (pos = 0 OR before IS NOT NULL) GROUP BY 1, 2
+),
+befores AS (SELECT tag AS before, j AS i FROM tag_names UNION ALL SELECT NULL, 0),
+follow_counts AS (
+  SELECT b.before, b.i, t.j, coalesce(m.n, 0) AS n, sum(coalesce(m.n, 0)) OVER (PARTITION BY b.i) AS total
+  FROM befores b CROSS JOIN tag_names t LEFT JOIN moves m ON m.before IS NOT DISTINCT FROM b.before AND m.tag = t.tag
+),
+follows AS (
+  SELECT list(v ORDER BY i, j) FILTER (i > 0) AS f, list(v ORDER BY j) FILTER (i = 0) AS first
+  FROM (SELECT i, j, {score.format(of="total", among=len(TAGS))} AS v FROM follow_counts)
+),
+seen AS (SELECT o, tag, count(*) AS n FROM labelled WHERE tag IS NOT NULL GROUP BY 1, 2),
+emit_counts AS (
+  SELECT o.o, t.j, coalesce(s.n, 0) AS n, tt.total, (SELECT count(DISTINCT o) FROM seen) + 1 AS among
+  FROM (SELECT DISTINCT o FROM labelled) o CROSS JOIN tag_names t LEFT JOIN seen s ON s.o = o.o AND s.tag = t.tag
+  LEFT JOIN (SELECT t2.tag, coalesce(sum(n), 0) AS total FROM tag_names t2 LEFT JOIN seen USING (tag) GROUP BY 1) tt ON tt.tag = t.tag
+),
+emits AS (SELECT o, list(v ORDER BY j) AS e FROM (SELECT o, j, {score.format(of="total", among="among")} AS v FROM emit_counts) GROUP BY 1),
+scored AS (
+  SELECT review_id, sentence, list(e ORDER BY pos) AS e FROM labelled JOIN emits USING (o) GROUP BY 1, 2
+),
+forward AS (
+  SELECT review_id, sentence, e, f, 1 AS pos, list_transform(range(1, {len(TAGS) + 1}), lambda j: first[j] + e[1][j]) AS s, [0::BIGINT] AS b
+  FROM scored, follows
+  UNION ALL
+  SELECT review_id, sentence, e, f, pos + 1, [{best}], [{former}]::BIGINT[] FROM forward WHERE pos < len(e)
+),
+backward AS (
+  SELECT review_id, sentence, pos, list_position(s, list_max(s))::BIGINT AS j, b FROM forward WHERE pos = len(e)
+  UNION ALL
+  SELECT w.review_id, w.sentence, w.pos, a.b[a.j], w.b
+  FROM backward a JOIN forward w ON w.review_id = a.review_id AND w.sentence = a.sentence AND w.pos = a.pos - 1
+)"""
+    return "RECURSIVE " + ctes.strip(), """SELECT b.review_id, b.sentence::INTEGER AS sentence, (b.pos - 1)::INTEGER AS pos, w.w AS term, t.tag
+FROM backward b JOIN tag_names t USING (j) JOIN each_word w ON w.review_id = b.review_id AND w.sentence = b.sentence AND w.pos = b.pos - 1"""
+
+
 TOPIC_DOCS = f"""{PROCESSED},
 own AS (
   SELECT t.review_id, t.pos, t.term, p.topic_label FROM tokens t JOIN processed p USING (review_id)
@@ -500,6 +596,9 @@ def oracle_queries() -> dict[str, str]:
         ),
         "normalized_text": _with(PROCESSED, "SELECT review_id, review_normalized, token_count FROM processed"),
         "normalized_by_join": _with(PROCESSED, "SELECT review_id, review_normalized, token_count FROM processed"),
+        "lemma_rules": _with(RULES, "SELECT suffix, ending, support, total FROM rules"),
+        "normalized_by_rules": _with(BY_RULES, "SELECT review_id, review_normalized, token_count FROM processed"),
+        "tagged_tokens": _with(*_tagged()),
         "stop_union": _with(
             PROCESSED,
             f"""SELECT s.term, count(DISTINCT f.review_id) AS reviews

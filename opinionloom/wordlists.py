@@ -103,3 +103,23 @@ IDIOMS = {
     "the shit": 30, "the bomb": 30, "bad ass": 15, "bus stop": 0, "yeah right": -20, "kiss of death": -15, "to die for": 30,
 }
 PHRASE_STEPS = {"kind of": -293, "sort of": -293, "just enough": -293}
+
+# Classes of closed words, an authored selection.
+CLOSED_CLASSES = {
+    word: tag
+    for tag, words in {
+        "DET": "a an the this that these those each every some any no",
+        "PRON": "i you he she it we they me him her us them who which myself itself",
+        "ADP": "of in on at by for with from to into over under after before about against between through during without",
+        "CONJ": "and or but nor so yet because although while if than as",
+        "VERB": "is are was were be been am do does did has have had can could will would shall should may might must",
+        "ADV": "not very too also just only even still never always often here there then now",
+    }.items()
+    for word in words.split()
+}
+
+# Suffixes that tell the class of a longer word.
+SUFFIX_CLASSES = {
+    "ly": "ADV", "ing": "VERB", "ed": "VERB", "tion": "NOUN", "ment": "NOUN", "ness": "NOUN", "ity": "NOUN", "er": "NOUN",
+    "ous": "ADJ", "ful": "ADJ", "able": "ADJ", "ive": "ADJ", "less": "ADJ",
+}
