@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -27,12 +28,13 @@ from opinionloom.operators import (
     sampling,
     search,
     tagging,
+    text_index,
     tokens,
     topics,
     variational,
 )
 from opinionloom.plans.jobs import kpis_with_coherence, prepared_tables
-from opinionloom.session import spread, written
+from opinionloom.session import shared_folder, spread, written
 from opinionloom.sinks.tables import report_text, sentiment_report, topic_report
 from opinionloom.sources.csv_files import missing_as_null
 from opinionloom.sources.tables import read_table, reviews
@@ -183,6 +185,12 @@ def tagged_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tagging.tagged_tokens(rows, tagging.train_tagger(rows))
 
 
+def search_rows_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    text_index.build_index(master(spark, folder, names=True).drop("tokens"), path)
+    return search.search_results(text_index.search_index(spark, path, **SEARCH))
+
+
 def topic_ratings(spark: SparkSession, folder: str) -> DataFrame:
     blocks = aggregates.topic_blocks(master(spark, folder))
     return blocks.select("dominant_topic", "count", "pct_corpus", F.explode("ratings").alias("rating", "n"))
@@ -426,6 +434,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "largest_topic": _on(master, aggregates.largest_topic_share),
     "label_set_diff": label_set_difference,
     "search_rows": lambda s, d: search.search_results(search.search(master(s, d, names=True), **SEARCH)),
+    "search_rows_indexed": search_rows_indexed,
     "search_rows_all": lambda s, d: search.search_results(search.search(master(s, d, names=True), term="th"), limit=None),
     "search_rows_small_cap": lambda s, d: search.search_results(search.search(master(s, d, names=True), **SEARCH), SMALL_LIMIT),
     "search_rows_friendly": lambda s, d: search.search_results(search.search(master(s, d, names=True), **SEARCH), friendly=True),

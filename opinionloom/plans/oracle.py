@@ -831,6 +831,11 @@ FROM (SELECT review_id, topic FROM docs, range({TRACE_TOPICS}) AS t(topic)) LEFT
             f"""SELECT review_id, rating, model_label, vader_score, topic_label, product_name, review_text FROM named
                 WHERE {SEARCH_WHERE} ORDER BY review_id LIMIT 500""",
         ),
+        "search_rows_indexed": _with(
+            MASTER + NAMED.format(table="master"),
+            f"""SELECT review_id, rating, model_label, vader_score, topic_label, product_name, review_text FROM named
+                WHERE {SEARCH_WHERE} ORDER BY review_id LIMIT 500""",
+        ),
         "search_rows_all": _with(
             MASTER + NAMED.format(table="master"),
             """SELECT review_id, rating, model_label, vader_score, topic_label, product_name, review_text FROM named
