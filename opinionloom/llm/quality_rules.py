@@ -4,14 +4,8 @@ Lines are normalised (lower case, runs of white space as one blank), hashed, and
 Lines above the limits are removed; a document that loses most of its words with them is rejected, as is one that fails
 the base rules on repetition and length.
 
-A line is above the limits if more than ``MAX_DOCS`` different texts of the host hold it and these are unlike each other,
-in one of two ways. Texts with the same smallest hash among their other lines count as one kind, and the kinds are at
-least ``LEAST_KINDS`` of the texts; or the near-copy classes of the texts are more than ``MAX_DOCS``, however many copies
-there are. A text whose own lines (those of at most ``MAX_DOCS`` texts of the host) hold ``LEAST_OWN`` of its words is in
-the class of the smallest hash among these; the others, near copies, are in the class of the smallest hash among the
-lines they share. Both counts are the median of five orders of the hashes. So the lines of a text that was copied
-thousands of times, with or without small changes, aren't taken for boilerplate, and a page may hold more lines of its
-host's template than of its own.
+A line is above the limits if more than ``MAX_DOCS`` distinct documents of the host hold it. Documents with the same text are
+one, so a text that was copied thousands of times doesn't make its lines boilerplate; near copies are documents of their own.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows give
 repeated result rows, and count as one document.
@@ -23,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinionloom.functions.binding import column
@@ -35,11 +29,6 @@ WINDOW_WORDS = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 MAX_DOCS = 20
-LEAST_KINDS = 0.5
-#: A text with less than this share of its words in lines of its own is a near copy of others.
-LEAST_OWN = 0.1
-#: The hashes are ordered with these bits flipped.
-ORDERS = tuple(int.from_bytes(hashlib.md5(b"order %d" % i).digest()[:8], "big") >> 1 for i in range(5))
 #: A document that keeps less than this share of its words is depleted.
 LEAST_LEFT = 0.5
 
@@ -118,57 +107,14 @@ def _measured(documents: DataFrame, key: str, text: str, host: str) -> DataFrame
     return in_python(source.withColumn("host", F.col("host").cast("string")), run, schema)
 
 
-def frequent_lines(measured: DataFrame, max_docs: int = MAX_DOCS, least_kinds: float = LEAST_KINDS) -> DataFrame:
-    """Rows ``(host, line)`` of lines above the limits.
+def frequent_lines(measured: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """Rows ``(host, line)`` of lines above the limit.
 
-    Distinct (host, line, text) come first, so that a line of a third of all rows is never in one group. Only lines of
-    enough texts are looked at for their kinds.
+    Distinct (host, line, text) come first, so that a line of a third of all rows is never in one group.
     """
-    lines = measured.select("host", "text_key", F.explode(F.array_distinct("hashes")).alias("line"))
-    many = (
-        lines.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one"))
-        .groupBy("host", "line").agg(F.count("*").alias("texts"))
-        .filter(F.col("texts") > max_docs)
-    )
-    many = written(many, "shared-lines").select(F.col("host").alias("h"), F.col("line").alias("l"), "texts")
-    # the other lines of a text are fetched once a text, and only for texts that hold such a line
-    flagged = (
-        lines.join(many, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
-        .groupBy(F.col("host").alias("h"), F.col("text_key").alias("t"))
-        .agg(F.collect_set(F.struct("line", "texts")).alias("shared"))
-    )
-    texts = measured.groupBy("host", "text_key").agg(F.first(F.struct("hashes", "sizes")).alias("all"))
-
-    def least(lines: Column, flipped: int) -> Column:
-        return F.array_min(F.transform(lines, lambda x: x.bitwiseXOR(F.lit(flipped))))
-
-    def words(sizes: Column) -> Column:
-        return F.aggregate(sizes, F.lit(0).cast("long"), lambda total, n: total + n)
-
-    shared = F.col("shared.line")
-    own_sizes = F.filter("all.sizes", lambda n, i: ~F.array_contains(shared, F.get(F.col("all.hashes"), i)))
-    own_least = F.when(
-        words(own_sizes) >= LEAST_OWN * words(F.col("all.sizes")),
-        F.array(*(least(F.array_except("all.hashes", shared), o) for o in ORDERS)),
-    )
-    held = texts.join(flagged, F.col("host").eqNullSafe(F.col("h")) & (F.col("text_key") == F.col("t"))).select(
-        "host", F.col("all.hashes").alias("own"), shared.alias("with"), own_least.alias("own_least"), F.inline("shared")
-    )
-    without = lambda lines: F.filter(lines, lambda x: x != F.col("line"))
-    kinds = F.array(*(least(without("own"), o) for o in ORDERS))
-    classes = F.coalesce("own_least", F.array(*(least(without("with"), o) for o in ORDERS)))
-    counts = (
-        held.select("host", "line", "texts", F.posexplode(F.concat(kinds, classes)).alias("order", "kind"))
-        .groupBy("host", "line", "texts", "order", "kind").agg(F.lit(1).alias("one"))
-        .groupBy("host", "line", "texts", "order").agg(F.count("*").alias("n"))
-        .groupBy("host", "line", "texts").agg(*(
-            F.sort_array(F.collect_list(F.when(of, F.col("n")))).alias(name)
-            for name, of in (("kinds", F.col("order") < len(ORDERS)), ("classes", F.col("order") >= len(ORDERS)))
-        ))
-    )
-    middle = F.lit(len(ORDERS) // 2)
-    unlike = (F.get("kinds", middle) / F.col("texts") >= least_kinds) | (F.get("classes", middle) > max_docs)
-    return counts.filter(unlike).select("host", "line")
+    lines = measured.select("host", "text_key", F.explode(F.array_distinct("hashes")).alias("line")).distinct()
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("texts"))
+    return counts.filter(F.col("texts") > max_docs).select("host", "line")
 
 
 def judge(

@@ -189,19 +189,8 @@ WITH docs AS (
   FROM lines WHERE regexp_matches(line, '{WORD}')
 ), repeated AS (
   SELECT line_no, count(*) FILTER (nth > 1) AS n_dup_lines FROM own_lines GROUP BY line_no
-), hashed AS (
-  SELECT *, (('0x' || substr(normal, 1, 16))::UBIGINT >> 1)::BIGINT AS h FROM own_lines
-), texts AS (
-  SELECT source, text, list_distinct(list(h)) AS own FROM hashed GROUP BY source, text
 ), shared AS (
-  SELECT source, normal FROM (
-    SELECT source, normal, c, count(DISTINCT coalesce(kind, -1)) / count(*) AS ratio, count(*) AS many FROM (
-      SELECT DISTINCT source, normal, text, c, list_min(list_transform(list_filter(own, lambda x: x <> h), lambda x: xor(x, c))) AS kind
-      FROM hashed JOIN texts USING (source, text), (VALUES {", ".join(f"({c})" for c in quality_rules.ORDERS)}) AS o(c)
-    ) GROUP BY source, normal, c
-  )
-  GROUP BY source, normal
-  HAVING min(many) > {max_docs} AND list_sort(list(ratio))[3] >= {quality_rules.LEAST_KINDS}
+  SELECT source, normal FROM own_lines GROUP BY source, normal HAVING count(DISTINCT text) > {max_docs}
 ), lost AS (
   SELECT line_no, sum(size) AS lost FROM own_lines JOIN shared USING (source, normal) GROUP BY line_no
 ), counts AS (

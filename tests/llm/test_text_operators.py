@@ -75,31 +75,43 @@ def prose(i, n=40):
     return " ".join(f"w{i}x{j}" for j in range(n))
 
 
-def test_boilerplate_goes_and_copies_stay(spark):
+def template_tables():
     boiler = "Terms of use apply to\tEVERYTHING here"
     rows = [(i, f"{prose(i)}\nterms of use apply to everything here", "a") for i in range(15)]
     rows += [(100 + i, f"{boiler}\n{prose(100 + i)}", "a") for i in range(15)]
     rows += [(200, "\n".join([boiler] * 8 + [prose(200, 21)]), "a")]  # mostly boilerplate
     rows += [(300 + i, prose(300) + "\n" + prose(301), "a") for i in range(60)]  # exact copies
-    rows += [(400 + i, "\n".join(prose(400 + k) for k in range(6)) + f"\n{prose(9000 + i, 5)}", "a") for i in range(60)]  # near copies
+    near = [prose(400 + k) for k in range(6)]
+    rows += [(400 + i, "\n".join([*near, prose(9000 + i, 5)]), "a") for i in range(60)]  # near copies
     rows += [(500 + i, f"{boiler}\n{prose(500 + i)}", "b") for i in range(15)]  # another host, too few
-    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r.doc_id: r.text for r in quality_rules.apply_rules(documents).collect()}
-    assert set(kept) == {r[0] for r in rows} - {200}
-    assert kept[3] == prose(3) and kept[103] == prose(103)
-    assert all(kept[i] == t for i, t, _ in rows if i >= 300)
+    template = [prose(f"t{k}", 8) for k in range(10)]
+    rows += [(700 + i, "\n".join(template + [prose(f"{i}o{k}", 30) for k in range(3)]), "c") for i in range(60)]
+    rows += [(800 + i, "\n".join(template[:1] + [prose(f"e{k}", 30) for k in range(3)]), None) for i in range(20)]  # at the limit
+    return rows
 
 
-@pytest.mark.parametrize(("template", "own"), [(5, 3), (15, 5), (5, 1)])
-def test_pages_with_more_template_lines_than_own_lines(spark, template, own):
-    lines = [prose(f"t{k}", 8) for k in range(template)]
-    rows = [(i, "\n".join(lines + [prose(f"{i}o{k}", 8) for k in range(own)]), "a") for i in range(200)]
-    copies = [prose(f"c{k}", 40) for k in range(6)]
-    rows += [(1000 + i, "\n".join([lines[0], *copies, prose(f"n{i}", 5)]), "a") for i in range(600)]  # near copies
+def test_lines_of_many_documents_go_and_exact_copies_stay(spark):
+    rows = template_tables()
     documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    removed = {r.doc_id: r.removed for r in quality_rules.judge(documents).collect()}
-    assert all(removed[i] == list(range(template)) for i in range(200))
-    assert all(removed[1000 + i] == [0] for i in range(600))
+    kept = {r.doc_id: r.text for r in quality_rules.apply_rules(documents).collect()}
+    assert set(kept) == {i for i, _, _ in rows if i != 200 and not 400 <= i < 460}
+    assert kept[3] == prose(3) and kept[103] == prose(103)
+    assert kept[700] == "\n".join(prose(f"0o{k}", 30) for k in range(3))
+    assert all(kept[i] == t for i, t, _ in rows if 300 <= i < 400 or 500 <= i < 600 or i >= 800)
+
+
+def test_twin_equals_the_query_on_templates_and_copies(spark, tmp_path):
+    rows = template_tables() + [(900 + i, f"{prose(77)}\n{prose(i, 60)}", "limit") for i in range(quality_rules.MAX_DOCS)]
+    for extra in ([], [(990, f"{prose(77)}\none more {prose(78)}", "limit")]):  # a line at the limit, and one document beyond
+        folder = tmp_path / f"with{len(extra)}"
+        spark.createDataFrame(rows + extra, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{folder}/parts")
+        folder.joinpath("documents.parquet").symlink_to(next(folder.joinpath("parts").glob("*.parquet")))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        verdict, n = compare(spark, con, str(folder), queries.op6_quality_rules, queries.ORACLE_SQL["op6_quality_rules"])
+        assert verdict.startswith("ok") and n == len(rows + extra)
+        removed = {r.doc_id: r.removed for r in quality_rules.judge(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+        assert removed[900] == ([0] if extra else [])
 
 
 def test_rules_on_messy_rows(messy, empty):
