@@ -6,10 +6,13 @@ q-grams with the item, on diagonals at most ``k`` apart. So shared q-grams are c
 ``2 (k + 1)`` that overlap by half; bands that reach the number are retained, and each is verified by an alignment of the
 whole item within the band.
 
-The items go to the tasks in blocks of bounded size; every block is searched in every text.
+``q`` is the largest of ``GRAMS`` for which the lemma still asks for a shared q-gram at the full budget: 8 for items of 40
+characters and more and wherever else it does, else 4. Items of fewer than ``LEAST_CHARS`` characters have no budget; they
+are found where they stand as whole words, by q-grams of their own size.
 
-Defined cases: null texts and null items match nothing. Items of fewer than ``q`` characters have no q-gram and match
-nothing; for short items the budget is lowered until the lemma asks for one shared q-gram. Repeated rows give repeated
+The items go to the tasks in blocks of bounded size, each distinct item once; every block is searched in every text.
+
+Defined cases: null texts and null items match nothing, nor do items without a letter or digit. Repeated rows give repeated
 results.
 """
 
@@ -25,7 +28,10 @@ from pyspark.sql import functions as F
 
 from opinionloom.llm.arrow_text import in_python, slices
 
-Q = 8
+#: Sizes of q-grams, powers of two.
+GRAMS = (8, 4, 2, 1)
+#: Shorter items match whole words only.
+LEAST_CHARS = 8
 RATE = 0.1
 #: Characters of benchmark text sent to the tasks at a time.
 BLOCK_CHARS = 2_000_000
@@ -63,7 +69,7 @@ def normalized(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points[kept], kept - np.repeat(ends - sizes, np.diff(np.append(begins, len(kept)))), begins
 
 
-def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
+def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of every run of ``q`` code points (a power of two), by doubling."""
     hashes, size, factor = points, 1, PRIME
     with np.errstate(over="ignore"):
@@ -74,32 +80,49 @@ def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
         return hashes * np.uint64(PRIME)
 
 
-def budget(m: int, q: int = Q, rate: float = RATE) -> int:
-    return max(0, min(math.floor(rate * m), (m - q) // q))
+def budget(m: int, rate: float = RATE) -> int:
+    """Edits allowed in an item of ``m`` characters."""
+    return math.floor(rate * m) if m >= LEAST_CHARS else 0
+
+
+def gram_size(m: int, rate: float = RATE) -> int:
+    """The largest ``q`` of which an occurrence within the budget shares one at least."""
+    return next(q for q in GRAMS if m + 1 - q * (budget(m, rate) + 1) >= 1 or q == 1)
+
+
+def trimmed(text: str) -> np.ndarray:
+    """The normalised code points of an item, without blanks at its ends."""
+    points = normalized([text])[0][:-1]
+    points = points[1:] if len(points) and points[0] == SPACE else points
+    return points[:-1] if len(points) and points[-1] == SPACE else points
+
+
+def indexes(items: list[tuple], rate: float = RATE) -> list[Index]:
+    """The items ``(id, text, times)`` in an index per size of q-grams, largest first."""
+    by_size: dict[int, list] = {q: [] for q in GRAMS}
+    for item_id, text, times in items:
+        points = trimmed(text)
+        if len(points):
+            by_size[gram_size(len(points), rate)].append((item_id, points, times))
+    return [Index(own, q, rate) for q, own in by_size.items() if own]
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of the items of a block that have q-grams of one size; items are ``(id, points, times)``."""
 
-    def __init__(self, items: list[tuple], q: int = Q, rate: float = RATE):
-        self.q, self.ids, self.points, self.k, self.least = q, [], [], [], []
+    def __init__(self, items: list[tuple], q: int, rate: float = RATE):
+        self.q, self.ids, self.points, self.times, self.k, self.least = q, [], [], [], [], []
         hashes, owners, offsets = [], [], []
-        for item_id, text in items:
-            points = normalized([text])[0][:-1]
-            if len(points) and points[0] == SPACE:
-                points = points[1:]
-            if len(points) and points[-1] == SPACE:
-                points = points[:-1]
-            if len(points) < q:
-                continue
-            grams, k = gram_hashes(points, q), budget(len(points), q, rate)
+        for item_id, points, times in items:
+            grams, k = gram_hashes(points, q), budget(len(points), rate)
             hashes.append(grams)
             owners.append(np.full(len(grams), len(self.ids)))
             offsets.append(np.arange(len(grams)))
             self.ids.append(item_id)
             self.points.append(points)
+            self.times.append(times)
             self.k.append(k)
-            self.least.append(len(points) + 1 - q * (k + 1))
+            self.least.append(max(1, len(points) + 1 - q * (k + 1)))
         self.table = np.zeros(1 << TABLE_BITS, bool)
         if self.ids:
             every = np.concatenate(hashes)
@@ -158,6 +181,12 @@ class Index:
         if stop - start < len(pattern) - k:
             return None
         window = points[start:stop]
+        if len(pattern) < LEAST_CHARS:
+            for at in range(start, stop - len(pattern) + 1):
+                own = slice(at, at + len(pattern))
+                if np.array_equal(points[own], pattern) and all(points[i] in (0, SPACE) for i in (own.stop, at - 1) if i >= begin):
+                    return at, own.stop, 0
+            return None
         exact = window.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").find(
             pattern.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         )
@@ -202,27 +231,32 @@ def banded_end(pattern: np.ndarray, window: np.ndarray, low: int, high: int, fre
     return int(row[best_at]), low + best_at + m
 
 
-def search(texts: list[str], index: Index) -> list[list[tuple]]:
+def search(texts: list[str], parts: list[Index]) -> list[list[tuple]]:
     """For each text the ``(item_id, start, stop, edits)`` of the best occurrence of each item within its budget."""
     points, places, begins = normalized(texts)
     ends = np.append(begins[1:], len(points)) - 1
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for item, low, high in index.regions(points):
-        first = max(0, int(np.searchsorted(begins, max(low, 0), side="right")) - 1)
-        last = int(np.searchsorted(begins, high + len(index.points[item]), side="right"))
-        for row in range(first, last):
-            hit = index.verify(points, item, low, high, int(begins[row]), int(ends[row]))
-            if hit and ((row, item) not in best or (hit[2], hit[0]) < (best[row, item][2], best[row, item][0])):
-                best[row, item] = hit
+    best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
+    for part, index in enumerate(parts):
+        for item, low, high in index.regions(points):
+            first = max(0, int(np.searchsorted(begins, max(low, 0), side="right")) - 1)
+            last = int(np.searchsorted(begins, high + len(index.points[item]), side="right"))
+            for row in range(first, last):
+                hit = index.verify(points, item, low, high, int(begins[row]), int(ends[row]))
+                own = (row, part, item)
+                if hit and (own not in best or (hit[2], hit[0]) < (best[own][2], best[own][0])):
+                    best[own] = hit
     found: list[list[tuple]] = [[] for _ in texts]
-    for (row, item), (start, stop, edits) in sorted(best.items()):
-        found[row].append((index.ids[item], int(places[start]), int(places[stop - 1]) + 1, edits))
+    for (row, part, item), (start, stop, edits) in sorted(best.items()):
+        hit = (parts[part].ids[item], int(places[start]), int(places[stop - 1]) + 1, edits)
+        found[row] += [hit] * parts[part].times[item]
     return found
 
 
 def _blocks(benchmark: DataFrame, item_key: str, item_text: str):
-    """The items, at most about ``BLOCK_CHARS`` at a time; hashed, so that blocks are alike in size."""
+    """The distinct items and how often each is there, at most about ``BLOCK_CHARS`` at a time; hashed, so that blocks are
+    alike in size."""
     items = benchmark.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("item")).filter("item is not null")
+    items = items.groupBy("item_id", "item").agg(F.count("*").alias("times"))
     size = items.agg(F.sum(F.length("item"))).first()[0] or 0
     blocks = -(-size // BLOCK_CHARS)
     for block in range(blocks):
@@ -253,9 +287,9 @@ def _search_block(documents: DataFrame, items: list[tuple], text: str, leaks: st
     text_name, at = f"c{documents.columns.index(text)}", documents.columns.index(leaks)
 
     def run(batches):
-        index = Index(shipped.value, Q, rate)
+        parts = indexes(shipped.value, rate)
         for batch in slices(batches, text_name, SLICE_BYTES):
-            found = search([t or "" for t in batch.column(text_name).to_pylist()], index)
+            found = search([t or "" for t in batch.column(text_name).to_pylist()], parts)
             former = batch.column(at).to_pylist()
             rows = [[*old, *({"item_id": a, "start": b, "stop": c, "edits": d} for a, b, c, d in new)] for old, new in zip(former, found)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(rows, batch.schema.field(at).type))

@@ -71,4 +71,4 @@ def test_stages_on_messy_and_empty_tables(spark, messy, empty):
 
 
 def test_budget_of_edits_is_a_tenth():
-    assert decontamination.budget(200) == 20 and decontamination.budget(12) == 0
+    assert decontamination.budget(200) == 20 and decontamination.budget(12) == 1 and decontamination.budget(7) == 0

@@ -162,7 +162,7 @@ def test_planted_passages_within_the_budget_are_found(spark):
     pick = random.Random(3)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     hosts = [plain(r.text)[:3000] for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect()]
-    index = decontamination.Index(items)
+    index = decontamination.indexes([(*item, 1) for item in items])
     for _ in range(150):
         item_id, text = pick.choice(items)
         letters = list(plain(text))
@@ -178,6 +178,45 @@ def test_planted_passages_within_the_budget_are_found(spark):
         assert own[3] <= k and abs(own[1] - at) <= k + 2
 
 
+@pytest.mark.parametrize("size", [8, 9, 10, 13, 17, 20, 25, 30, 35, 39, 40, 60])
+def test_short_items_are_found_at_the_full_budget(size):
+    pick = random.Random(size)
+    k = decontamination.budget(size)
+    assert k == size // 10
+    host = " ".join("".join(pick.choice("ghijkl") for _ in range(5)) for _ in range(60))
+    for _ in range(60):
+        item = "".join(pick.choice("abcdef") for _ in range(size))
+        letters = list(item)
+        for at in pick.sample(range(size), k):
+            letters[at] = "z"
+        found = decontamination.search([f"{host} {''.join(letters)} {host}", host], decontamination.indexes([("i", item, 2)]))
+        assert found == [[("i", len(host) + 1, len(host) + 1 + size, k)] * 2, []] or (k and len(found[0]) == 2 and not found[1])
+
+
+def test_hits_equal_a_full_search_with_edits():
+    pick = random.Random(8)
+    for size in (9, 12, 21, 33):
+        for _ in range(25):
+            item = "".join(pick.choice("ab c") for _ in range(size))
+            item = "x" + " ".join(item.split()) + "yyy"
+            if len(item) < decontamination.LEAST_CHARS:
+                continue
+            text = "x" + " ".join("".join(pick.choice("ab c") for _ in range(40)).split()) + item[: pick.randrange(len(item))] + item[pick.randrange(3) :] + "y"
+            k = decontamination.budget(len(item))
+            least = edits_by_hand(item, text, -len(item), len(text), True)
+            found = decontamination.search([text], decontamination.indexes([(1, item, 1)]))[0]
+            assert bool(found) == (least <= k), (item, text)
+
+
+@pytest.mark.parametrize(("item", "text", "hit"), [
+    ("tiny", "a tiny one", True), ("tiny", "tiny", True), ("tiny", "destiny", False), ("a b", "x A, b.", True), ("a b", "xa b", False),
+    ("7", "page 7", True), ("7", "page 77", False), ("!!", "!!", False), ("", "x", False), ("sevenof", "sevenof", True), ("sevenof", "sevenofx", False),
+])
+def test_the_shortest_items_are_whole_words(item, text, hit):
+    found = decontamination.search(["", text, "other"], decontamination.indexes([(1, item, 1)]))
+    assert bool(found[1]) == hit and not found[0] and not found[2]
+
+
 def test_leaks_of_the_tables(spark, messy, empty):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
