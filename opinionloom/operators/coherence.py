@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinionloom.functions.binding import bind, column
@@ -115,7 +115,8 @@ def topic_coherence(
             words[row["term"]][1].append(numbers[row["topic"]])
         members = df.sparkSession.createDataFrame([(r["topic"], codes[r["term"]]) for r in rows], _member_schema(topic_words))
         counted = window_pair_counts(df, words, tokens_col, window)
-    total = F.max(F.when(F.col("x") == ALL_WINDOWS, F.col("n"))).over(Window.partitionBy())
+    counted = written(counted, "pair-counts")
+    total = F.lit(counted.filter(F.col("x") == ALL_WINDOWS).agg(F.max("n")).first()[0])
     p = counted.withColumn("p", F.col("n") / total).filter(F.col("x") != ALL_WINDOWS).select("x", "y", "p")
 
     single = p.filter(F.col("x") == F.col("y"))

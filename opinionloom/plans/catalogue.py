@@ -18,12 +18,15 @@ from opinionloom.functions.text import clean_text
 from opinionloom.operators import (
     agreement,
     aggregates,
+    calibration,
     classify,
     clean,
     coherence,
+    heavy,
     ingest,
     lemmas,
     lexicon,
+    positional,
     quality,
     sampling,
     search,
@@ -58,6 +61,7 @@ COHERENCE_WORDS = 20
 TOPIC_FIT = {"k": 8, "no_below": 10}
 LANGUAGES = ("de", "en", "es", "fr")
 TRACE_TOPICS = 4
+HEAVY_SHARE = 400
 GIVEN_LABELS = {0: "german", 2: "spanish"}
 SMALL_CAP = 50
 SMALL_LIMIT = 20
@@ -235,6 +239,23 @@ def classifier_scores(spark: SparkSession, folder: str) -> DataFrame:
     return classified(spark, folder).select("review_id", "rating", "held_out", "model_label", "model_confidence")
 
 
+def calibrated_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Confidences as shares of right labels, learned on half of the held-out rows and given to all."""
+    rows = written(classified(spark, folder), "classified")
+    right = F.when(F.col("rating") != 3, (F.col("model_label") == "positive") == (F.col("rating") >= 4))
+    score = F.col("model_confidence")
+    values = calibration.fit_calibration(rows.filter(F.col("held_out") & (F.col("review_id") % 2 == 0)), score, right)
+    return rows.select("review_id", "model_label", "model_confidence", F.round(calibration.calibrated(score, values), 6).alias("calibrated"))
+
+
+def positional_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by their id side by side with orders by price."""
+    documents = read_table(spark, folder, "documents").select("doc_id", "n_chars")
+    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    joined = positional.positional_join(documents, orders, ["doc_id"], ["o_totalprice", "o_orderkey"])
+    return joined.select("position", "doc_id", "o_orderkey")
+
+
 def topic_assignments_given(spark: SparkSession, folder: str) -> DataFrame:
     """Assignment from a given distribution: the share of each language's leading terms in a review."""
     documents = settled_documents(spark, folder).drop("topic_label")
@@ -444,6 +465,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "simple_sample": _on(standard, lambda df: sampling.simple_sample(df, 5).select("review_id", "rating")),
     "quality_audit": audited,
     "classifier_scores": classifier_scores,
+    "calibrated_scores": calibrated_scores,
+    "positional_join": positional_join,
+    "heavy_terms": _on(lambda s, d: written(processed(s, d).select("tokens"), "tokens"), lambda df: heavy.heavy_terms(df, HEAVY_SHARE)),
     "classifier_agreement": lambda s, d: agreement.model_vs_stars(classified(s, d).filter("held_out")),
     "topic_assignments_given": topic_assignments_given,
     "lda_audit": lda_audit,

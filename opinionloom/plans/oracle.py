@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from opinionloom import wordlists
-from opinionloom.operators import lemmas, tagging
+from opinionloom.operators import calibration, lemmas, tagging
 from opinionloom.operators.coherence import EPSILON, WINDOW
 from opinionloom.operators.lexicon import Lexicon
 from opinionloom.plans.catalogue import (
     COHERENCE,
     COHERENCE_WORDS,
     GIVEN_LABELS,
+    HEAVY_SHARE,
     LANGUAGES,
     LEMMAS,
     RAW_TAIL,
@@ -872,6 +873,37 @@ FROM (SELECT review_id, topic FROM docs, range({TRACE_TOPICS}) AS t(topic)) LEFT
         "classifier_scores": _with(
             CLASSIFIED, "SELECT review_id, rating, held_out, model_label, model_confidence FROM classified"
         ),
+        "calibrated_scores": _with(
+            f"""{CLASSIFIED}, celled AS (
+  SELECT *, least(floor(CAST(model_confidence AS DECIMAL(9,4)) * {calibration.CELLS}), {calibration.CELLS - 1})::INTEGER AS cell FROM classified
+), counted AS (
+  SELECT cell, count(*) AS n, sum(CASE WHEN (model_label = 'positive') = (rating >= 4) THEN 1 ELSE 0 END) AS good
+  FROM celled WHERE held_out AND review_id % 2 = 0 AND rating <> 3 GROUP BY 1
+), means AS (
+  SELECT a.cell AS first, b.cell AS last, sum(c.good) / sum(c.n) AS mean
+  FROM counted a JOIN counted b ON a.cell <= b.cell JOIN counted c ON c.cell BETWEEN a.cell AND b.cell GROUP BY 1, 2
+), fitted AS (
+  SELECT cell, max(low) AS value
+  FROM (SELECT c.cell, m.first, min(m.mean) AS low FROM counted c JOIN means m ON m.first <= c.cell AND m.last >= c.cell GROUP BY 1, 2)
+  GROUP BY 1
+), spread AS (
+  SELECT t.cell, coalesce(
+    (SELECT arg_max(value, f.cell) FROM fitted f WHERE f.cell <= t.cell), (SELECT arg_min(value, f.cell) FROM fitted f WHERE f.cell > t.cell)
+  ) AS value FROM range({calibration.CELLS}) AS t(cell)
+)""",
+            """SELECT review_id, model_label, model_confidence, round(value::DOUBLE, 6) AS calibrated
+FROM celled LEFT JOIN spread USING (cell)""",
+        ),
+        "positional_join": """
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents),
+o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS position FROM orders)
+SELECT position, doc_id, o_orderkey FROM d JOIN o USING (position)
+""",
+        "heavy_terms": _with(
+            PROCESSED,
+            f"""SELECT t.term, count(*) AS n FROM tokens t JOIN processed p USING (review_id) GROUP BY 1
+HAVING count(*) * {HEAVY_SHARE} >= (SELECT count(*) FROM tokens JOIN processed USING (review_id))""",
+        ),
         "classifier_agreement": _with(
             CLASSIFIED,
             """SELECT avg(CASE WHEN model_label = CASE WHEN rating >= 4 THEN 'positive' ELSE 'negative' END
