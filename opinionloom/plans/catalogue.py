@@ -39,7 +39,7 @@ from opinionloom.operators import (
 from opinionloom.plans.jobs import kpis_with_coherence, prepared_tables
 from opinionloom.session import shared_folder, spread, written
 from opinionloom.sinks.tables import report_text, sentiment_report, topic_report
-from opinionloom.sources.csv_files import missing_as_null
+from opinionloom.sources.csv_files import missing_as_null, read_reviews_csv
 from opinionloom.sources.tables import read_table, reviews
 
 STOPS = tuple(tokens.stop_words())
@@ -256,6 +256,14 @@ def positional_join(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("position", "doc_id", "o_orderkey")
 
 
+def csv_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents written as CSV files with every value in quotes, and read back by their records."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    documents = read_table(spark, folder, "documents").select("doc_id", "source", "text", "lang")
+    documents.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return read_reviews_csv(spark, path)
+
+
 def topic_assignments_given(spark: SparkSession, folder: str) -> DataFrame:
     """Assignment from a given distribution: the share of each language's leading terms in a review."""
     documents = settled_documents(spark, folder).drop("topic_label")
@@ -467,6 +475,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classifier_scores": classifier_scores,
     "calibrated_scores": calibrated_scores,
     "positional_join": positional_join,
+    "csv_records": csv_records,
     "heavy_terms": _on(lambda s, d: written(processed(s, d).select("tokens"), "tokens"), lambda df: heavy.heavy_terms(df, HEAVY_SHARE)),
     "classifier_agreement": lambda s, d: agreement.model_vs_stars(classified(s, d).filter("held_out")),
     "topic_assignments_given": topic_assignments_given,

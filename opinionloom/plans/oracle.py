@@ -24,6 +24,8 @@ from opinionloom.plans.catalogue import (
     TRACE_TOPICS,
 )
 
+from opinionloom.sources.csv_files import NULL_TOKENS
+
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ASCII_SPACE = r"\t-\r\x1c-\x20"
 
@@ -898,6 +900,9 @@ FROM celled LEFT JOIN spread USING (cell)""",
 WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents),
 o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS position FROM orders)
 SELECT position, doc_id, o_orderkey FROM d JOIN o USING (position)
+""",
+        "csv_records": f"""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, CASE WHEN text NOT IN ({_words(NULL_TOKENS)}) THEN text END AS text, lang FROM documents
 """,
         "heavy_terms": _with(
             PROCESSED,

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 
@@ -52,6 +53,48 @@ def test_csv_quotes_line_breaks_and_null_tokens(spark, tmp_path):
     assert rows[1]["reviews.date"] is None and rows[1]["other"] is None
 
 
+def one_piece(spark, path):
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return df.select(*(csv_files.missing_as_null(f"`{n}`").alias(n) for n in df.columns))
+
+
+@pytest.mark.parametrize("split", [30, 120, 1 << 20])
+def test_quoted_line_breaks_are_read_in_splits(spark, tmp_path, split):
+    rng = random.Random(split)
+    pieces = ["a", "word ", "\n", '""', ",", "\n\n", "é", ""]
+    names = ["reviews.text", "b", "c"]
+    for file in range(2):
+        rows = [names] + [
+            ['"' + "".join(rng.choices(pieces, k=rng.randrange(1, 9))) + '"' if rng.random() < 0.7 else f"plain{i}" for _ in names] for i in range(15)
+        ]
+        rows.append(['"' + "long\n" * 60 + '"', "x", '"\n"'])  # over many splits
+        write(tmp_path / "raw", f"{file}.csv", "\n".join(",".join(r) for r in rows) + "\n" * file)
+    paths = [str(tmp_path / "raw" / f"{file}.csv") for file in range(2)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        found = csv_files.read_reviews_csv(spark, paths)
+        rows = sorted(map(tuple, found.collect()), key=str)
+        splits = csv_files.split_states(csv_files._lines(spark, paths)).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert rows == sorted(map(tuple, one_piece(spark, paths).collect()), key=str) and found.columns == names
+    assert len(rows) == 2 * 16 and (splits > 30) == (split < 50)
+
+
+def test_records_end_with_carriage_returns_too(spark, tmp_path):
+    path = write(tmp_path / "raw", "a.csv", 'a,b\r\n"x\ny",1\r\n\r\nz,2')
+    assert [tuple(r) for r in csv_files.read_reviews_csv(spark, path).orderBy("b").collect()] == [("x\ny", "1"), ("z", "2")]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
+def test_records_in_other_encodings(spark, tmp_path, encoding):
+    path = write(tmp_path / "raw", "a.csv", HEADER + '"café\nà",5,,,\n', encoding)
+    assert csv_files.read_reviews_csv(spark, path).first()["reviews.text"] == "café\nà"
+
+
 @pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
 def test_csv_encodings(spark, tmp_path, encoding):
     path = write(tmp_path / "raw", "a.csv", HEADER + "café,5,,,\n", encoding)
