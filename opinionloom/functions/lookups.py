@@ -85,7 +85,7 @@ def word_join(words: DataFrame, table: DataFrame, on: str, spread_by: Iterable[s
 
 def lookup_join(df: DataFrame, table: DataFrame, on: str, how: str = "left", bound: int = MAX_INLINE_ROWS) -> DataFrame:
     """Lookup join: broadcast once the table is known to be short, otherwise planned by Spark."""
-    short = len(table.select(on).limit(bound + 1).collect()) <= bound
+    short = table.select(on).limit(bound + 1).count() <= bound
     return df.join(F.broadcast(table) if short else table, on, how)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,8 @@ from opinionloom.functions.numeric import share
 from opinionloom.operators import aggregates
 from opinionloom.operators.agreement import binary_agreement
 
-
-REPORT_ROWS = 10_000
+#: Chart tables with a row per review; the others have a row per group.
+ROW_TABLES = ("vader_scores",)
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -84,13 +84,13 @@ def topic_report(df: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     return report.orderBy("dominant_topic")
 
 
-def write_chart_tables(tables: Mapping[str, DataFrame], folder: str) -> list[str]:
-    """SNK5: one folder per prepared table. Tables of at most ``REPORT_ROWS`` rows become one JSON file, longer ones
-    Parquet with the partitioning they have."""
+def write_chart_tables(tables: Mapping[str, DataFrame], folder: str, as_parquet: Collection[str] = ROW_TABLES) -> list[str]:
+    """SNK5: one folder per prepared table: Parquet with the partitioning they have for the tables named, one JSON file for the
+    others, whatever their size."""
     written = []
     for name, table in tables.items():
         path = f"{folder}/{name}"
-        if table.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        if name in as_parquet:
             table.write.mode("overwrite").parquet(path)
         else:
             write_report(table, path)

@@ -53,7 +53,7 @@ def test_labels_follow_the_text(stages):
     assert classify.mean_confidence(sentiment).first()[0] > 0.5
 
 
-def test_reports_and_charts(stages, spark, monkeypatch):
+def test_reports_and_charts(stages, spark):
     folder, *_, master, score = stages
     figures = {(r["section"], r["metric"]): r["value"] for r in report_rows(folder / "sentiment_report")}
     assert figures[("overall", "total")] == 40.0
@@ -64,10 +64,11 @@ def test_reports_and_charts(stages, spark, monkeypatch):
     assert -1 <= score <= 1
     assert jobs.kpis_with_coherence(master, score).first()["coherence"] == score
     prepared = jobs.prepared_tables(master)
-    monkeypatch.setattr(tables, "REPORT_ROWS", 39)
     written = tables.write_chart_tables({n: prepared[n] for n in ("rating_dist", "vader_scores", "wc_tokens")}, str(folder / "charts"))
     assert len(written) == 3 and spark.read.parquet(written[1]).count() == 40
     assert {r["rating"] for r in report_rows(written[0])} == {1, 5}
+    other = tables.write_chart_tables({"rating_dist": prepared["rating_dist"]}, str(folder / "other"), as_parquet=["rating_dist"])
+    assert spark.read.parquet(other[0]).count() == 2
 
 
 def test_saved_model_is_reused(stages, spark):
