@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinionloom.operators.search import search
@@ -129,20 +129,14 @@ def build_index(df: DataFrame, path: str, text_col: str = "review_text", id_col:
     lists.select("gram", "bucket", F.size("ids").alias("n"), steps.alias("steps")).orderBy("gram", "bucket").write.parquet(f"{path}/lists")
 
 
-def _ids(steps: Column) -> Column:
-    @F.arrow_udf("array<long>")
-    def summed(lists: pa.Array) -> pa.Array:
-        starts = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-        total = np.concatenate(([0], np.cumsum(lists.flatten().to_numpy(zero_copy_only=False))))
-        values = total[1:] - np.repeat(total[starts[:-1]], np.diff(starts))
-        return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))
-
-    return summed(steps)
+def _ids(lists: DataFrame) -> DataFrame:
+    """Rows ``(bucket, gram, id)`` of lists: the running sums of their steps. A list is no longer than its bucket."""
+    steps = lists.select("bucket", "gram", F.posexplode("steps").alias("pos", "step"))
+    return steps.withColumn("id", F.sum("step").over(Window.partitionBy("bucket", "gram").orderBy("pos")))
 
 
 def candidates(spark: SparkSession, path: str, wanted: Sequence[set[int]]) -> DataFrame:
     """Rows ``(bucket, id)`` of the reviews that hold the rarest triples of an alternative."""
-    python_tasks(spark)
     lists = spark.read.parquet(f"{path}/lists")
     everything = sorted(set().union(*wanted))
     counted = lists.filter(F.col("gram").isin(everything)).groupBy("gram").agg(F.sum("n").alias("n"))
@@ -150,7 +144,7 @@ def candidates(spark: SparkSession, path: str, wanted: Sequence[set[int]]) -> Da
     found = []
     for grams in wanted:
         rarest = sorted(grams, key=lambda g: (sizes.get(g, 0), g))[:MOST_LISTS]
-        own = lists.filter(F.col("gram").isin(rarest)).select("bucket", "gram", F.explode(_ids(F.col("steps"))).alias("id"))
+        own = _ids(lists.filter(F.col("gram").isin(rarest)))
         found.append(own.groupBy("bucket", "id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(rarest)).drop("n"))
     return reduce(DataFrame.union, found).distinct()
 
