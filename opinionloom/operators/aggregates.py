@@ -177,7 +177,7 @@ def _term_sources(known: DataFrame):
     return own, F.expr("filter(split(coalesce(review_normalized, ''), ' +'), t -> t != '')")
 
 
-def _counted_terms(df: DataFrame) -> DataFrame:
+def counted_terms(df: DataFrame) -> DataFrame:
     """Per topic and term: occurrences as own token, and as own token or substitute."""
     known = df.filter(F.col("topic_label").isNotNull())
     own, spare = _term_sources(known)
@@ -194,7 +194,7 @@ def topic_terms(df: DataFrame) -> DataFrame:
 
     A topic whose token lists are all empty falls back to the words of ``review_normalized``.
     """
-    counted = written(_counted_terms(df), "topic-terms")
+    counted = written(counted_terms(df), "topic-terms")
     has_own = counted.groupBy("topic_label").agg((F.max("own") > 0).alias("has_own"))
     return (
         lookup_join(counted, has_own, "topic_label", "inner")
@@ -210,10 +210,15 @@ def topic_term_weights(df: DataFrame, n: int = CLOUD_TERMS) -> DataFrame:
     Own tokens rank before substitutes, so the first ``n`` rows per topic settle both which terms lead and whether
     the topic has own tokens at all. Each task forwards its own first ``n`` rows per topic.
     """
+    return term_weights(counted_terms(df), n)
+
+
+def term_weights(counted: DataFrame, n: int = CLOUD_TERMS) -> DataFrame:
+    """AGG21 from counts per topic and term."""
     topic = Window.partitionBy("topic_label")
     substitute = F.when(F.col("own") > 0, 0).otherwise(F.col("all"))
     order = topic.orderBy(F.desc("own"), substitute.desc(), "term")
-    leading = _counted_terms(df).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    leading = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     counted = leading.withColumn("has_own", F.max("own").over(topic) > 0).withColumn(
         "count", F.when(F.col("has_own"), F.col("own")).otherwise(F.col("all"))
     )
