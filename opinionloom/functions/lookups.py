@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinionloom.functions.binding import column, quoted
+from opinionloom.session import written
 
 MAX_INLINE_ROWS = 20_000
 #: Word tables of at most this many bytes are broadcast.
@@ -89,16 +90,27 @@ def lookup_join(df: DataFrame, table: DataFrame, on: str, how: str = "left", bou
     return df.join(F.broadcast(table) if short else table, on, how)
 
 
+def hot_words(words: DataFrame, on: str, salts: int) -> list:
+    """Words that are more than a ``salts``-th of all rows: fewer than ``salts`` of them."""
+    counts = written(words.groupBy(on).agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r[on] for r in counts.filter((F.col("n") * salts > total) & F.col(on).isNotNull()).select(on).collect()]
+
+
 def salted_join(
     df: DataFrame, table: DataFrame, on: str, spread_by: Iterable[str], how: str = "inner", salts: int | None = None
 ) -> DataFrame:
-    """Equi-join of word rows with a long word table; each word is spread over ``salts`` partitions.
+    """Equi-join of word rows with a long word table; each measured hot word is spread over ``salts`` partitions.
 
     By default that is a third of the session's shuffle partitions, so that the task of a word that is a third of all
-    rows is no larger than the others.
+    rows is no larger than the others. Of the table only the rows of hot words are repeated. The word rows are read twice.
     """
     if salts is None:
         salts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // HOT_SHARE)
-    salted = df.withColumn("_salt", F.pmod(F.hash(*spread_by), F.lit(salts)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = hot_words(df, on, salts)
+    if not hot:
+        return df.join(table, on, how)
+    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
+    salted = df.withColumn("_salt", F.when(is_hot, F.pmod(F.hash(*spread_by), F.lit(salts))).otherwise(0))
+    copies = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(copies, [on, "_salt"], how).drop("_salt")

@@ -23,10 +23,12 @@ from opinionloom.operators import (
     clean,
     coherence,
     heavy,
+    induction,
     ingest,
     lemmas,
     lexicon,
     positional,
+    prepared,
     quality,
     sampling,
     search,
@@ -327,6 +329,40 @@ def prepared_bundle(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, sizes)
 
 
+# Of each prepared table: its key, label, count and figure.
+PREPARED_FORMS = {
+    "sentiment_dist": ("model", "label", "count", "NULL"),
+    "rating_dist": ("CAST(rating AS STRING)", "sentiment", "count", "avg_vader"),
+    "monthly": ("date_format(month, 'yyyy-MM')", "model_label", "count", "NULL"),
+    "topic_dist": ("topic_label", "NULL", "count", "pct_positive"),
+    "topic_heatmap": ("topic_label", "NULL", "total", "pct_negative"),
+    "avg_rating": ("topic_label", "band", "n", "ci"),
+    "vader_scores": ("CAST(rating AS STRING)", "model_label", "1", "vader_score"),
+    "wc_tokens": ("topic_label", "term", "count", "weight"),
+}
+LATE_LOAD = "1995-01-01"
+
+
+def prepared_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The eight prepared tables after three loads, two of them compacted, in one form."""
+    rows = written(master(spark, folder), "master")
+    states = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    late = F.col("review_date") >= F.lit(LATE_LOAD).cast("timestamp")
+    prepared.add_load(rows.filter(late), states, "late")
+    prepared.add_load(rows.filter(~late), states, "early")
+    prepared.compact(spark, states)
+    prepared.add_load(rows.filter("review_date IS NULL"), states, "undated")
+    tables = prepared.tables_from_states(prepared.read_states(spark, states))
+    forms = [
+        tables[name].selectExpr(
+            f"'{name}' AS name", f"CAST({key} AS STRING) AS key", f"CAST({label} AS STRING) AS label",
+            f"CAST({n} AS BIGINT) AS n", f"CAST({value} AS DOUBLE) AS value",
+        )
+        for name, (key, label, n, value) in PREPARED_FORMS.items()
+    ]
+    return reduce(DataFrame.unionByName, forms)
+
+
 def lexicon_duplicate_terms(spark: SparkSession, folder: str) -> DataFrame:
     """A lexicon table with repeated terms: the smallest valence counts, folded into the plan or joined."""
     listed = [*RULE_LEXICON.terms.items(), *((term, valence + 7) for term, valence in RULE_LEXICON.terms.items())]
@@ -424,6 +460,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "lexicon_rules_joined": lexicon_rules_joined,
     "lexicon_duplicate_terms": lexicon_duplicate_terms,
+    "induced_lexicon": _on(
+        lambda s, d: written(processed(s, d).select("tokens"), "tokens"),
+        lambda df: induction.induced_lexicon(df, RULE_LEXICON.terms),
+    ),
     "star_agreement": _on(
         master,
         lambda df: df.select(
@@ -454,6 +494,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_terms": topic_terms_from_text,
     "kpis_with_coherence": headline_figures,
     "prepared_tables": prepared_bundle,
+    "prepared_incremental": prepared_incremental,
     "topic_listing": _on(master, aggregates.topic_listing),
     "topic_top_examples": _on(master, aggregates.topic_examples),
     "topic_term_weights": _on(master, aggregates.topic_term_weights),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from opinionloom import wordlists
-from opinionloom.operators import calibration, lemmas, tagging
+from opinionloom.operators import calibration, induction, lemmas, tagging
 from opinionloom.operators.coherence import EPSILON, WINDOW
 from opinionloom.operators.lexicon import Lexicon
 from opinionloom.plans.catalogue import (
@@ -13,6 +13,7 @@ from opinionloom.plans.catalogue import (
     HEAVY_SHARE,
     LANGUAGES,
     LEMMAS,
+    PREPARED_FORMS,
     RAW_TAIL,
     RULE_LEXICON,
     SAMPLE_CAP,
@@ -507,6 +508,69 @@ AUDIT_LINES = [
 ]
 
 
+def _induced() -> tuple[str, str]:
+    """Word graph and masses of the induced lexicon, a CTE per round."""
+    i = induction
+    seeds = _pairs(RULE_LEXICON.terms)
+    keep, back = i.KEEP_PERCENT, 100 - i.KEEP_PERCENT
+    share = lambda part: (
+        f"CAST(coalesce({part}, 0) * {i.MASS // 1000} // greatest(coalesce((SELECT sum({part}) FROM nodes), 0), 1) * 1000 AS BIGINT)"
+    )
+    rounds = "".join(
+        f""",
+sent{r} AS (
+  SELECT g.a AS term, sum(m.up // m.bits * g.weight) AS up, sum(m.down // m.bits * g.weight) AS down
+  FROM graph g JOIN masses{r} m ON m.term = g.b GROUP BY 1
+),
+masses{r + 1} AS (
+  SELECT w.* EXCLUDE (up, down), CAST(coalesce(s.up, 0) // 100 * {keep} + w.up // 100 * {back} AS BIGINT) AS up,
+         CAST(coalesce(s.down, 0) // 100 * {keep} + w.down // 100 * {back} AS BIGINT) AS down
+  FROM masses0 w LEFT JOIN sent{r} s USING (term)
+)"""
+        for r in range(i.ROUNDS)
+    )
+    return f"""{PROCESSED},
+seeds(term, valence) AS (VALUES {seeds}),
+spoken AS (SELECT t.* FROM tokens t JOIN processed USING (review_id)),
+pairs AS (
+  SELECT least(x.term, y.term) AS a, greatest(x.term, y.term) AS b, count(*) AS n
+  FROM spoken x JOIN spoken y ON x.review_id = y.review_id AND y.pos > x.pos AND y.pos <= x.pos + {i.WINDOW} AND x.term <> y.term
+  GROUP BY 1, 2
+),
+ends AS (SELECT term, sum(n) AS ends FROM (SELECT a AS term, n FROM pairs UNION ALL SELECT b, n FROM pairs) GROUP BY 1),
+weighed AS (
+  SELECT p.a, p.b, length(bin(CAST(p.n * (SELECT sum(ends) FROM ends) // (e.ends * f.ends) AS BIGINT))) - 1 AS weight
+  FROM pairs p JOIN ends e ON e.term = p.a JOIN ends f ON f.term = p.b WHERE p.n >= {i.MIN_PAIRS}
+),
+graph AS (
+  SELECT a, b, weight FROM weighed WHERE weight >= 1 UNION ALL SELECT b, a, weight FROM weighed WHERE weight >= 1
+),
+nodes AS (
+  SELECT g.*, greatest(s.valence, 0) AS plus, greatest(-s.valence, 0) AS minus
+  FROM (SELECT a AS term, count(*) AS links, CAST(sum(weight) AS BIGINT) AS bits FROM graph GROUP BY 1) g LEFT JOIN seeds s USING (term)
+),
+masses0 AS (SELECT term, links, bits, {share('plus')} AS up, {share('minus')} AS down FROM nodes){rounds},
+scored AS (
+  SELECT term, links, CAST(up * {2 * i.SCORE_UNITS} // (up + down) - {i.SCORE_UNITS} AS INTEGER) AS score
+  FROM masses{i.ROUNDS} WHERE up + down > 0
+)""", f"""SELECT term, CAST(coalesce(valence, abs(score) * {i.TOP_VALENCE} // {i.SCORE_UNITS} * sign(score)) AS INTEGER) AS valence_tenths,
+       score, coalesce(links, 0) AS links, valence IS NULL AS induced
+FROM scored FULL JOIN seeds USING (term) WHERE valence IS NOT NULL OR abs(score) >= {i.MIN_SCORE}"""
+
+
+def _prepared(twins: dict[str, str]) -> str:
+    """The eight prepared tables in one form, each from the twin of its own query."""
+    own = dict(zip(PREPARED_FORMS, (
+        "sentiment_distribution", "rating_profile", "monthly_trend", "topic_profile", "topic_hotspots", "topic_rating_ci",
+        "score_rows", "topic_term_weights",
+    ), strict=True))
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS name, CAST({key} AS VARCHAR) AS key, CAST({label} AS VARCHAR) AS label, CAST({n} AS BIGINT) AS n, "
+        f"CAST({value} AS DOUBLE) AS value FROM ({twins[own[name]]})"
+        for name, (key, label, n, value) in PREPARED_FORMS.items()
+    ).replace("date_format(month, 'yyyy-MM')", "strftime(month, '%Y-%m')")
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select.strip()}"
 
@@ -531,7 +595,7 @@ def oracle_queries() -> dict[str, str]:
             ("comparison", "gain", _rate("(ca - la)")),
         ]
     )
-    return {
+    twins = {
         "reviews_base": _with(
             STANDARD + NAMED.format(table="standard"),
             "SELECT review_id, review_text, rating, review_date, product_name, review_title, reviewer FROM named",
@@ -642,6 +706,7 @@ FROM (SELECT review_id, topic FROM docs, range({TRACE_TOPICS}) AS t(topic)) LEFT
         "lexicon_duplicate_terms": _with(
             f"{CLEANED},{_scores('cleaned', RULE_LEXICON)}", "SELECT review_id, vader_score, vader_label FROM scores"
         ),
+        "induced_lexicon": _with(*_induced()),
         "star_agreement": _with(
             MASTER,
             """SELECT review_id, star_sentiment,
@@ -933,3 +998,5 @@ HAVING count(*) * {HEAVY_SHARE} >= (SELECT count(*) FROM tokens JOIN processed U
             COHERENCE_SQL, "SELECT topic, round_even(avg(c), 6) AS coherence FROM cosines GROUP BY topic"
         ),
     }
+    twins["prepared_incremental"] = _prepared(twins)
+    return twins
