@@ -2,7 +2,8 @@
 
 A candidate is a run of letters, digits and ``+/_=-``. A window slides over it; the counts of its characters are kept up
 to date by one entering and one leaving character, and with them the sum of ``n log2 n`` over the counts, as integers of a
-millionth. The lowest sum is the highest entropy. The limit is that of the candidate's character class: the smallest
+millionth. The lowest sum is the highest entropy. Counters are packed into longs, and windows are taken in blocks until a block
+holds a random one. The limit is that of the candidate's character class: the smallest
 alphabet that holds it. Beside a whole candidate its runs of letters and digits are judged, each in its own class.
 Candidates on the allow list are suppressed; spans of fixed patterns are cut out of the text before candidates are taken.
 
@@ -83,37 +84,73 @@ def entropy_limit(bits: float) -> int:
     return math.floor(WINDOW * (math.log2(WINDOW) - bits) * SCALE)
 
 
+#: Counters of 5 bits in a long, which hold counts up to ``WINDOW``.
+PACKED, COUNTER_BITS = 12, 5
+#: Windows of a block: the scan of a candidate ends with the first block that holds a random window.
+BLOCK = 512
+
+
+def character_codes(candidate: Column, alphabet: str) -> Column:
+    """Places of a candidate's characters in the alphabet, from 1."""
+    codes = F.transform(F.split(candidate, "", -1), lambda c: F.instr(F.lit(alphabet), c))
+    return F.slice(codes, F.lit(1), F.length(candidate))
+
+
 def least_sum(candidate: Column, alphabet: str) -> Column:
     """The least sum of ``n log2 n`` over all windows of a candidate of at least ``WINDOW`` characters."""
-    table = F.array(*(F.lit(n).cast("long") for n in PLOGP))
-    empty = F.array_repeat(F.lit(0), len(alphabet) + 1)
-    at = lambda array, i: F.get(array, i)
-
-    def slide(codes: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            enters = at(codes, i)
-            leaves = F.when(i >= WINDOW, at(codes, i - WINDOW)).otherwise(F.lit(-1))
-            more = at(table, at(acc["counts"], enters) + 1) - at(table, at(acc["counts"], enters))
-            less = F.when(
-                leaves >= 0, at(table, at(acc["counts"], leaves) - 1) - at(table, at(acc["counts"], leaves))
-            ).otherwise(F.lit(0).cast("long"))
-            total = acc["total"] + F.when(enters == leaves, F.lit(0).cast("long")).otherwise(more + less)
-            counts = F.transform(
-                acc["counts"], lambda n, j: n + (j == enters).cast("int") - (j == leaves).cast("int")
-            )
-            return F.struct(
-                counts.alias("counts"),
-                total.alias("total"),
-                F.when(i >= WINDOW - 1, F.least(acc["best"], total)).otherwise(acc["best"]).alias("best"),
-            )
-
-        start = F.struct(
-            empty.alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(2**60).cast("long").alias("best")
+    return S.let(character_codes(candidate, alphabet), lambda codes: least_of_codes(codes, len(alphabet)))
+
+
+def least_of_codes(codes: Column, letters: int) -> Column:
+    """``least_sum`` of an array of at least ``WINDOW`` character codes up to ``letters``."""
+    rise = F.array(*(F.lit(b - a).cast("long") for a, b in zip(PLOGP, PLOGP[1:])))
+    nothing = F.lit(0).cast("long")
+    word = lambda code: F.floor(code / PACKED).cast("int")
+    shift = lambda code: code % PACKED * COUNTER_BITS
+    unit = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), shift(code))
+
+    def step(acc: Column, at: Column) -> Column:
+        enters, leaves = at["enters"], at["leaves"]
+        count = lambda code: F.call_function(
+            "shiftright", F.get(acc["counts"], word(code)), shift(code)
+        ).bitwiseAND(F.lit((1 << COUNTER_BITS) - 1).cast("long")).cast("int")
+        changed = F.transform(
+            acc["counts"],
+            lambda n, j: n
+            + F.when(j == word(enters), unit(enters)).otherwise(nothing)
+            - F.when(j == word(leaves), unit(leaves)).otherwise(nothing),
         )
-        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda acc: acc["best"])
+        less = F.when(leaves >= 0, F.get(rise, count(leaves) - 1)).otherwise(nothing)
+        total = acc["total"] + F.get(rise, count(enters)) - less
+        best = F.when(at["full"], F.least(acc["best"], total)).otherwise(acc["best"])
+        moved = F.struct(changed.alias("counts"), total.alias("total"), best.alias("best"))
+        return F.when(enters == leaves, acc).otherwise(moved)
+
+    steps = F.transform(
+        codes,
+        lambda c, i: F.struct(
+            c.alias("enters"),
+            F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1)).alias("leaves"),
+            (i >= WINDOW - 1).alias("full"),
+        ),
+    )
+    start = F.struct(
+        F.array_repeat(nothing, letters // PACKED + 1).alias("counts"),
+        nothing.alias("total"),
+        F.lit(2**60).cast("long").alias("best"),
+    )
+    return F.aggregate(steps, start, step, lambda acc: acc["best"])
 
-    codes = F.transform(F.split(candidate, "", -1), lambda c: F.instr(F.lit(alphabet), c))
-    return S.let(F.slice(codes, F.lit(1), F.length(candidate)), slide)
+
+def has_window(candidate: Column, limit: Column, alphabet: str = ALPHABETS["mixed"]) -> Column:
+    """Whether the sum of some window of a candidate of at least ``WINDOW`` characters is at most ``limit``."""
+
+    def blocks(codes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(codes) - (WINDOW - 1), F.lit(BLOCK))
+        part = lambda i: F.slice(codes, i, F.lit(BLOCK + WINDOW - 1))
+        return F.exists(starts, lambda i: S.let(part(i), lambda c: least_of_codes(c, len(alphabet))) <= limit)
+
+    return S.let(character_codes(candidate, alphabet), blocks)
 
 
 #: Runs of letters and digits in a candidate with other signs.
@@ -131,7 +168,7 @@ def in_class(candidate: Column) -> Column:
 
 def is_random(candidate: Column) -> Column:
     """Whether some window of the candidate, or of a run of letters and digits in it, reaches the entropy of its class."""
-    reaches = lambda c: least_sum(c, ALPHABETS["mixed"]) <= in_class(c)
+    reaches = lambda c: S.let(in_class(c), lambda limit: has_window(c, limit))
     runs = F.filter(F.regexp_extract_all(candidate, F.lit(RUN), F.lit(0)), lambda run: run != candidate)
     return F.when(F.length(candidate) < WINDOW, F.lit(False)).otherwise(reaches(candidate) | F.exists(runs, reaches))
 

@@ -97,6 +97,22 @@ def test_sliding_entropy_equals_counting_each_window(spark):
         assert math.isclose(math.log2(20) - r.least / secrets.SCALE / 20, lowest_by_hand(r.w), abs_tol=1e-5)
 
 
+def test_a_random_window_is_found_wherever_blocks_begin(spark):
+    rng = random.Random(8)
+    letters = secrets.ALPHABETS["mixed"]
+    random_part = "".join(rng.sample(letters, secrets.WINDOW))
+    words = []
+    for place in (0, 1, secrets.WINDOW, secrets.BLOCK - 20, secrets.BLOCK - 10, secrets.BLOCK - 1, secrets.BLOCK, 2 * secrets.BLOCK - 3):
+        for after in (0, 1, 30, secrets.BLOCK):
+            words += ["a" * place + random_part + "a" * after, "a" * place + random_part[:-3] + "aaa" + "a" * after]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    limit = secrets.entropy_limit(4.3)
+    found = df.select("w", secrets.has_window(F.col("w"), F.lit(limit)).alias("found")).collect()
+    assert {r["w"]: r["found"] for r in found} == {w: random_part in w for w in words}
+    least = df.select("w", (secrets.least_sum(F.col("w"), letters) <= limit).alias("found")).collect()
+    assert {r["w"]: r["found"] for r in least} == {w: random_part in w for w in words}
+
+
 def test_entropy_adds_random_strings_and_suppresses_harmless_ones(spark):
     texts = ["key Zx8Qw2Lk9Vb3Nm7Rt5Yp1 end", "see some-long-path_with-words-12 and 123e4567-e89b-12d3-a456-426614174000", "zzzzzzzzzzzzzzzzzzzzzzzzz1",
              "password=Zx8Qw2Lk9Vb3Nm7Rt5Yp1"]
