@@ -38,10 +38,12 @@ from opinionloom.operators import (
     topics,
     variational,
 )
+from opinionloom.plans import jobs
 from opinionloom.plans.jobs import kpis_with_coherence, prepared_tables
 from opinionloom.session import shared_folder, spread, written
-from opinionloom.sinks.tables import report_text, sentiment_report, topic_report
+from opinionloom.sinks.tables import report_text, sentiment_report, topic_report, write_snapshot
 from opinionloom.sources.csv_files import missing_as_null, read_reviews_csv
+from opinionloom.sources.snapshots import read_first_snapshot
 from opinionloom.sources.tables import read_table, reviews
 
 STOPS = tuple(tokens.stop_words())
@@ -266,6 +268,49 @@ def csv_records(spark: SparkSession, folder: str) -> DataFrame:
     return read_reviews_csv(spark, path)
 
 
+def stage_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw rows as CSV files, through the ingest, preprocessing and sentiment jobs; the last snapshot read back."""
+    home = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    raw = raw_columns(spark, folder)
+    raw.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{home}/raw")
+    jobs.ingest_job(spark, f"{home}/raw", f"{home}/reviews_raw", min_bytes=0, every_file=True)
+    jobs.preprocess_job(spark, f"{home}/reviews_raw", f"{home}/reviews_processed", stops=STOPS, lemmas=LEMMAS)
+    jobs.sentiment_job(spark, f"{home}/reviews_processed", f"{home}/reviews_sentiment", f"{home}/sentiment_report", SEED_LEXICON)
+    found = read_first_snapshot(spark, f"{home}/reviews_topics", f"{home}/reviews_sentiment")
+    return found.select(
+        F.col("review_id").cast("long").alias("review_id"), "rating", "review_date", "review_title", "review_normalized", "token_count",
+        "star_sentiment", "vader_score", "vader_label", "model_label", "model_confidence", "sentiment_agree",
+    )
+
+
+def lda_stage(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for any run of the topic job, and for a second one over its saved model: rows, labels and reports."""
+    home = f"{shared_folder(spark)}/topics-{uuid.uuid4().hex}"
+    write_snapshot(master(spark, folder).drop("topic_label", "dominant_topic", "topic_score"), f"{home}/reviews_sentiment")
+    sources = (f"{home}/reviews_topics", f"{home}/reviews_sentiment")
+    first, score = jobs.topic_job(spark, sources, f"{home}/first", f"{home}/first_report", f"{home}/model", **TOPIC_FIT)
+    again, _ = jobs.topic_job(spark, sources, f"{home}/again", f"{home}/again_report", f"{home}/model", **TOPIC_FIT)
+    moved = first.join(again.select("review_id", F.col("dominant_topic").alias("second")), "review_id", "left")
+    reported = spark.read.json(f"{home}/again_report").agg(F.sum("count")).first()[0]
+    return moved.agg(
+        F.count(F.lit(1)).alias("reviews"),
+        F.count_if(~F.col("dominant_topic").eqNullSafe(F.col("second"))).alias("moved"),
+        F.count_if(F.col("topic_label").isNull() | ~F.col("topic_score").between(0, 1)).alias("unfit"),
+        F.lit(reported).cast("long").alias("reported"),
+        F.lit(-1 <= score <= 1).alias("coherent"),
+    )
+
+
+def _scorer() -> Callable[[list[str]], list[tuple[str, float]]]:
+    """A caller's model: texts of which more than a tenth is the letter e."""
+    return lambda texts: [("POSITIVE" if 10 * t.count("e") > len(t) else "NEGATIVE", min(len(t), 9999) / 10000) for t in texts]
+
+
+def callers_model(spark: SparkSession, folder: str) -> DataFrame:
+    scored = classify.classify_with(cleaned(spark, folder).select("review_id", "review_clean"), _scorer)
+    return scored.select("review_id", "model_label", "model_confidence")
+
+
 def topic_assignments_given(spark: SparkSession, folder: str) -> DataFrame:
     """Assignment from a given distribution: the share of each language's leading terms in a review."""
     documents = settled_documents(spark, folder).drop("topic_label")
@@ -517,11 +562,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "calibrated_scores": calibrated_scores,
     "positional_join": positional_join,
     "csv_records": csv_records,
+    "stage_jobs": stage_jobs,
+    "callers_model": callers_model,
     "heavy_terms": _on(lambda s, d: written(processed(s, d).select("tokens"), "tokens"), lambda df: heavy.heavy_terms(df, HEAVY_SHARE)),
     "classifier_agreement": lambda s, d: agreement.model_vs_stars(classified(s, d).filter("held_out")),
     "topic_assignments_given": topic_assignments_given,
     "lda_audit": lda_audit,
     "lda_fit_trace": lda_fit_trace,
+    "lda_stage": lda_stage,
     "lda_topics": lda_topics,
     "lda_assignments": lda_assignments,
     "lda_hotspots": lda_hotspots,

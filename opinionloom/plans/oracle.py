@@ -448,6 +448,22 @@ classified AS (
   FROM (SELECT g.*, coalesce(s.units, 0) + p.p AS u FROM given g LEFT JOIN sums s USING (review_id), prior p)
 )"""
 
+# The chain of jobs: from the raw rows, with a classifier that learns from all of them.
+FROM_CSV = f"""{RAW},
+standard AS (
+  SELECT * FROM (
+    SELECT review_id, {_strip('review_text')} AS review_text, CAST(trunc(TRY_CAST(rating AS DOUBLE)) AS INTEGER) AS rating,
+           review_date, nullif(review_title, 'N/A') AS review_title
+    FROM raw WHERE review_text IS NOT NULL AND rating <> 'NaN' AND TRY_CAST(rating AS DOUBLE) IS NOT NULL)
+  WHERE length(review_text) > 10
+)"""
+JOBS = PROCESSED.replace(STANDARD, FROM_CSV, 1) + f",{_scores('processed', SEED_LEXICON)}" + (
+    CLASSIFIED.removeprefix(CLEANED)
+    .replace("FROM cleaned", "FROM processed")
+    .replace("IN ('0', '1', '2') AS held_out", "IN ('none') AS held_out")
+    .replace("sums", "odds_sums")
+)
+
 GIVEN_TOPICS = f"""{TOPIC_DOCS},
 counted AS (SELECT topic_label, term, count(*) AS n FROM words GROUP BY 1, 2),
 front AS (
@@ -969,6 +985,23 @@ SELECT position, doc_id, o_orderkey FROM d JOIN o USING (position)
         "csv_records": f"""
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, CASE WHEN text NOT IN ({_words(NULL_TOKENS)}) THEN text END AS text, lang FROM documents
 """,
+        "stage_jobs": _with(
+            JOBS,
+            """SELECT p.review_id, p.rating, review_date, review_title, review_normalized, token_count, vader_score, vader_label,
+                      c.model_label, c.model_confidence, vader_label = c.model_label AS sentiment_agree,
+                      CASE WHEN p.rating >= 4 THEN 'positive' WHEN p.rating <= 2 THEN 'negative' ELSE 'neutral' END AS star_sentiment
+               FROM processed p JOIN scores USING (review_id) JOIN classified c USING (review_id)""",
+        ),
+        "callers_model": _with(
+            CLEANED,
+            """SELECT review_id, least(length(review_clean), 9999) / 10000 AS model_confidence,
+                      CASE WHEN 10 * (length(review_clean) - length(replace(review_clean, 'e', ''))) > length(review_clean)
+                           THEN 'positive' ELSE 'negative' END AS model_label FROM cleaned""",
+        ),
+        "lda_stage": _with(
+            TOPIC_DOCS,
+            "SELECT count(*) AS reviews, 0::BIGINT AS moved, 0::BIGINT AS unfit, count(*)::BIGINT AS reported, true AS coherent FROM docs",
+        ),
         "heavy_terms": _with(
             PROCESSED,
             f"""SELECT t.term, count(*) AS n FROM tokens t JOIN processed p USING (review_id) GROUP BY 1

@@ -20,7 +20,7 @@ def snapshot(spark, tmp_path_factory):
 
 
 # queries of a model that is applied in Arrow batches
-IN_BATCHES = ("lda", "classifier", "tagged_tokens")
+IN_BATCHES = ("lda", "classifier", "callers_model", "tagged_tokens")
 
 
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if not n.startswith(IN_BATCHES)])
