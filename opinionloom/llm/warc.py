@@ -9,7 +9,8 @@ length, closing line breaks, block and payload digest. After a failed check it s
 line whose record passes, goes on there, and logs the bytes between as a quarantined gap. The content of a member that
 holds several records is searched in the same way, as far as it could be unpacked; a gap in it has the place of the
 member, and its reason names the bytes of the content. A single record stands or falls with its member. Archives are read whole, one at a
-time; ``RECORDS_PER_FILE`` bounds the files written here.
+time; those written here end before the record that would take them above ``ARCHIVE_BYTES``, so only a single larger record makes a larger
+archive.
 
 Defined cases: a null payload is empty, a null url is left out, a null key is written and read back as null. Rows that
 repeat the smallest key of a payload are all responses. A table without rows gives archives without records.
@@ -31,9 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionloom.llm.arrow_text import in_python, slices
+from opinionloom.session import written
 
 LEAST_REVISIT_BYTES = 100
-RECORDS_PER_FILE = 1000
+ARCHIVE_BYTES = 32 << 20
 DATE = "2020-01-01T00:00:00Z"
 ID = "urn:opinionloom:page:"
 CRLF = b"\r\n"
@@ -80,39 +82,49 @@ def member(record: bytes) -> bytes:
 
 def with_revisits(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
     """Rows ``(key, url, payload, digest, first, revisit)``: of equal payloads of ``LEAST_REVISIT_BYTES`` and more the one
-    with the smallest key is the first, the others revisit it."""
+    with the smallest key is the first, the others revisit it.
+
+    Only digests and keys are shuffled to find the firsts, a row per repeated payload. They are written, so that Spark knows their
+    size and broadcasts them below its threshold; beyond, the join deals the payloads by digest.
+    """
     rows = pages.select(
         F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload")
     ).withColumn("digest", F.sha2(F.encode("payload", "UTF-8"), 256))
-    firsts = (
+    repeated = (
         rows.filter(F.octet_length("payload") >= LEAST_REVISIT_BYTES)
         .groupBy("digest")
         .agg(F.min("key").alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("digest", "first")
     )
+    firsts = written(repeated.select("digest", "first"), "first-pages")
     # a group of null keys only has no smallest key: all its rows are responses
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.lit(False))
     return rows.join(firsts, "digest", "left").withColumn("revisit", revisit)
 
 
 def write_archives(
-    pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", per_file: int = RECORDS_PER_FILE
+    pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES
 ) -> None:
-    """Write one record per row into gzip archives under ``path``."""
+    """Write one record per row into gzip archives under ``path``, in a folder for the first archive of each task, the second and so on."""
     rows = with_revisits(pages, key, url, payload)
 
     def run(batches):
+        archive, held = 0, 0
         for batch in slices(batches, "payload"):
-            records = []
+            records, archives = [], []
             columns = (batch.column(c).to_pylist() for c in ("key", "url", "digest", "first", "revisit"))
             payloads = batch.column("payload").cast(pa.binary()).to_pylist()
             for body, (own, place, digest, first, revisit) in zip(payloads, zip(*columns, strict=True), strict=True):
-                records.append(member(record_bytes(own, place, body, digest, first, revisit))[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["member"])
-
-    lines = in_python(rows, run, "member binary").select(F.col("member").cast("string").alias("value"))
-    lines.write.option("lineSep", "\x00").option("maxRecordsPerFile", per_file).text(path)
+                packed = member(record_bytes(own, place, body, digest, first, revisit))
+                if held and held + len(packed) > archive_bytes:
+                    archive, held = archive + 1, 0
+                held += len(packed)
+                records.append(packed[:-1])
+                archives.append(archive)
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary()), pa.array(archives, pa.int32())], ["member", "archive"])
+
+    lines = in_python(rows, run, "member binary, archive int").select(F.col("member").cast("string").alias("value"), "archive")
+    lines.write.option("lineSep", "\x00").partitionBy("archive").text(path)
 
 
 class Failed(Exception):

@@ -82,7 +82,7 @@ def test_round_trip(spark, tmp_path):
     rows = [(5, "http://a/ b\n", same), (3, None, same), (9, "u", same), (3, "v", same), (None, "w", same), (1, "u", "short"), (2, "u", "short"),
             (7, "u", None), (8, "u", ""), (None, None, None), (10, "u", "\x00\r\n\r\nWARC/1.1\r\n" + "z" * 100_000), (11, "u", "n" * 120), (None, "u", "n" * 120)]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, first int")
-    warc.write_archives(pages, str(tmp_path / "a"), per_file=2)
+    warc.write_archives(pages, str(tmp_path / "a"), archive_bytes=700)
     out = warc.read_archives(spark, str(tmp_path / "a"))
     assert out.filter("gap is not null").count() == 0
     got = Counter((r.record_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in out.collect())
@@ -95,6 +95,8 @@ def test_round_trip(spark, tmp_path):
     assert got == want
     bodies = {bytes(r.payload) for r in out.filter("record_type = 'response'").collect()}
     assert bodies == {(r[2] or "").encode() for r in rows}
+    archives = out.groupBy("archive").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    assert len(archives) > 2 and all(a.size <= 700 + 30 * a.n or a.n == 1 for a in archives)
 
 
 def test_damaged_archive_through_spark(spark, tmp_path):
