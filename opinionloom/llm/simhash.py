@@ -183,28 +183,30 @@ def keep_one(
     text are copies, of which the smallest by the other columns stays.
     """
     found = near_duplicates(documents, key, text, width, max_bits)
+    members = written(
+        found.groupBy("root", F.col(key).alias("k"), F.col("text_key").alias("t")).agg(F.count("*").alias("n")), "near-duplicates"
+    )
     first = F.min(F.struct(F.col("k").isNull().alias("empty"), F.col("k"), F.col("t"), F.col("n")))
-    keepers = written(
-        found.groupBy("root", F.col(key).alias("k"), F.col("text_key").alias("t"))
-        .agg(F.count("*").alias("n"))
-        .groupBy("root")
-        .agg(first.alias("first"))
-        .select("first.k", "first.t", "first.n"),
-        "keepers",
+    firsts = members.groupBy("root").agg(first.alias("first"), F.count("*").alias("size")).filter("size > 1 or first.n > 1")
+    firsts = written(firsts, "keepers")
+    repeated = firsts.filter("first.n > 1").select("first.k", "first.t")
+    others = members.join(firsts.filter("size > 1"), "root").filter(
+        ~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("t") == F.col("first.t")))
     )
+    # the rows to go are far fewer than those to stay
+    gone = written(others.select("k", "t").union(repeated), "near-duplicates-to-go")
 
-    def chosen(some: DataFrame) -> DataFrame:
+    def matched(some: DataFrame, how: str) -> DataFrame:
         same = documents[key].eqNullSafe(some["k"]) & (F.xxhash64(documents[text]) == some["t"])
-        return documents.join(some, same, "left_semi")
+        return documents.join(some, same, how)
 
-    kept = chosen(keepers.filter("n = 1"))
-    repeated = keepers.filter("n > 1")
+    kept = matched(gone, "left_anti")
     if repeated.isEmpty():
         return kept
     fields = {f.name: documents[column(f.name)] for f in documents.schema.fields}
     order = [c for name, c in fields.items() if not isinstance(documents.schema[name].dataType, MapType)]
     once = (
-        chosen(repeated)
+        matched(repeated, "left_semi")
         .groupBy(documents[key].alias("k"), F.xxhash64(documents[text]).alias("t"))
         .agg(F.min_by(F.struct(*fields.values()), F.struct(*order)).alias("row"))
         .select("row.*")
