@@ -4,10 +4,12 @@ Regex, gazetteer and context labelers each vote ``yes``, ``no`` or abstain on ca
 over the counts of vote patterns (at most 27 per kind, whatever the corpus) estimates how far each labeler can be
 trusted; the resulting probabilities train a final naive Bayes classifier on span features. A candidate it accepts, and
 that overlaps no span of a fixed pattern, is added. Every pair of neighbouring capitalised words is a candidate for a
-name; of accepted pairs that share a word those stay whose evidence is most in total, the left ones of equal sums.
+name; of accepted pairs that share a word those stay whose evidence is most in total, the left ones of equal sums. The
+gazetteer of given names grows with the corpus: a word that begins at least ``LEAST_INTRODUCED`` pairs right after a title
+or another introduction of a person, and one in ``INTRODUCED_SHARE`` of all pairs it begins, is one.
 
 Defined cases: a null text is empty and has no spans. A corpus without candidates trains nothing and adds nothing. Every
-row gives one row, repeated keys included. Candidates go through the shared folder once; texts never do.
+row gives one row, repeated keys included. Candidates go through the shared folder, texts never do.
 """
 
 from __future__ import annotations
@@ -31,14 +33,14 @@ IP_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[
 
 #: Candidates of the method: kind, pattern, plain condition without which it can't match.
 CANDIDATES = (
-    ("hidden_email", r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]{1,63}){1,8}", r"[\[(](at|AT)[\])]"),
+    ("hidden_email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++", r"[\[(](at|AT)[\])]"),
     ("local_phone", r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", "[0-9]{3}"),
     ("tax_number", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
-    ("name", r"(?<!\p{L})(\p{Lu}\p{Ll}{1,19})(?=\x20(?!\1)\p{Lu}\p{Ll}{1,19}(?!\p{L}))", None),
+    # finds the first word only, so that pairs may overlap; its second group is the second word
+    ("name", r"(?<!\p{L})(\p{Lu}\p{Ll}++)(?=\x20(?!\1)(\p{Lu}\p{Ll}++)(?!\p{L}))", None),
 )
-#: A name's candidate pattern finds the first word only, so that pairs may overlap; this one takes the pair from there.
-NAME_PAIR = r"^\p{Lu}\p{Ll}{1,19}\x20\p{Lu}\p{Ll}{1,19}"
+NAME = CANDIDATES[-1][1]
 STRICT = {
     "hidden_email": r"(?i)^[a-z0-9._%+-]+ ?[\[(]at[\])] ?[a-z0-9-]+( ?(\.|[\[(]dot[\])]) ?[a-z0-9-]+)* ?(\.|[\[(]dot[\])]) ?[a-z]{2,10}$",
     "local_phone": r"^\(?[2-9][0-9]{2}[^0-9]+[2-9][0-9]{2}[^0-9][0-9]{4}$",
@@ -61,6 +63,9 @@ CUES = {
     "iban": r"(?i)(iban|account|bank|konto|compte|cuenta)",
     "name": r"(?i)(\bmy name is|\bname:|\bcontact:|\bmrs?\.|\bdr\.|\bfrau|\bherr|\bmonsieur|\bmadame|\bseñora?|\bsigned|\bregards,)\s*$",
 }
+#: What introduces a person, right before the name; learned given names come from behind these.
+INTRODUCTIONS = r"(?i)(\bmy name is|\bi am|\bmrs?\.|\bms\.|\bdr\.|\bfrau|\bherr|\bmonsieur|\bmadame|\bseñora?|\bsigned|\bregards,)\s*$"
+LEAST_INTRODUCED, INTRODUCED_SHARE = 2, 10
 COUNTER_CUES = r"(?i)(version|licen[sc]e|under the|copyright|chapter|figure|isbn|order|part no)"
 BEFORE = 30
 ROUNDS = 25
@@ -112,47 +117,56 @@ def _by_kind(kind: Column, patterns: dict[str, str], value: Column) -> Column:
 
 
 def _with_second_word(text: Column, firsts: Column) -> Column:
-    def paired(s: Column) -> Column:
-        pair = F.regexp_extract(F.substring(text, s["start"] + 1, F.lit(41)), NAME_PAIR, 0)
-        return S.let(
-            pair,
-            lambda found: F.struct(
-                s["start"].alias("start"),
-                (s["start"] + F.length(found)).alias("stop"),
-                s["rank"].alias("rank"),
-                s["kind"].alias("kind"),
-                found.alias("found"),
-            ),
+    def paired(s: Column, second: Column) -> Column:
+        return F.struct(
+            s["start"].alias("start"),
+            (s["stop"] + F.length(second) + 1).alias("stop"),
+            s["rank"].alias("rank"),
+            s["kind"].alias("kind"),
+            F.concat_ws(" ", s["found"], second).alias("found"),
         )
 
-    return F.transform(firsts, paired).cast(S.SPAN)
+    seconds = F.regexp_extract_all(text, F.lit(NAME), F.lit(2))
+    pairs = F.when(F.size(firsts) > 0, F.zip_with(firsts, seconds, paired)).otherwise(firsts)
+    return pairs.cast(S.SPAN)
 
 
 def _apart(spans: Column) -> Column:
-    """Of names (by start, each with its ``evidence``) that overlap their neighbours, those of the most evidence in total.
+    """Of names (by start, each with its positive ``evidence``) that overlap their neighbours, those of the most evidence in total.
 
-    ``with`` and ``without`` are the best sums and the starts taken, with the last name and without it.
+    Forward, every name has the gain of taking it over leaving it, given the best choice before it; backward, a name with a
+    gain is taken unless the next one taken overlaps it.
     """
 
-    def best(acc: Column) -> Column:
-        return F.when(acc["with"]["total"] > acc["without"]["total"], acc["with"]).otherwise(acc["without"])
-
-    def step(acc: Column, s: Column) -> Column:
-        former = F.when(s["start"] < acc["stop"], acc["without"]).otherwise(best(acc))
-        taken = S.let(
-            former,
-            lambda f: F.struct((f["total"] + s["evidence"]).alias("total"), F.concat(f["starts"], F.array(s["start"])).alias("starts")),
+    def gain(state: Column, s: Column) -> Column:
+        lost = F.when((s["start"] < state["stop"]) & (state["gain"] > 0), state["gain"]).otherwise(0.0)
+        return F.struct((s["evidence"] - lost).alias("gain"), s["stop"].alias("stop"))
+
+    def taken(state: Column, s: Column) -> Column:
+        yes = (s["gain"] > 0) & (s["span"]["stop"] <= state["next"])
+        return F.struct(yes.alias("yes"), F.when(yes, s["span"]["start"]).otherwise(state["next"]).alias("next"))
+
+    def chosen(names: Column) -> Column:
+        gains = S.scanned(names, F.struct(F.lit(0.0).alias("gain"), F.lit(0).alias("stop")), gain)
+        paired = F.zip_with(names, gains, lambda s, g: F.struct(s.alias("span"), g["gain"].alias("gain")))
+        return S.let(F.reverse(paired), backward)
+
+    def backward(last_first: Column) -> Column:
+        nothing = F.struct(F.lit(False).alias("yes"), F.lit(2**31 - 1).alias("next"))
+        flagged = F.zip_with(
+            last_first,
+            S.scanned(last_first, nothing, taken),
+            lambda s, t: F.struct(s["span"].alias("span"), t["yes"].alias("yes")),
         )
-        return F.struct(taken.alias("with"), best(acc).alias("without"), s["stop"].alias("stop"))
+        return F.reverse(F.transform(F.filter(flagged, lambda s: s["yes"]), lambda s: s["span"]))
 
-    nothing = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<int>").alias("starts"))
-    zero = F.struct(nothing.alias("with"), nothing.alias("without"), F.lit(0).alias("stop"))
-    starts = F.aggregate(F.filter(spans, lambda s: s["kind"] == "name"), zero, step, lambda acc: best(acc)["starts"])
-    return S.let(starts, lambda kept: F.filter(spans, lambda s: (s["kind"] != "name") | F.array_contains(kept, s["start"])))
+    names = S.let(F.filter(spans, lambda s: s["kind"] == "name"), chosen)
+    return F.concat(F.filter(spans, lambda s: s["kind"] != "name"), names)
 
 
 def _candidates(text: Column) -> Column:
-    """Candidate spans with their three votes (1 yes, 0 no, -1 abstains) and features for the final classifier."""
+    """Candidate spans with their three votes (1 yes, 0 no, -1 abstains) and features for the final classifier; of names also
+    the first word, and whether they are introduced as persons."""
     found = {
         kind: S.matches(text, pattern, kind, len(KINDS) + i, None if needs is None else F.rlike(text, F.lit(needs)))
         for i, (kind, pattern, needs) in enumerate(CANDIDATES)
@@ -160,7 +174,7 @@ def _candidates(text: Column) -> Column:
     found["name"] = _with_second_word(text, found["name"])
     spans = F.concat(*found.values())
 
-    def voted(s: Column) -> Column:
+    def voted(s: Column, parts: Column) -> Column:
         def with_context(before: Column) -> Column:
             # an account number is printed in groups of four or in one
             bare = F.when(s["kind"] == "iban", F.replace(s["found"], F.lit(" "), F.lit(""))).otherwise(s["found"])
@@ -176,19 +190,46 @@ def _candidates(text: Column) -> Column:
                 s["stop"].alias("stop"),
                 s["rank"].alias("rank"),
                 s["kind"].alias("kind"),
-                F.concat_ws(",", shape.cast("string"), known.cast("string"), cue.cast("string")).alias("votes"),
+                shape.alias("shape"),
+                known.alias("known"),
+                cue.alias("cue"),
+                F.when(s["kind"] == "name", F.substring_index(s["found"], " ", 1)).alias("word"),
+                ((s["kind"] == "name") & F.rlike(before, F.lit(INTRODUCTIONS))).alias("introduced"),
                 F.array(
                     F.concat(F.lit("size:"), F.least(F.length(bare), F.lit(40)).cast("string")),
                     F.concat(F.lit("digits:"), F.least(F.length(_digits(s["found"])), F.lit(20)).cast("string")),
                     F.concat(F.lit("last:"), F.pmod(F.xxhash64(F.element_at(F.split(F.trim(before), r"\s+"), -1)), F.lit(32)).cast("string")),
-                    F.concat(F.lit("votes:"), F.concat_ws(",", shape.cast("string"), known.cast("string"), cue.cast("string"))),
                 ).alias("features"),
             )
 
-        before = F.substring(text, F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))
+        before = S.near(parts, F.greatest(s["start"] - BEFORE, F.lit(0)), F.least(s["start"], F.lit(BEFORE)))
         return S.let(before, with_context)
 
-    return F.transform(spans, voted)
+    return S.let(spans, lambda some: S.let(S.pieces(text), lambda parts: F.transform(some, lambda s: voted(s, parts))))
+
+
+def learned_names(pairs: DataFrame) -> DataFrame:
+    """Given names the corpus introduces, of rows ``(word, introduced)`` per candidate pair: one row per ``word``."""
+    counted = pairs.groupBy("word").agg(F.count_if("introduced").alias("introduced"), F.count("*").alias("n"))
+    often = (F.col("introduced") >= LEAST_INTRODUCED) & (F.col("introduced") * INTRODUCED_SHARE >= F.col("n"))
+    return counted.filter(often).select("word")
+
+
+def _settled(found: DataFrame) -> DataFrame:
+    """Candidates with the vote of the grown gazetteer, their ``votes`` as text and among the features."""
+    pairs = found.select("_row", F.explode(F.filter("candidates", lambda s: s["kind"] == "name")).alias("c"))
+    learned = written(learned_names(pairs.select("c.word", "c.introduced")), "learned-names")
+    own = pairs.select("_row", "c.word").distinct().join(learned, "word").groupBy("_row").agg(F.collect_list("word").alias("_learned"))
+
+    def settled(s: Column) -> Column:
+        known = F.when(F.array_contains("_learned", s["word"]), 1).otherwise(s["known"])
+        votes = F.concat_ws(",", s["shape"].cast("string"), known.cast("string"), s["cue"].cast("string"))
+        fields = (s[c].alias(c) for c in ("start", "stop", "rank", "kind"))
+        features = F.concat(s["features"], F.array(F.concat(F.lit("votes:"), votes)))
+        return F.struct(*fields, votes.alias("votes"), features.alias("features"))
+
+    joined = found.join(own, "_row", "left").select("_key", "base", F.transform("candidates", settled).alias("candidates"))
+    return written(joined, "pii-votes")
 
 
 def fit_labelers(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
@@ -278,9 +319,10 @@ def find_personal_data(documents: DataFrame, key: str = "doc_id", text: str = "t
                     F.filter(_candidates(whole), lambda s: ~S.overlaps(s, base)).alias("candidates"),
                 ),
             ).alias("found"),
-        ).select("_key", "found.base", "found.candidates"),
+        ).select(F.monotonically_increasing_id().alias("_row"), "_key", "found.base", "found.candidates"),
         "pii-candidates",
     )
+    found = _settled(found)
     prior, odds = fit_classifier(found.select(F.explode("candidates").alias("c")).select("c.*"))
     spans = F.col("base")
     if prior:

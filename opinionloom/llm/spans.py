@@ -39,6 +39,49 @@ def running_sums(lengths: Column) -> Column:
     return let(blocks, lambda sums: F.transform(F.sequence(F.lit(0), n - 1), lambda i: upto(i, sums)))
 
 
+def scanned(items: Column, zero: Column, step) -> Column:
+    """The states ``step(state, item)`` after each item of a bound array, gathered in blocks, so that long arrays stay cheap."""
+    none = F.filter(F.array(zero), lambda _: F.lit(False))
+
+    def along(block: Column, state: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(state.alias("state"), none.alias("done")),
+            lambda acc, x: let(
+                step(acc["state"], x), lambda s: F.struct(s.alias("state"), F.concat(acc["done"], F.array(s)).alias("done"))
+            ),
+        )
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK))
+    )
+    whole = F.aggregate(
+        blocks,
+        F.struct(zero.alias("state"), none.alias("done")),
+        lambda acc, block: let(
+            along(block, acc["state"]),
+            lambda after: F.struct(after["state"].alias("state"), F.concat(acc["done"], after["done"]).alias("done")),
+        ),
+    )
+    return F.when(F.size(items) > 0, whole["done"]).otherwise(none)
+
+
+#: Texts are cut into pieces of this many characters, so that a look at one place doesn't count characters from the start.
+PIECE = 2048
+
+
+def pieces(text: Column) -> Column:
+    last = F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / PIECE).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+
+
+def near(parts: Column, start: Column, length: Column) -> Column:
+    """At most ``PIECE`` characters of a text from a place on, out of its ``pieces``."""
+    i = F.floor(start / PIECE).cast("int")
+    around = F.concat(F.get(parts, i), F.coalesce(F.get(parts, i + 1), F.lit("")))
+    return F.substring(around, start - i * PIECE + 1, length)
+
+
 def matches(text: Column, pattern: str, kind: str, rank: int, hint: Column | None = None) -> Column:
     """The leftmost non-overlapping matches of a pattern: ``start``, ``stop`` (exclusive), ``rank``, ``kind``, ``found``.
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -199,6 +200,41 @@ def test_overlapping_names_keep_the_most_evidence(spark):
     assert [s.start for s in kept] == [0, 7, 20, 40]
 
 
+def test_choice_of_names_equals_brute_force(spark):
+    rng = random.Random(3)
+    for n in (1, 2, 7, 11, 300):
+        rows, at = [], 0
+        for _ in range(n):
+            at += rng.choice([4, 4, 12])
+            rows.append((at, at + 8, float(rng.randint(1, 9))))
+        spans = spark.createDataFrame([([(*r[:2], "name", r[2]) for r in rows],)], "s array<struct<start:int,stop:int,kind:string,evidence:double>>")
+        kept = spans.select(pii._apart(F.col("s")).alias("kept")).first().kept
+        assert all(a.stop <= b.start for a, b in zip(kept, kept[1:]))
+        best = [0.0, 0.0]
+        for i, (a, _, w) in enumerate(rows):
+            best.append(max(best[-1], w + best[-2 if i and rows[i - 1][1] > a else -1]))
+        assert sum(s.evidence for s in kept) == best[-1]
+
+
+def test_given_names_the_corpus_introduces(spark):
+    given, family = ["Wei", "Raj", "Kofi", "Olga", "Yuki", "Fatima"], ["Okafor", "Tanaka", "Petrova", "Mensah", "Haddad"]
+    names = [f"{g} {f}" for g in given for f in family]
+    texts = [f"that was all, signed {n} from here" for n in names] + [f"we met Dr. {n} there" for n in names]
+    plain = [f"the thing{i} was {a} {b} again" for i in range(40) for a, b in (("Green", "Water"), ("Open", "Doors"), ("North", "Station"))]
+    found = found_in(spark, texts + plain)
+    hits = sum(f"name:{t.index(n)}:{t.index(n) + len(n)}" in found[i].split(",") for i, (t, n) in enumerate(zip(texts, names * 2)))
+    assert hits >= 0.9 * len(texts)
+    assert sum(bool(found[i]) for i in range(len(texts), len(texts) + len(plain))) == 0
+
+
+def test_long_texts_of_names(spark):
+    text = " ".join(f"Anna Schmidt{'abcdefghij'[i % 10]} met" for i in range(12_000))
+    started = time.time()
+    found = found_in(spark, [text, "x" * 2048 + " my name is Mary Smith " + "é" * 2048])
+    assert time.time() - started < 60
+    assert found[1] in ("", "name:2060:2070") and len(found) == 2
+
+
 def test_ibans_with_and_without_blanks_need_no_cue(spark):
     ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606"]
     texts = [f"please use {n} for it" for n in ibans] + ["see XX12 ABCD 1234 EFGH now", "see DE12 ABCD 1234 EFGH now"]
