@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from opinionloom.functions import lookups
+from opinionloom.functions import arrow_lists, lookups
 from opinionloom.operators import induction, lexicon
 
 SEEDS = {"good": 20, "fine": 10, "bad": -25, "unseen": 7}
@@ -95,3 +95,28 @@ def test_only_hot_words_are_salted(spark):
     ]
     assert joined.filter("w is null").count() == 1 and joined.count() == 9001
     assert lookups.salted_join(words, names, "w", ["id"], salts=8).count() == 9000
+
+
+def test_pairs_move_as_numbers_and_a_long_dictionary_as_words(spark, monkeypatch):
+    docs = table(spark, [*corpus(40), ["bad", "torn", "bad", "torn", "bad"], [None, "good", None], ["alone"]])
+    by_words, moved = induction.pair_counts, []
+    monkeypatch.setattr(induction, "pair_counts", lambda *a: (moved.append(a), by_words(*a))[1])
+    numbered = sorted(map(tuple, induction.text_graph(docs, min_pairs=3).collect()))
+    assert numbered and not moved
+    monkeypatch.setattr(arrow_lists, "DICTIONARY_BYTES", 0)
+    assert sorted(map(tuple, induction.text_graph(docs, min_pairs=3).collect())) == numbered and moved
+
+
+def test_the_bound_of_a_word_holds(spark):
+    rng = random.Random(3)
+    docs = [[rng.choice("aabcdefgh") for _ in range(rng.randrange(30))] for _ in range(40)]
+    pairs = Counter()
+    for words in docs:
+        for i, x in enumerate(words):
+            pairs.update(tuple(sorted((x, y))) for y in words[i + 1 : i + 1 + induction.WINDOW] if x != y)
+    ends = Counter()
+    for (a, b), n in pairs.items():
+        ends.update({a: n, b: n})
+    found = {r["term"]: r for r in induction.word_figures(table(spark, docs)).collect()}
+    assert {t: r["ends"] for t, r in found.items()} == ends
+    assert all(found[w]["most"] >= n for pair, n in pairs.items() for w in pair)
