@@ -2,9 +2,11 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from opinionloom.functions import arrow_lists
 from opinionloom.operators import coherence, topics, variational
 
 DOCS = [
@@ -211,3 +213,30 @@ def test_many_topic_words_take_the_joined_path(spark, monkeypatch):
     monkeypatch.setattr(coherence, "MAX_INLINE_ROWS", 2)
     long = {r["topic"]: r["coherence"] for r in coherence.topic_coherence(documents(spark, docs), words, window=3).collect()}
     assert long == pytest.approx(short, abs=1e-12)
+
+
+def test_inference_equals_a_plain_version_and_keeps_little(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = np.append(rng.integers(0, 40, 500), 900)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    terms = rng.integers(0, 1000, starts[-1])
+    counts, topics_of, alpha = rng.integers(1, 4, len(terms)) * 1.0, rng.random((4, 1000)), np.full(4, 0.25)
+    seen, refined = [], variational._refined
+    monkeypatch.setattr(variational, "TOGETHER", 2048)
+    monkeypatch.setattr(variational, "_refined", lambda gamma, beta, *a: (seen.append(beta.shape), refined(gamma, beta, *a))[1])
+    found, _ = variational.infer(starts, terms, counts, topics_of, alpha)
+    assert sum(n for n, *_ in seen) == (sizes > 0).sum() and all(n * length <= 2048 for n, length, _ in seen)
+    for d, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+        gamma, beta = alpha + counts[a:b].sum() / 4, topics_of[:, terms[a:b]]
+        for _ in range(variational.MOST_ROUNDS if b > a else 0):
+            theta = np.exp(variational.expected_log(gamma))
+            moved = alpha + theta * (beta @ (counts[a:b] / (theta @ beta)))
+            done, gamma = np.abs(moved - gamma).mean() < variational.CHANGE, moved
+            if done:
+                break
+        assert np.abs(found[d] - gamma).max() < 1e-8
+
+
+def test_parts_of_lists_are_bounded():
+    lists = pa.array([["a"] * n for n in (3, 0, 9, 1, 1, 1)] + [None], pa.list_(pa.string()))
+    assert list(arrow_lists.parts(lists, 3, 4)) == [(0, 2), (2, 1), (3, 3), (6, 1)]
