@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from opinionloom.functions import arrow_lists
 from opinionloom.operators import classify, topics
 from opinionloom.plans import jobs
 from opinionloom.schemas import schema_differences
@@ -102,3 +103,21 @@ def test_word_odds(spark):
     assert scored[40].model_confidence == 0.5 and len(scored) == 42
     empty = classify.fit_word_odds(df.filter("review_id < 0"))
     assert {r.model_confidence for r in classify.score_by_words(df, empty).collect()} == {0.5}
+
+
+def test_words_of_a_model_are_looked_up_in_place(spark, monkeypatch):
+    texts = [f"good w{i % 7} rare{i}" if i % 2 else f"bad w{i % 5} rare{i}" for i in range(40)]
+    rows = [(i, texts[i], 5 if i % 2 else 1) for i in range(40)] + [(None, "good good", 5), (50, None, 1)]
+    df = spark.createDataFrame(rows, "review_id long, review_clean string, rating int").repartition(3).localCheckpoint()
+    model = classify.fit_word_odds(df.filter("review_id < 20"))
+    key = lambda r: (str(r.review_id), r.review_clean or "", r.model_label, r.model_confidence)
+    whole = classify.score_by_words(df, model)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    twice = df.unionAll(df)
+    want, want_twice = sorted(map(key, whole.collect())), sorted(map(key, classify.score_by_words(twice, model).collect()))
+    assert len({k[3] for k in want}) > 2
+    for bound, least in ((150, 2), (0, None)):  # the frequent words in place, all words joined
+        monkeypatch.setattr(arrow_lists, "DICTIONARY_BYTES", bound)
+        assert (classify.least_uses(model.terms) or 0) >= 2 if least else classify.least_uses(model.terms) is None
+        assert sorted(map(key, classify.score_by_words(df, model).collect())) == want
+        assert sorted(map(key, classify.score_by_words(twice, model).collect())) == want_twice
