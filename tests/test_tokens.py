@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from opinionloom import wordlists
+from opinionloom.functions import lookups
 from opinionloom.operators import tokens
 
 
@@ -57,3 +58,23 @@ def test_token_text_and_slices(spark):
 def test_token_stats(spark):
     df = spark.createDataFrame([(3,), (5,)], "token_count int")
     assert tuple(tokens.token_stats(df).first()) == (2, 4.0, 3, 5)
+
+
+def test_texts_move_before_they_are_words_and_of_long_tables_only_rare_words(spark, monkeypatch):
+    rows = [(1, "big cats ran the cats 4x ox"), (2, "the the cats ran big ran"), (None, "cats ran cats"), (4, None), (5, "x y mice or not")]
+    df = spark.createDataFrame(rows, "review_id long, review_clean string")
+    stops = spark.createDataFrame([("the",), ("go",)], "term string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("ran", "run"), ("big", "go"), ("ran", "rush"), ("mice", "mouse")], "form string, lemma string")
+    placed = tokens.normalize_by_join(df, stops, lemmas)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(review_id" in plan[plan.index("posexplode") :] and plan.count("hashpartitioning(review_id") <= 2
+    both = [df, df.unionAll(df)]
+    found = [sorted((r.review_id, r.tokens) for r in tokens.normalize_by_join(d, stops, lemmas).collect()) for d in both]
+    assert found[0] == [(1, ["cat", "run", "cat"]), (2, ["cat", "run", "run"])]
+    cut, by_use = [], tokens._by_use
+    monkeypatch.setattr(tokens, "_by_use", lambda *a: (cut.append(by_use(*a)), cut[-1])[1])
+    for bound in (220, 0):
+        monkeypatch.setattr(lookups, "BROADCAST_BYTES", bound)
+        again = [sorted((r.review_id, r.tokens) for r in tokens.normalize_by_join(d, stops, lemmas).collect()) for d in both]
+        assert again == found
+    assert [t.count() > 0 for t in cut[0]] == [True, True] and cut[2][0].count() == 0
