@@ -27,6 +27,8 @@ from opinionloom.operators.search import search
 from opinionloom.session import python_tasks, written
 
 BUCKET_ROWS = 50_000
+#: Reviews whose triples a task lists together.
+LIST_ROWS = 5_000
 #: Lists of triples that are intersected for one alternative; the rarest are taken.
 MOST_LISTS = 3
 #: Letters that equal i, i, s and k when case is ignored.
@@ -113,20 +115,28 @@ def build_index(df: DataFrame, path: str, text_col: str = "review_text", id_col:
     source = rows.select("bucket", F.col(id_col).cast("long").alias("id"), F.translate(text_col, *_LIKE_PLAIN).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, LIST_ROWS) for b in batches for at in range(0, b.num_rows, LIST_ROWS)):
             found = [grams_of(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            sizes = [len(g) for g in found]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("bucket").take(rows), batch.column("id").take(rows), pa.array(flat)], ["bucket", "id", "gram"]
-            )
-
-    grams = source.mapInArrow(run, "bucket int, id long, gram int")
-    # a list is no longer than its bucket
-    lists = grams.groupBy("gram", "bucket").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+            rows = np.repeat(np.arange(batch.num_rows), [len(g) for g in found])
+            grams = np.concatenate(found).astype(np.int64)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)[rows]
+            buckets = batch.column("bucket").to_numpy(zero_copy_only=False).astype(np.int64)[rows]
+            keys = buckets << 24 | grams
+            order = np.lexsort((ids, keys))
+            keys = keys[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)).astype(np.int32)), pa.array(ids[order]))
+            keys = keys[first]
+            columns = [pa.array((keys >> 24).astype(np.int32)), lists, pa.array((keys & 0xFFFFFF).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "ids", "gram"])
+
+    # lists of a few thousand reviews move, not every triple of every review; a list is no longer than its bucket
+    grams = source.mapInArrow(run, "bucket int, ids array<long>, gram int").repartition("gram", "bucket")
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids"))))
+    lists = grams.groupBy("gram", "bucket").agg(ids.alias("ids"))
     steps = F.expr("transform(ids, (id, i) -> if(i = 0, id, id - ids[i - 1]))")
-    lists.select("gram", "bucket", F.size("ids").alias("n"), steps.alias("steps")).orderBy("gram", "bucket").write.parquet(f"{path}/lists")
+    ordered = lists.select("gram", "bucket", F.size("ids").alias("n"), steps.alias("steps")).sortWithinPartitions("gram", "bucket")
+    ordered.write.parquet(f"{path}/lists")
 
 
 def _ids(lists: DataFrame) -> DataFrame:

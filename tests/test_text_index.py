@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinionloom.operators import search, text_index
+from opinionloom.plans import catalogue
 
 PARTS = ["battery", "Battery", "life", "straße", "ſound", "KELVIN K", "İstanbul", "ısland", "a.b", "c++", "x|y", "\n", "  ", "12", "", "the"]
 
@@ -80,3 +81,33 @@ def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "review_id long, review_text string, rating int, topic_label string, model_label string")
     text_index.build_index(df, str(tmp_path / "i"))
     assert text_index.required_grams("battery") == [{text_index.gram(t) for t in ("bat", "att", "tte", "ter", "ery")}]
+
+
+def test_lists_hold_each_review_once_and_move_as_lists(spark, tmp_path, monkeypatch):
+    texts = [(i, f"text {i % 13} of some words" if i % 9 else None) for i in range(300)] + [(7, "again"), (None, "nobody")]
+    df = spark.createDataFrame(texts, "review_id long, review_text string")
+    monkeypatch.setattr(text_index, "LIST_ROWS", 20)
+    text_index.build_index(df, str(tmp_path / "i"), bucket_rows=100)
+    lists = spark.read.parquet(str(tmp_path / "i" / "lists"))
+    found = {}
+    for r in lists.collect():
+        assert r.n == len(r.steps) and r.steps[1:] == [s for s in r.steps[1:] if s > 0]
+        found.setdefault(r.gram, []).extend(sum(r.steps[: k + 1]) for k in range(r.n))
+    want = {}
+    for i, text in texts:
+        for g in {text_index.gram(text[k : k + 3]) for k in range(len(text) - 2)} if text and i is not None else ():
+            want.setdefault(g, set()).add(i)
+    assert {g: sorted(ids) for g, ids in found.items()} == {g: sorted(ids) for g, ids in want.items()}
+
+
+def test_the_index_query_keeps_only_what_it_searches_and_shows(spark, monkeypatch):
+    built = []
+
+    def stop(df, path):
+        built.append(df.columns)
+        raise InterruptedError
+
+    monkeypatch.setattr(text_index, "build_index", stop)
+    with pytest.raises(InterruptedError):
+        catalogue.search_rows_indexed(spark, "/root/testdata/sf0.001")
+    assert built == [["review_id", *search.HEADINGS]]
